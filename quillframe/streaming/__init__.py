@@ -1,0 +1 @@
+"""No streaming operators: none of the analyses this package covers is defined over a stream."""
