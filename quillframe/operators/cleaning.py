@@ -59,7 +59,11 @@ def _fit_impute_categorical(df: DataFrame, op: dict) -> dict:
 
 
 def _apply_impute_categorical(df: DataFrame, op: dict) -> DataFrame:
-    return _replace(df, op["column"], F.coalesce(col(op["column"]), F.lit(op["value"])))
+    name = op["column"]
+    kind = df.schema[name].dataType.simpleString()
+    if op["value"] == "Unknown":
+        kind = "string"
+    return _replace(df, name, F.coalesce(col(name).cast(kind), F.lit(op["value"]).cast(kind)))
 
 
 def _apply_standardize(df: DataFrame, op: dict) -> DataFrame:

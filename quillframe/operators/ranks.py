@@ -135,6 +135,26 @@ def exact_quantiles(
     return result
 
 
+def values_at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, float | None]:
+    """Values at the given 0-based ranks of the sorted non-null values; None beyond the last."""
+    narrow = df.select(finite_or_null(value.cast("double")).alias("v0"))
+    n = narrow.agg(F.count("v0").alias("n")).first()["n"]
+    inside = sorted({r for r in ranks if 0 <= r < n})
+    result: dict[int, float | None] = {r: None for r in ranks}
+    if not inside:
+        return result
+    brackets: list[tuple | None] = [None] * len(inside)
+    if n > SMALL_INPUT:
+        ends = [min(1.0, max(0.0, r / n + s)) for r in inside for s in (-BRACKET_SLACK, BRACKET_SLACK)]
+        sketch = narrow.agg(F.percentile_approx("v0", ends, SKETCH_ACCURACY).alias("q")).first()["q"]
+        brackets = [(sketch[2 * i], sketch[2 * i + 1]) for i in range(len(inside))]
+    targets = [{"column": 0, "ranks": {r}, "bracket": b, "n": n} for r, b in zip(inside, brackets)]
+    found = {r: v for (_, r), v in _select_ranks(narrow, targets).items()}
+    missed = [{"column": 0, "ranks": {r}, "bracket": None, "n": n} for r in inside if r not in found]
+    found.update({r: v for (_, r), v in _select_ranks(narrow, missed).items()})
+    return {**result, **found}
+
+
 def _select_ranks(narrow: DataFrame, targets: list[dict]) -> dict[tuple[int, int], float]:
     """Values at the wanted 0-based ranks, as {(target number, rank): value}."""
     if not targets:
