@@ -143,7 +143,7 @@ def multi_group_mean(df: DataFrame, dimensions: Sequence[str], metric: str) -> D
         F.struct(F.lit(d).alias("dimension"), col(d).cast("string").alias("group_value")) for d in dimensions
     ])
     long = df.select(F.explode(pairs).alias("g"), measure(df, metric).alias("_metric"))
-    return long.groupBy(col("g.dimension").alias("dimension"), col("g.group_value").alias("group_value")).agg(
+    return long.groupBy(F.col("g.dimension").alias("dimension"), F.col("g.group_value").alias("group_value")).agg(
         mean(col("_metric")).alias(f"mean_{metric}"), F.count(F.lit(1)).alias("sample_size")
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,3 +67,14 @@ def temporary_conf(spark: SparkSession, **settings):
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder for files a query writes, beside the checkpoints (see ``checkpointed``)."""
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="quillframe-")
+    return f"{shared.rstrip('/')}/quillframe-{uuid.uuid4().hex}"
