@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
 from .lookup import lookup_join
-from .ranks import average_ranks, running_totals
+from .ranks import running_totals
 
 PAIRS_PER_AGGREGATE = 60
 
@@ -89,11 +89,23 @@ def spearman_pairs(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[
 
 
 def with_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace every value by its average rank within its column."""
+    """Replace every value by its average rank within its column.
+
+    All columns are ranked together: one scan and one range partitioning by (column, value).
+    """
+    counted = (
+        values.unpivot([], [col(c) for c in columns], "column", "value")
+        .where("value IS NOT NULL")
+        .groupBy("column", "value")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    ranked = running_totals(counted, ["column"], "value", ["n"]).select(
+        "column", "value", (col("before_n") + (col("n") + 1) / F.lit(2.0)).alias("_rank"), "n"
+    )
     current = values
     for c in columns:
-        ranks = average_ranks(values, c).select(col("value").alias(c), col("rank").alias("_rank"))
-        joined = lookup_join(current, ranks, c)
+        ranks = ranked.where(F.col("column") == c).select(col("value").alias(c), "_rank", col("n").alias("_n"))
+        joined = lookup_join(current, ranks, c, "_n")
         current = joined.select(*[col("_rank").alias(c) if x == c else col(x) for x in values.columns])
     return current
 
@@ -114,9 +126,9 @@ def kendall(values: DataFrame, a: str, b: str) -> float | None:
     sizes = pairs.agg(F.sum("n").alias("n"), F.count_distinct("y").alias("levels")).first()
     if not sizes["n"] or sizes["levels"] < 2:
         return None
-    distinct_y = pairs.groupBy("y").agg(F.lit(1).cast("long").alias("one"))
-    dense = running_totals(distinct_y, [], "y", ["one"]).select("y", col("before_one").alias("code"))
-    coded = lookup_join(pairs, dense, "y")
+    distinct_y = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("_n"), F.lit(1).cast("long").alias("one"))
+    dense = running_totals(distinct_y, [], "y", ["one", "_n"]).select("y", col("before_one").alias("code"), "_n")
+    coded = lookup_join(pairs, dense, "y", "_n")
 
     digits = (sizes["levels"] - 1).bit_length()
     split = coded.select("x", "n", "code", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit"))

@@ -121,8 +121,8 @@ def _frequency(df, op):
     known = df.where(col(source).isNotNull())
     counts = known.groupBy(col(source)).agg(F.count(F.lit(1)).alias("_count"))
     rows = df.agg(F.count(col(source)).alias("n")).first()["n"]
-    shares = counts.select(source, (col("_count") / F.lit(float(max(rows, 1)))).alias("_share"))
-    joined = lookup_join(df, shares, source)
+    shares = counts.select(source, (col("_count") / F.lit(float(max(rows, 1)))).alias("_share"), "_count")
+    joined = lookup_join(df, shares, source, "_count")
     return joined.select(*[col(c) for c in df.columns], col("_share").alias(name))
 
 

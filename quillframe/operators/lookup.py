@@ -18,28 +18,50 @@ def small_table(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | No
     return table.sparkSession.createDataFrame(head, table.schema)
 
 
-def lookup_join(rows: DataFrame, table: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Left join of ``rows`` to ``table`` on ``key``; null keys match nothing.
+def lookup_join(
+    rows: DataFrame,
+    table: DataFrame,
+    key: str,
+    weight: str | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Left join of ``rows`` to ``table`` (one row per key) on ``key``; null keys match nothing.
 
-    A table of checked small size is broadcast.  Beyond that the keys carried by more than one
-    row in ``HOT_SHARE`` - at most ``HOT_SHARE`` of them, by arithmetic - are matched by broadcast and
-    never shuffled, together with the null keys; the remaining keys go through an ordinary join.
+    A table of checked small size is broadcast.  Beyond that, keys held by more than one row in
+    ``HOT_SHARE`` - at most ``HOT_SHARE`` of them, by arithmetic - are answered by a broadcast first.  Those
+    rows, and rows with a null key, still pass through the join of the others, but spread by task
+    number instead of by key, so no key brings more than 1/``HOT_SHARE`` of the rows to one task.
+    ``weight`` names the column of ``table`` that says how many rows hold the key; without it they are counted.
     """
-    small = small_table(table, broadcast_rows)
+    small = small_table(table.drop(weight) if weight else table, broadcast_rows)
     if small is not None:
         return rows.join(F.broadcast(small), key, "left")
 
-    frequent = rows.where(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    rows_in_all = rows.count()
-    hot = frequent.where(F.col("_n") * HOT_SHARE > F.lit(rows_in_all)).select(key)
-    hot_table = hot.join(table, key, "left").withColumn("_hot", F.lit(True))
-    stay = rows.join(F.broadcast(hot_table), key, "left").where(F.col("_hot") | col(key).isNull()).drop("_hot")
-    move = (
-        rows.where(col(key).isNotNull())
-        .join(F.broadcast(hot), key, "left_anti")
-        .join(table, key, "left")
+    if weight is None:
+        weight = "_n"
+        counts = rows.where(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+        table = table.join(counts, key)
+    rows_in_all = table.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    payload = [c for c in table.columns if c not in (key, weight)]
+    hot = table.where(col(weight) * HOT_SHARE > F.lit(rows_in_all)).select(
+        key, F.lit(True).alias("_hot"), *[col(c).alias(f"_hot_{c}") for c in payload]
+    )
+    cold = table.select(
+        col(key).alias("_cold_key"), F.lit(0).alias("_cold_spread"), *[col(c).alias(f"_cold_{c}") for c in payload]
+    )
+    done = col(key).isNull() | col("_hot")
+    placed = rows.join(F.broadcast(hot), key, "left").select(
+        "*",
+        F.when(~F.coalesce(done, F.lit(False)), col(key)).alias("_open_key"),
+        F.when(F.coalesce(done, F.lit(False)), F.spark_partition_id() + 1).otherwise(0).alias("_spread"),
+    )
+    joined = placed.join(
+        cold, (col("_open_key") == col("_cold_key")) & (col("_spread") == col("_cold_spread")), "left"
+    )
+    return joined.select(
+        *[col(c) for c in rows.columns],
+        *[F.when(col("_hot"), col(f"_hot_{c}")).otherwise(col(f"_cold_{c}")).alias(c) for c in payload],
     )
-    return stay.unionByName(move)
 
 
 def remap_ids(df: DataFrame, column: str, mapping: DataFrame, old: str = "old", new: str = "new") -> DataFrame:

@@ -139,7 +139,7 @@ class Profile:
         plain = [f.name for f in self.df.schema.fields if not is_nested(f)]
         if self.approx:
             row = self.df.agg(*[
-                F.approx_count_distinct(_present(self.df, c), 0.01).alias(f"u{i}") for i, c in enumerate(plain)
+                F.hll_sketch_estimate(F.hll_sketch_agg(_as_text(self.df, c))).alias(f"u{i}") for i, c in enumerate(plain)
             ]).first()
             return {c: row[f"u{i}"] for i, c in enumerate(plain)}
         counted = value_counts(self.df, plain).groupBy("column_name").agg(F.count("value").alias("u"))

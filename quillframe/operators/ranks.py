@@ -65,16 +65,6 @@ def running_totals(
     )
 
 
-def average_ranks(df: DataFrame, column: str, value: Column | None = None) -> DataFrame:
-    """(value, rank, n): 1-based rank of each distinct value, ties sharing their average."""
-    source = finite_or_null((col(column) if value is None else value).cast("double"))
-    counted = df.select(source.alias("value")).where("value IS NOT NULL").groupBy("value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ranked = running_totals(counted, [], "value", ["n"])
-    return ranked.select("value", (col("before_n") + (col("n") + 1) / F.lit(2.0)).alias("rank"), "n")
-
-
 def _order_statistics(n: int, p: float) -> tuple[int, int, float]:
     position = p * (n - 1)
     low = math.floor(position)
