@@ -46,7 +46,8 @@ def col(name: str) -> Column:
 
 
 def finite_or_null(value: Column) -> Column:
-    return F.when(F.isnan(value) | (F.abs(value) == F.lit(float("inf"))), None).otherwise(value)
+    """NaN sorts above infinity in Spark, so one comparison rules out both."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def with_finite(df: DataFrame) -> DataFrame:

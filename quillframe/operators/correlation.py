@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
 from .lookup import lookup_join
 from .ranks import running_totals
 
-PAIRS_PER_AGGREGATE = 60
+SUMS_PER_AGGREGATE = 120
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Aggregate: correlation over rows where both are present; null where undefined."""
-    a_too = F.when(b.isNotNull(), a)
-    b_too = F.when(a.isNotNull(), b)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a_too) * F.stddev_pop(b_too))
+@dataclass(frozen=True)
+class ColumnStats:
+    n: int
+    mean: float | None
+    std: float | None
+    constant: bool
 
 
 def _doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -33,38 +36,109 @@ def correlations(df: DataFrame, method: str = "pearson", columns: Sequence[str]
         raise ValueError(f"Unsupported correlation method: {method}")
     pairs = list(combinations(columns, 2))
     values = _doubles(df, columns)
-    own = {c: 1.0 if row else None for c, row in _varies(values, columns).items()}
+    rows_in_all, stats = column_stats(values, columns)
     if method == "pearson":
-        result = pearson_pairs(values, pairs)
+        result = pearson_pairs(values, pairs, (rows_in_all, stats))
     elif method == "spearman":
-        result = spearman_pairs(values, pairs)
+        result = spearman_pairs(values, pairs, (rows_in_all, stats))
     else:
         result = {pair: kendall(values, *pair) for pair in pairs}
-    rows = [(c, c, own[c]) for c in columns]
+    rows = [(c, c, None if stats[c].constant else 1.0) for c in columns]
     for (a, b), r in result.items():
         rounded = None if r is None else round(r, 4)
         rows += [(a, b, rounded), (b, a, rounded)]
     return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
 
 
-def _varies(values: DataFrame, columns: Sequence[str]) -> dict[str, bool]:
-    if not columns:
-        return {}
-    row = values.agg(*[(F.max(col(c)) > F.min(col(c))).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    return {c: bool(row[f"c{i}"]) for i, c in enumerate(columns)}
+def _aggregate(values: DataFrame, wanted: dict) -> dict:
+    """Evaluate many aggregates, in as few scans as keep the generated code compilable."""
+    result = {}
+    keys = list(wanted)
+    for start in range(0, len(keys), SUMS_PER_AGGREGATE):
+        chunk = keys[start : start + SUMS_PER_AGGREGATE]
+        row = values.agg(*[wanted[k].alias(f"e{i}") for i, k in enumerate(chunk)]).first()
+        result.update({k: row[i] for i, k in enumerate(chunk)})
+    return result
 
 
-def pearson_pairs(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
-    """One aggregate per ``PAIRS_PER_AGGREGATE`` pairs; one number per pair comes back."""
-    result = {}
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATE):
-        chunk = pairs[start : start + PAIRS_PER_AGGREGATE]
-        row = values.agg(*[pearson(col(a), col(b)).alias(f"r{i}") for i, (a, b) in enumerate(chunk)]).first()
-        result.update({pair: row[f"r{i}"] for i, pair in enumerate(chunk)})
+def column_stats(values: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, ColumnStats]]:
+    """Row count, and per column the facts that decide how it can be correlated."""
+    wanted = {"rows": F.count(F.lit(1))}
+    for c in columns:
+        wanted[(c, "n")] = F.count(col(c))
+        wanted[(c, "mean")] = F.avg(col(c))
+        wanted[(c, "std")] = F.stddev_pop(col(c))
+        wanted[(c, "varies")] = F.max(col(c)) > F.min(col(c))
+    found = _aggregate(values, wanted)
+    return found["rows"], {
+        c: ColumnStats(found[(c, "n")], found[(c, "mean")], found[(c, "std")], not found[(c, "varies")])
+        for c in columns
+    }
+
+
+def pearson_pairs(
+    values: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    known: tuple[int, dict[str, ColumnStats]] | None = None,
+) -> dict[tuple[str, str], float | None]:
+    """Correlation of each pair over its complete rows, from plain sums of standardised values.
+
+    Columns are shifted and scaled by their own mean and deviation first (correlation does not change,
+    cancellation disappears).  A pair of columns without nulls then needs one product sum; a pair with
+    nulls also needs the sums restricted to its complete rows.
+    """
+    if not pairs:
+        return {}
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    rows, stats = known or column_stats(values, columns)
+    usable = {c for c in columns if not stats[c].constant and stats[c].std}
+    centred = values.select(*[
+        ((col(c) - F.lit(stats[c].mean)) / F.lit(stats[c].std)).alias(c) for c in columns if c in usable
+    ])
+    wanted = {}
+    for c in usable:
+        wanted[(c, "sum")] = F.sum(col(c))
+        wanted[(c, "square")] = F.sum(col(c) * col(c))
+    partial = {}
+    for a, b in pairs:
+        if a not in usable or b not in usable:
+            continue
+        wanted[(a, b)] = F.sum(col(a) * col(b))
+        partial[(a, b)] = stats[a].n < rows or stats[b].n < rows
+        if partial[(a, b)]:
+            a_too, b_too = F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))
+            wanted[(a, b, "n")] = F.count(a_too)
+            for side, value in (("a", a_too), ("b", b_too)):
+                wanted[(a, b, side, "sum")] = F.sum(value)
+                wanted[(a, b, side, "square")] = F.sum(value * value)
+                wanted[(a, b, side, "varies")] = F.max(value) > F.min(value)
+    sums = _aggregate(centred, wanted) if wanted else {}
+
+    result: dict[tuple[str, str], float | None] = {}
+    for a, b in pairs:
+        if (a, b) not in partial:
+            result[(a, b)] = None
+            continue
+        if partial[(a, b)]:
+            n, sides = sums[(a, b, "n")], [(a, b, "a"), (a, b, "b")]
+            varies = all(sums[(*s, "varies")] for s in sides)
+        else:
+            n, sides, varies = rows, [(a,), (b,)], True
+        if not varies:
+            result[(a, b)] = None
+            continue
+        (sa, qa), (sb, qb) = ((sums[(*s, "sum")], sums[(*s, "square")]) for s in sides)
+        spread = (qa - sa * sa / n) * (qb - sb * sb / n)
+        r = (sums[(a, b)] - sa * sb / n) / math.sqrt(spread) if spread > 0 else None
+        result[(a, b)] = None if r is None else max(-1.0, min(1.0, r))
     return result
 
 
-def spearman_pairs(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[tuple[str, str], float | None]:
+def spearman_pairs(
+    values: DataFrame,
+    pairs: Sequence[tuple[str, str]],
+    known: tuple[int, dict[str, ColumnStats]] | None = None,
+) -> dict[tuple[str, str], float | None]:
     """Pearson over average ranks.
 
     Columns without nulls share one ranking each; a pair with nulls is ranked on its own
@@ -73,21 +147,26 @@ def spearman_pairs(values: DataFrame, pairs: Sequence[tuple[str, str]]) -> dict[
     if not pairs:
         return {}
     columns = sorted({c for pair in pairs for c in pair})
-    nulls = values.agg(*[F.count_if(col(c).isNull()).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-    full = {c for i, c in enumerate(columns) if nulls[f"c{i}"] == 0}
-    shared = [pair for pair in pairs if set(pair) <= full]
+    rows, stats = known or column_stats(values, columns)
+    shared = [(a, b) for a, b in pairs if stats[a].n == rows and stats[b].n == rows]
     result: dict[tuple[str, str], float | None] = {}
     if shared:
         used = sorted({c for pair in shared for c in pair})
-        ranked = with_ranks(values.select(*used), used)
-        result.update(pearson_pairs(ranked, shared))
+        result.update(_rank_pairs(values.select(*[col(c) for c in used]), shared, rows, stats))
     for a, b in pairs:
         if (a, b) not in result:
             complete = values.select(a, b).where(col(a).isNotNull() & col(b).isNotNull())
-            result.update(pearson_pairs(with_ranks(complete, [a, b]), [(a, b)]))
+            result.update(_rank_pairs(complete, [(a, b)], *column_stats(complete, [a, b])))
     return result
 
 
+def _rank_pairs(values, pairs, rows: int, stats: dict[str, ColumnStats]) -> dict:
+    """Complete columns only: the mean of average ranks is (n+1)/2, and n serves as the scale."""
+    columns = values.columns
+    known = {c: ColumnStats(rows, (rows + 1) / 2, float(max(rows, 1)), stats[c].constant) for c in columns}
+    return pearson_pairs(with_ranks(values, columns), pairs, (rows, known))
+
+
 def with_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace every value by its average rank within its column.
 

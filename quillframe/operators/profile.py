@@ -22,7 +22,7 @@ from ..functions.columns import (
     total,
 )
 from ..functions.roles import leakage_columns
-from .correlation import pearson
+from .correlation import pearson_pairs
 from .ranks import exact_quantiles
 
 COLUMNS_PER_AGGREGATE = 40
@@ -232,15 +232,11 @@ class Profile:
             (c, first, self.descriptions[c], None) for c in leakage_columns(self.columns, self.descriptions)
         ]
         pairs = [(c, t) for t in self.targets if t in self.numeric for c in self.numeric if c != t]
-        if pairs:
-            row = self.df.agg(*[
-                pearson(measure(self.df, c).cast("double"), measure(self.df, t).cast("double")).alias(f"r{i}")
-                for i, (c, t) in enumerate(pairs)
-            ]).first()
-            for i, (c, t) in enumerate(pairs):
-                r = row[f"r{i}"]
-                if r is not None and abs(r) > 0.98:
-                    found.append((c, t, "near-perfect correlation", round(r, 4)))
+        used = dict.fromkeys(c for pair in pairs for c in pair)
+        doubles = self.df.select(*[measure(self.df, c).cast("double").alias(c) for c in used])
+        for (c, t), r in pearson_pairs(doubles, pairs).items():
+            if r is not None and abs(r) > 0.98:
+                found.append((c, t, "near-perfect correlation", round(r, 4)))
         return found
 
     def leakage(self) -> DataFrame:

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import col, finite_or_null
+from ..functions.columns import col
 from ..session import checkpointed, shuffle_partitions
 
 SKETCH_ACCURACY = 10_000
@@ -76,11 +76,11 @@ def exact_quantiles(
 ) -> dict[str, dict[float, float | None]]:
     """Linearly interpolated quantiles of several numeric expressions: name -> {prob: value}.
 
-    Only ``len(columns) * len(probs)`` numbers reach the driver.  ``approx=True`` answers from
-    the sketch alone.
+    Values must be free of NaN (see ``measure``).  Only ``len(columns) * len(probs)`` numbers reach
+    the driver.  ``approx=True`` answers from the sketch alone.
     """
     names = list(columns)
-    values = {name: finite_or_null(columns[name].cast("double")) for name in names}
+    values = {name: columns[name].cast("double") for name in names}
     narrow = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
 
     fractions: list[float] = []
@@ -127,7 +127,7 @@ def exact_quantiles(
 
 def values_at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, float | None]:
     """Values at the given 0-based ranks of the sorted non-null values; None beyond the last."""
-    narrow = df.select(finite_or_null(value.cast("double")).alias("v0"))
+    narrow = df.select(value.cast("double").alias("v0"))
     n = narrow.agg(F.count("v0").alias("n")).first()["n"]
     inside = sorted({r for r in ranks if 0 <= r < n})
     result: dict[int, float | None] = {r: None for r in ranks}
@@ -167,16 +167,14 @@ def _select_ranks(narrow: DataFrame, targets: list[dict]) -> dict[tuple[int, int
         value, bracket = F.col(f"v{key[0]}"), key[1]
         return value.isNotNull() if bracket is None else value.between(F.lit(bracket[0]), F.lit(bracket[1]))
 
-    any_inside = inside(keys[0])
-    for key in keys[1:]:
-        any_inside = any_inside | inside(key)
+    # No filter before the explode: it would repeat every input expression once per bracket, while the
+    # array evaluates each of them once a row and is empty for almost all rows.
     candidates = F.array_compact(F.array(*[
         F.when(inside(key), F.struct(F.lit(s).alias("s"), F.col(f"v{key[0]}").alias("v")))
         for s, key in enumerate(keys)
     ]))
     counted = (
-        narrow.where(any_inside)
-        .select(F.explode(candidates).alias("c"))
+        narrow.select(F.explode(candidates).alias("c"))
         .groupBy(F.col("c.s").alias("s"), F.col("c.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -216,7 +214,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: Column, probs: di
 
 def _ranked_values(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
     counted = (
-        df.select(*[col(b) for b in by], finite_or_null(value.cast("double")).alias("_value"))
+        df.select(*[col(b) for b in by], value.cast("double").alias("_value"))
         .where("_value IS NOT NULL")
         .groupBy(*by, "_value")
         .agg(F.count(F.lit(1)).alias("n"))

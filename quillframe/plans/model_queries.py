@@ -80,8 +80,8 @@ def ml_split_stratified(t):
     "ml_split_time",
     """
 WITH r AS (SELECT order_date, row_number() OVER (ORDER BY order_date) - 1 AS k, count(*) OVER () AS n FROM sales),
-cut AS (SELECT order_date AS at FROM r WHERE k = floor(n * 0.8))
-SELECT order_date >= at AS is_test, count(*) AS n, CAST(CAST(min(order_date) AS DATE) AS VARCHAR) AS first_day,
+cut AS (SELECT order_date AS cut_at FROM r WHERE k = floor(n * 0.8))
+SELECT order_date >= cut_at AS is_test, count(*) AS n, CAST(CAST(min(order_date) AS DATE) AS VARCHAR) AS first_day,
        CAST(CAST(max(order_date) AS DATE) AS VARCHAR) AS last_day
 FROM sales, cut GROUP BY 1
 """,
