@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
-from .lookup import lookup_join
+from .lookup import BROADCAST_ROWS, lookup_join, spread_join
 from .ranks import running_totals
 
 SUMS_PER_AGGREGATE = 120
@@ -181,14 +183,27 @@ def with_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     ranked = running_totals(counted, ["column"], "value", ["n"]).select(
         "column", "value", (col("before_n") + (col("n") + 1) / F.lit(2.0)).alias("_rank"), "n"
     )
+    sizes = {r["column"]: r["levels"] for r in ranked.groupBy("column").agg(F.count("value").alias("levels")).collect()}
+    small = [c for c in columns if sizes.get(c, 0) <= BROADCAST_ROWS]
+    # Checked size: at most BROADCAST_ROWS values for each of the columns asked for.
+    copies = ranked.where(F.col("column").isin(small)).select("column", "value", "_rank").toArrow() if small else None
     current = values
     for c in columns:
-        ranks = ranked.where(F.col("column") == c).select(col("value").alias(c), "_rank", col("n").alias("_n"))
-        joined = lookup_join(current, ranks, c, "_n")
+        if c in small:
+            mine = copies.filter(pc.equal(copies["column"], c)).select(["value", "_rank"]).rename_columns([c, "_rank"])
+            ranks = values.sparkSession.createDataFrame(mine, schema_of(c))
+            joined = current.join(F.broadcast(ranks), c, "left")
+        else:
+            ranks = ranked.where(F.col("column") == c).select(col("value").alias(c), "_rank", col("n").alias("_n"))
+            joined = spread_join(current, ranks, c, "_n")
         current = joined.select(*[col("_rank").alias(c) if x == c else col(x) for x in values.columns])
     return current
 
 
+def schema_of(name: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.DoubleType()), T.StructField("_rank", T.DoubleType())])
+
+
 def kendall(values: DataFrame, a: str, b: str) -> float | None:
     """Kendall's tau-b, exact, without ever pairing rows.
 

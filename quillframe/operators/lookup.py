@@ -36,7 +36,11 @@ def lookup_join(
     small = small_table(table.drop(weight) if weight else table, broadcast_rows)
     if small is not None:
         return rows.join(F.broadcast(small), key, "left")
+    return spread_join(rows, table, key, weight)
 
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """``lookup_join`` for a table known to be too large to broadcast."""
     if weight is None:
         weight = "_n"
         counts = rows.where(col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
