@@ -278,7 +278,7 @@ def _estimator(algorithm: str, classification: bool, classes: int, rows: int, la
     if algorithm == "ridge" and not classification:
         # Spark scales the penalty by the label's deviation; undo that to penalise by exactly 1.
         return LinearRegression(
-            elasticNetParam=0.0, regParam=label_spread / rows, standardization=False, solver="normal"
+            elasticNetParam=0.0, regParam=label_spread / rows, standardization=False
         )
     raise ValueError(f"Unsupported algorithm: {algorithm}")
 
@@ -324,7 +324,7 @@ def fit(train: DataFrame, fields: Fields, algorithm: str, classification: bool,
         balance = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, rows / (len(counts) * n))])
         train = train.withColumn("weight", balance[F.col("label")])
     else:
-        row = train.agg(F.count("label").alias("n"), F.stddev_samp("label").alias("s")).first()
+        row = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
         rows, spread = row["n"], row["s"] or 1.0
     stages = fit_preprocessing(train, fields)
     stages.append(_estimator(algorithm, classification, len(classes), rows, spread))
