@@ -162,7 +162,7 @@ def group_extremes(groups: DataFrame, value: str, group: str, within: Sequence[s
         sizes = usable.groupBy(*within).agg(F.sum("sample_size").alias("_all"))
         least = F.greatest(F.lit(10), F.floor(col("_all") * F.lit(0.005)))
         if within:
-            usable = usable.join(F.broadcast(sizes) if len(within) == 1 else sizes, list(within))
+            usable = usable.join(sizes, list(within))
         else:
             usable = usable.withColumn("_all", F.lit(sizes.first()["_all"]))
         usable = usable.where(col("sample_size") >= least)

@@ -2,24 +2,30 @@
 
 * ``running_totals`` range-partitions pre-aggregated rows by (group, order value), so a group of
   any size is spread over many tasks, and adds each earlier partition's total as an offset.
-* ``exact_quantiles`` needs no shuffle of the data at all: a sketch brackets each wanted order
-  statistic, a scan counts what lies below the bracket, and only the few values inside the
-  bracket are ranked.  The sketch only saves work; a bracket that misses is replaced by the
-  whole range, so results never depend on sketch accuracy.
+* ``exact_quantiles`` hardly shuffles: a mergeable sketch brackets each wanted order statistic, a
+  counting scan proves the bracket right, brackets that still hold many values are sketched again from
+  inside, and only what is left in them is ranked.  Sketches save work but decide nothing: a
+  bracket that fails its count is dropped.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
 from ..session import checkpointed, shuffle_partitions
 
-SKETCH_ACCURACY = 10_000
-BRACKET_SLACK = 2.0 / SKETCH_ACCURACY
+SKETCH_SIZE = 4096
+# About twice the rank error of a sketch of that size.
+BRACKET_SLACK = 0.002
+# Sketches of all tasks are merged in this many tasks before the last one.
+MERGE_TASKS = 256
+COLUMNS_PER_SKETCH = 25
+ROUNDS = 3
 SMALL_INPUT = 20_000
 ONE_TASK_VALUES = 1_000_000
 
@@ -65,10 +71,26 @@ def running_totals(
     )
 
 
-def _order_statistics(n: int, p: float) -> tuple[int, int, float]:
-    position = p * (n - 1)
-    low = math.floor(position)
-    return low, math.ceil(position), position - low
+@dataclass
+class _Target:
+    """Two neighbouring 0-based ranks of one column, and the values they are known to lie between."""
+
+    column: int
+    low: int
+    high: int
+    below: int = 0
+    inside: int = 0
+    bracket: tuple[float, float] | None = None
+    stuck: bool = False
+
+    def holds(self, value: Column) -> Column:
+        if self.bracket is None:
+            return value.isNotNull()
+        return value.between(F.lit(self.bracket[0]), F.lit(self.bracket[1]))
+
+    @property
+    def solved(self) -> bool:
+        return self.bracket is not None and self.bracket[0] == self.bracket[1]
 
 
 def exact_quantiles(
@@ -80,125 +102,164 @@ def exact_quantiles(
     the driver.  ``approx=True`` answers from the sketch alone.
     """
     names = list(columns)
-    values = {name: columns[name].cast("double") for name in names}
-    narrow = df.select(*[values[name].alias(f"v{i}") for i, name in enumerate(names)])
-
-    fractions: list[float] = []
-    for p in probs:
-        fractions += [p] if approx else [max(0.0, p - BRACKET_SLACK), min(1.0, p + BRACKET_SLACK)]
-    sketch = narrow.agg(
-        *[F.count(f"v{i}").alias(f"n{i}") for i in range(len(names))],
-        *[
-            F.percentile_approx(f"v{i}", fractions, SKETCH_ACCURACY).alias(f"q{i}")
-            for i in range(len(names))
-        ],
-    ).first()
-    counts = {name: sketch[f"n{i}"] for i, name in enumerate(names)}
-    if approx:
-        return {
-            name: dict(zip(probs, sketch[f"q{i}"] or [None] * len(probs))) for i, name in enumerate(names)
-        }
-
-    targets = []
-    for i, name in enumerate(names):
-        n = counts[name]
-        for j, p in enumerate(probs):
-            if n == 0:
-                continue
-            low, high, share = _order_statistics(n, p)
-            bracket = None if n <= SMALL_INPUT else (sketch[f"q{i}"][2 * j], sketch[f"q{i}"][2 * j + 1])
-            targets.append({"column": i, "prob": p, "ranks": {low, high}, "share": share,
-                            "low": low, "high": high, "bracket": bracket, "n": n})
-    found = _select_ranks(narrow, targets)
-    missed = [t for k, t in enumerate(targets) if any((k, r) not in found for r in t["ranks"])]
-    for target in missed:
-        target["bracket"] = None
-    if missed:
-        index = {id(t): k for k, t in enumerate(targets)}
-        again = _select_ranks(narrow, missed)
-        found.update({(index[id(missed[k])], rank): v for (k, rank), v in again.items()})
-
     result: dict[str, dict[float, float | None]] = {name: {p: None for p in probs} for name in names}
-    for k, t in enumerate(targets):
-        low, high = found[(k, t["low"])], found[(k, t["high"])]
-        result[names[t["column"]]][t["prob"]] = low + (high - low) * t["share"] if high != low else low
+    for start in range(0, len(names), COLUMNS_PER_SKETCH):
+        chunk = names[start : start + COLUMNS_PER_SKETCH]
+        narrow = df.select(*[columns[name].cast("double").alias(f"v{i}") for i, name in enumerate(chunk)])
+        sketches = _sketches(narrow, [F.col(f"v{i}") for i in range(len(chunk))])
+        if approx:
+            for i, name in enumerate(chunk):
+                result[name] = dict(zip(probs, sketches.quantiles(i, probs)))
+            continue
+        targets, places = [], []
+        for i, name in enumerate(chunk):
+            n = sketches.counts[i]
+            for p in probs if n else []:
+                position = p * (n - 1)
+                targets.append(_Target(i, math.floor(position), math.ceil(position), inside=n))
+                places.append((name, p, position - math.floor(position)))
+        for (name, p, share), (low, high) in zip(places, _values_of(narrow, targets, sketches)):
+            result[name][p] = low + (high - low) * share if high != low else low
     return result
 
 
 def values_at_ranks(df: DataFrame, value: Column, ranks: Sequence[int]) -> dict[int, float | None]:
     """Values at the given 0-based ranks of the sorted non-null values; None beyond the last."""
     narrow = df.select(value.cast("double").alias("v0"))
-    n = narrow.agg(F.count("v0").alias("n")).first()["n"]
+    sketches = _sketches(narrow, [F.col("v0")])
+    n = sketches.counts[0]
     inside = sorted({r for r in ranks if 0 <= r < n})
-    result: dict[int, float | None] = {r: None for r in ranks}
-    if not inside:
+    found = _values_of(narrow, [_Target(0, r, r, inside=n) for r in inside], sketches)
+    return {**{r: None for r in ranks}, **{r: low for r, (low, _) in zip(inside, found)}}
+
+
+class _Sketches:
+    """Value counts and sketches of a few columns, all in one driver-side row."""
+
+    def __init__(self, row: DataFrame, counts: list[int]):
+        self.row = row
+        self.counts = counts
+
+    def quantiles(self, i: int, fractions: Sequence[float]) -> list[float | None]:
+        return self.many({i: fractions})[i]
+
+    def many(self, wanted: dict[int, Sequence[float]]) -> dict[int, list[float | None]]:
+        asked = {i: f for i, f in wanted.items() if self.counts[i]}
+        result: dict[int, list[float | None]] = {i: [None] * len(f) for i, f in wanted.items()}
+        if asked:
+            answer = self.row.select(*[
+                F.kll_sketch_get_quantile_double(f"s{i}", F.array(*[F.lit(float(x)) for x in f])).alias(f"q{i}")
+                for i, f in asked.items()
+            ]).first()
+            result.update({i: list(answer[f"q{i}"]) for i in asked})
         return result
-    brackets: list[tuple | None] = [None] * len(inside)
-    if n > SMALL_INPUT:
-        ends = [min(1.0, max(0.0, r / n + s)) for r in inside for s in (-BRACKET_SLACK, BRACKET_SLACK)]
-        sketch = narrow.agg(F.percentile_approx("v0", ends, SKETCH_ACCURACY).alias("q")).first()["q"]
-        brackets = [(sketch[2 * i], sketch[2 * i + 1]) for i in range(len(inside))]
-    targets = [{"column": 0, "ranks": {r}, "bracket": b, "n": n} for r, b in zip(inside, brackets)]
-    found = {r: v for (_, r), v in _select_ranks(narrow, targets).items()}
-    missed = [{"column": 0, "ranks": {r}, "bracket": None, "n": n} for r in inside if r not in found]
-    found.update({r: v for (_, r), v in _select_ranks(narrow, missed).items()})
-    return {**result, **found}
-
-
-def _select_ranks(narrow: DataFrame, targets: list[dict]) -> dict[tuple[int, int], float]:
-    """Values at the wanted 0-based ranks, as {(target number, rank): value}."""
+
+
+def _sketches(narrow: DataFrame, values: Sequence[Column]) -> _Sketches:
+    """Sketch several expressions in one scan.
+
+    Every task makes one sketch per expression; they are merged by task number first, so that the final
+    task merges ``MERGE_TASKS`` sketches however many tasks there are.
+    """
+    merged = narrow.groupBy(F.pmod(F.spark_partition_id(), F.lit(MERGE_TASKS)).alias("_task")).agg(*[
+        e for i, v in enumerate(values)
+        for e in (F.count(v).alias(f"n{i}"), F.kll_sketch_agg_double(v, SKETCH_SIZE).alias(f"s{i}"))
+    ])
+    final = merged.agg(*[
+        e for i in range(len(values))
+        for e in (F.sum(f"n{i}").alias(f"n{i}"), F.kll_merge_agg_double(f"s{i}", SKETCH_SIZE).alias(f"s{i}"))
+    ]).first()
+    counts = [final[f"n{i}"] or 0 for i in range(len(values))]
+    kept = narrow.sparkSession.createDataFrame(
+        [tuple(final[f"s{i}"] for i in range(len(values)))], ", ".join(f"s{i} binary" for i in range(len(values)))
+    )
+    return _Sketches(kept, counts)
+
+
+def _values_of(narrow: DataFrame, targets: list[_Target], sketches: _Sketches) -> list[tuple[float, float]]:
+    """Exact values at the two ranks of every target."""
+    for attempt in range(ROUNDS):
+        wide = [t for t in targets if t.inside > SMALL_INPUT and not t.solved and not t.stuck]
+        if not wide:
+            break
+        if attempt == 0:
+            sources = {id(t): t.column for t in wide}
+        else:
+            keys = list(dict.fromkeys((t.column, t.bracket) for t in wide))
+            sources = {id(t): keys.index((t.column, t.bracket)) for t in wide}
+            holders = {(t.column, t.bracket): t for t in wide}
+            sketches = _sketches(
+                narrow, [F.when(holders[k].holds(F.col(f"v{k[0]}")), F.col(f"v{k[0]}")) for k in keys]
+            )
+        _shrink(narrow, wide, sketches, sources)
+    open_targets = [t for t in targets if not t.solved]
+    ranked = _rank_inside(narrow, open_targets)
+    return [t.bracket if t.solved else (ranked[(id(t), t.low)], ranked[(id(t), t.high)]) for t in targets]
+
+
+def _shrink(narrow: DataFrame, wide: list[_Target], sketches: _Sketches, sources: dict[int, int]) -> None:
+    """Propose a narrower bracket for each target and keep it only if counting confirms it."""
+    fractions: dict[int, list[float]] = {}
+    for t in wide:
+        low = (t.low - t.below) / t.inside - BRACKET_SLACK
+        high = (t.high - t.below + 1) / t.inside + BRACKET_SLACK
+        fractions.setdefault(sources[id(t)], []).extend(min(1.0, max(0.0, x)) for x in (low, high))
+    answers = {i: iter(values) for i, values in sketches.many(fractions).items()}
+    proposed = [(t, (next(answers[sources[id(t)]]), next(answers[sources[id(t)]]))) for t in wide]
+    counted = narrow.agg(*[
+        e for i, (t, (low, high)) in enumerate(proposed)
+        for e in (
+            F.count_if(F.col(f"v{t.column}") < F.lit(low)).alias(f"b{i}"),
+            F.count_if(F.col(f"v{t.column}").between(F.lit(low), F.lit(high))).alias(f"i{i}"),
+        )
+    ]).first()
+    for i, (t, bracket) in enumerate(proposed):
+        below, inside = counted[f"b{i}"], counted[f"i{i}"]
+        if below <= t.low and t.high < below + inside and (inside < t.inside or bracket[0] == bracket[1]):
+            t.below, t.inside, t.bracket = below, inside, bracket
+        else:
+            t.stuck = True
+
+
+def _rank_inside(narrow: DataFrame, targets: list[_Target]) -> dict[tuple[int, int], float]:
+    """Values at the wanted ranks, as {(target id, rank): value}, by ranking what the brackets hold."""
     if not targets:
         return {}
     # Targets with the same bracket on the same column share one set of candidate values.
-    sets: dict[tuple, list[int]] = {}
-    for k, t in enumerate(targets):
-        sets.setdefault((t["column"], t["bracket"]), []).append(k)
-    keys = list(sets)
-
-    below = {key: 0 for key in keys}
-    bounded = [key for key in keys if key[1] is not None]
-    if bounded:
-        row = narrow.agg(
-            *[F.count_if(F.col(f"v{c}") < F.lit(b[0])).alias(f"b{s}") for s, (c, b) in enumerate(bounded)]
-        ).first()
-        below.update({key: row[f"b{s}"] for s, key in enumerate(bounded)})
-
-    def inside(key: tuple) -> Column:
-        value, bracket = F.col(f"v{key[0]}"), key[1]
-        return value.isNotNull() if bracket is None else value.between(F.lit(bracket[0]), F.lit(bracket[1]))
-
+    sets: dict[tuple, list[_Target]] = {}
+    for t in targets:
+        sets.setdefault((t.column, t.bracket), []).append(t)
+    groups = list(sets.values())
     # No filter before the explode: it would repeat every input expression once per bracket, while the
     # array evaluates each of them once a row and is empty for almost all rows.
     candidates = F.array_compact(F.array(*[
-        F.when(inside(key), F.struct(F.lit(s).alias("s"), F.col(f"v{key[0]}").alias("v")))
-        for s, key in enumerate(keys)
+        F.when(g[0].holds(F.col(f"v{g[0].column}")), F.struct(F.lit(s).alias("s"), F.col(f"v{g[0].column}").alias("v")))
+        for s, g in enumerate(groups)
     ]))
     counted = (
         narrow.select(F.explode(candidates).alias("c"))
         .groupBy(F.col("c.s").alias("s"), F.col("c.v").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # Twice the slack on each side covers both the bracket and the sketch's own error.
-    expected = sum(t["n"] * (1.0 if t["bracket"] is None else 4 * BRACKET_SLACK) for t in targets)
-    if expected <= ONE_TASK_VALUES:
+    if sum(g[0].inside for g in groups) <= ONE_TASK_VALUES:
         earlier = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
         ranked = counted.withColumn("before_n", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     else:
         ranked = running_totals(counted, ["s"], "v", ["n"])
 
     wanted = F.lit(False)
-    for s, key in enumerate(keys):
-        start = col("before_n") + F.lit(below[key])
-        for rank in sorted(set().union(*[targets[k]["ranks"] for k in sets[key]])):
+    for s, g in enumerate(groups):
+        start = col("before_n") + F.lit(g[0].below)
+        for rank in sorted({r for t in g for r in (t.low, t.high)}):
             wanted = wanted | ((col("s") == s) & (start <= rank) & (start + col("n") > rank))
     found = {}
     for row in ranked.where(wanted).collect():
-        key = keys[row["s"]]
-        start = row["before_n"] + below[key]
-        for k in sets[key]:
-            for rank in targets[k]["ranks"]:
+        group = groups[row["s"]]
+        start = row["before_n"] + group[0].below
+        for t in group:
+            for rank in (t.low, t.high):
                 if start <= rank < start + row["n"]:
-                    found[(k, rank)] = row["v"]
+                    found[(id(t), rank)] = row["v"]
     return found
 
 

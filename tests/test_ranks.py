@@ -21,15 +21,19 @@ def frame(n=3000, seed=1):
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
 
 
-@pytest.mark.parametrize("path", ["whole", "bracket", "missed bracket", "ranges"])
+@pytest.mark.parametrize("path", ["whole", "bracket", "missed bracket", "several rounds", "ranges"])
 def test_exact_quantiles_every_path(spark, monkeypatch, path):
     pdf = frame()
     if path != "whole":
         monkeypatch.setattr(ranks, "SMALL_INPUT", 10)
     if path == "missed bracket":
-        monkeypatch.setattr(ranks, "SKETCH_ACCURACY", 5)
-        monkeypatch.setattr(ranks, "BRACKET_SLACK", 0.0)
-    if path == "ranges":
+        monkeypatch.setattr(ranks, "SKETCH_SIZE", 8)
+        monkeypatch.setattr(ranks, "BRACKET_SLACK", -0.2)
+    if path == "several rounds":
+        monkeypatch.setattr(ranks, "SKETCH_SIZE", 16)
+        monkeypatch.setattr(ranks, "BRACKET_SLACK", 0.15)
+        monkeypatch.setattr(ranks, "MERGE_TASKS", 2)
+    if path in {"ranges", "several rounds"}:
         monkeypatch.setattr(ranks, "ONE_TASK_VALUES", 0)
     df = spark.createDataFrame(pdf[["v"]].astype(object).where(pdf[["v"]].notna(), None), "v double").repartition(3)
     got = ranks.exact_quantiles(df, {"v": F.col("v"), "w": F.col("v") * 2}, PROBS)
