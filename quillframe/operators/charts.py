@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
+from ..session import local_table
 from .correlation import correlations
 from .groups import grouped_analysis
 from .lookup import lookup_join
@@ -65,7 +66,7 @@ def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     ends = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
     spark = df.sparkSession
     if ends["lo"] is None:
-        return spark.createDataFrame([], "bin int, lo double, hi double, count long")
+        return local_table(spark, [], "bin int, lo double, hi double, count long")
     low, high = ends["lo"], ends["hi"]
     width = (high - low) / bins
     position = F.lit(0) if width == 0 else F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
@@ -73,8 +74,7 @@ def histogram(df: DataFrame, x: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
         F.count(F.lit(1)).alias("count")
     )
     used = bins if width else 1
-    frame = spark.createDataFrame(
-        [(i, low + i * width, low + (i + 1) * width if i < used - 1 else high) for i in range(used)],
+    frame = local_table(spark, [(i, low + i * width, low + (i + 1) * width if i < used - 1 else high) for i in range(used)],
         "bin int, lo double, hi double",
     )
     return frame.join(counted, "bin", "left").select("bin", "lo", "hi", F.coalesce("count", F.lit(0)).alias("count"))

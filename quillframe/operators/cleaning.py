@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col, finite_or_null, is_numeric, measure, require_columns, strip
 from ..functions.columns import total as total_of
+from ..session import local_table
 from .profile import Profile, iqr_bounds
 from .ranks import exact_quantiles
 
@@ -156,8 +157,7 @@ def preview_cleaning(df: DataFrame, operations: Sequence[dict]) -> DataFrame:
         df, _ = clean(df, [op])
         rows, missing = _size(df)
         effects.append((step, op["operation"], before[0], rows, before[1], len(df.columns), before[2], missing))
-    return df.sparkSession.createDataFrame(
-        effects,
+    return local_table(df.sparkSession, effects,
         "step int, operation string, rows_before long, rows_after long, columns_before int, "
         "columns_after int, missing_before long, missing_after long",
     )

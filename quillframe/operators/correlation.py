@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
+from ..session import local_table
 from .lookup import BROADCAST_ROWS, lookup_join, spread_join
 from .ranks import running_totals
 
@@ -49,7 +50,7 @@ def correlations(df: DataFrame, method: str = "pearson", columns: Sequence[str]
     for (a, b), r in result.items():
         rounded = None if r is None else round(r, 4)
         rows += [(a, b, rounded), (b, a, rounded)]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, r double")
+    return local_table(df.sparkSession, rows, "a string, b string, r double")
 
 
 def _aggregate(values: DataFrame, wanted: dict) -> dict:

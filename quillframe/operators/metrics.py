@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import local_table
 from .ranks import running_totals
 
 
@@ -117,6 +118,5 @@ def regression_metrics(predictions: DataFrame) -> dict[str, float]:
 
 
 def metric_table(predictions: DataFrame, metrics: dict[str, float]) -> DataFrame:
-    return predictions.sparkSession.createDataFrame(
-        [(k, None if v is None else float(v)) for k, v in metrics.items()], "metric string, value double"
+    return local_table(predictions.sparkSession, [(k, None if v is None else float(v)) for k, v in metrics.items()], "metric string, value double"
     )

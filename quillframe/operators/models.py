@@ -38,7 +38,7 @@ from ..functions.columns import (
     require_columns,
 )
 from ..functions.roles import leakage_columns
-from ..session import checkpointed
+from ..session import checkpointed, local_table
 from .metrics import (
     classification_metrics,
     confusion_matrix,
@@ -82,8 +82,7 @@ def identify_problem(df: DataFrame, target: str, objective: str | None = None) -
         task = "multiclass_classification"
     else:
         task = "regression"
-    return df.sparkSession.createDataFrame(
-        [(target, task, rows, classes)], "target string, task_type string, rows long, classes long"
+    return local_table(df.sparkSession, [(target, task, rows, classes)], "target string, task_type string, rows long, classes long"
     )
 
 
@@ -104,8 +103,7 @@ def recommend_models(df: DataFrame, target: str, task: str, interpretability: bo
     else:
         picks = [("ridge", "rmse"), ("random_forest", "rmse"), ("gradient_boosting", "rmse")]
     picks = picks[: 2 if interpretability else 4]
-    return df.sparkSession.createDataFrame(
-        [(i, a, m, imbalance) for i, (a, m) in enumerate(picks, start=1)],
+    return local_table(df.sparkSession, [(i, a, m, imbalance) for i, (a, m) in enumerate(picks, start=1)],
         "position int, algorithm string, primary_metric string, imbalance_ratio double",
     )
 
@@ -447,7 +445,7 @@ def permutation_importance(
     )
     m = numbered.count()
     if m == 0:
-        return spark.createDataFrame([], "feature string, importance double, std double")
+        return local_table(spark, [], "feature string, importance double, std double")
     ordered = numbered.withColumn("_order", F.struct(F.xxhash64("_id", F.lit(seed)), "_id")).withColumn(
         "_one", F.lit(1).cast("long"))
     placed = running_totals(ordered, [], "_order", ["_one"]).withColumnRenamed("before__one", "_place")
@@ -476,7 +474,7 @@ def permutation_importance(
         centre = sum(losses) / repeats
         rows.append((c, centre, (sum((v - centre) ** 2 for v in losses) / repeats) ** 0.5))
     rows.sort(key=lambda x: (-x[1], x[0]))
-    return spark.createDataFrame(rows[:limit], "feature string, importance double, std double")
+    return local_table(spark, rows[:limit], "feature string, importance double, std double")
 
 
 def _importance_scores(fitted: Fitted, rows: DataFrame) -> dict[tuple[int, int], float]:

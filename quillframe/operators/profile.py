@@ -22,6 +22,7 @@ from ..functions.columns import (
     total,
 )
 from ..functions.roles import leakage_columns
+from ..session import local_table
 from .correlation import pearson_pairs
 from .ranks import exact_quantiles
 
@@ -150,8 +151,7 @@ class Profile:
     def shape(self) -> DataFrame:
         cells = sum(self.missing(c) for c in self.columns)
         share = cells * 100.0 / (self.rows * len(self.columns)) if self.rows and self.columns else 0.0
-        return self.spark.createDataFrame(
-            [(self.rows, len(self.columns), cells, round(share, 2))],
+        return local_table(self.spark, [(self.rows, len(self.columns), cells, round(share, 2))],
             "rows long, columns int, missing_cells long, missing_pct double",
         )
 
@@ -177,15 +177,13 @@ class Profile:
 
     def column_table(self) -> DataFrame:
         """Missing and distinct values per column."""
-        return self.spark.createDataFrame(
-            [(f["column_name"], f["missing"], f["missing_pct"], f["unique"]) for f in self._column_facts()],
+        return local_table(self.spark, [(f["column_name"], f["missing"], f["missing_pct"], f["unique"]) for f in self._column_facts()],
             "column_name string, missing long, missing_pct double, unique long",
         )
 
     def flags(self) -> DataFrame:
         names = ("column_name", "constant", "high_cardinality", "potential_id")
-        return self.spark.createDataFrame(
-            [tuple(f[k] for k in names) for f in self._column_facts()],
+        return local_table(self.spark, [tuple(f[k] for k in names) for f in self._column_facts()],
             "column_name string, constant boolean, high_cardinality boolean, potential_id boolean",
         )
 
@@ -215,8 +213,7 @@ class Profile:
 
     def numeric_table(self) -> DataFrame:
         names = ("minimum", "maximum", "mean", "median", "std", "q25", "q75", "skew")
-        return self.spark.createDataFrame(
-            [(c, *[facts[k] for k in names]) for c, facts in self.numeric_facts().items()],
+        return local_table(self.spark, [(c, *[facts[k] for k in names]) for c, facts in self.numeric_facts().items()],
             "column_name string, " + ", ".join(f"{k} double" for k in names),
         )
 
@@ -240,8 +237,7 @@ class Profile:
         return found
 
     def leakage(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            self.leakage_facts, "column_name string, target string, reason string, score double"
+        return local_table(self.spark, self.leakage_facts, "column_name string, target string, reason string, score double"
         )
 
     def issue_facts(self) -> list[tuple[str, str, str | None, float | None]]:
@@ -266,8 +262,7 @@ class Profile:
         return issues
 
     def quality_issues(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            self.issue_facts(), "severity string, type string, column_name string, value double"
+        return local_table(self.spark, self.issue_facts(), "severity string, type string, column_name string, value double"
         )
 
 
@@ -298,7 +293,7 @@ def outlier_counts(df: DataFrame, bounds: dict[str, tuple[float, float] | None])
             exprs.append(F.count_if((value < F.lit(low)) | (value > F.lit(high))).alias(f"o{i}"))
         row = df.agg(*exprs).first()
         counts.update({c: row[f"o{i}"] for i, c in enumerate(known)})
-    return df.sparkSession.createDataFrame(list(counts.items()), "column_name string, outliers long")
+    return local_table(df.sparkSession, list(counts.items()), "column_name string, outliers long")
 
 
 # -- overview -----------------------------------------------------------------------------------
@@ -332,8 +327,7 @@ def numeric_highlights(df: DataFrame, columns: Sequence[str] | None = None, limi
         for c, f in profile.numeric_facts().items()
         if f["mean"] is not None
     ]
-    return df.sparkSession.createDataFrame(
-        rows, "column_name string, mean double, median double, minimum double, maximum double"
+    return local_table(df.sparkSession, rows, "column_name string, mean double, median double, minimum double, maximum double"
     )
 
 
@@ -342,8 +336,7 @@ def categorical_highlights(df: DataFrame, target: str | None = None, limit: int
     numeric = set(numeric_columns(df))
     names = [f.name for f in df.schema.fields if f.name not in numeric and f.name != target and not is_nested(f)]
     if not names:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, position int, value string, count long"
+        return local_table(df.sparkSession, [], "column_name string, position int, value string, count long"
         )
     return top_values(value_counts(df, names[:limit]), k)
 

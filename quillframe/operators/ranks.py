@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import col
-from ..session import checkpointed, shuffle_partitions
+from ..session import checkpointed, local_table, shuffle_partitions
 
 SKETCH_SIZE = 4096
 # About twice the rank error of a sketch of that size.
@@ -170,8 +170,7 @@ def _sketches(narrow: DataFrame, values: Sequence[Column]) -> _Sketches:
         for e in (F.sum(f"n{i}").alias(f"n{i}"), F.kll_merge_agg_double(f"s{i}", SKETCH_SIZE).alias(f"s{i}"))
     ]).first()
     counts = [final[f"n{i}"] or 0 for i in range(len(values))]
-    kept = narrow.sparkSession.createDataFrame(
-        [tuple(final[f"s{i}"] for i in range(len(values)))], ", ".join(f"s{i} binary" for i in range(len(values)))
+    kept = local_table(narrow.sparkSession, [tuple(final[f"s{i}"] for i in range(len(values)))], ", ".join(f"s{i} binary" for i in range(len(values)))
     )
     return _Sketches(kept, counts)
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col, measure, require_columns
 from ..functions.pvalues import chi2_upper, f_upper, t_two_sided
+from ..session import local_table
 from .correlation import pearson_pairs, spearman_pairs
 
 TESTS = ("pearson", "spearman", "chi_square", "t_test", "anova")
@@ -31,8 +32,7 @@ def statistical_test(df: DataFrame, test: str, columns: Sequence[str]) -> DataFr
     }[test]
     facts = run(df, test, *columns)
     p = facts["p_value"]
-    return df.sparkSession.createDataFrame(
-        [(test, facts["statistic"], facts["df"], facts.get("df2"), facts["n"], facts.get("effect_size"), p,
+    return local_table(df.sparkSession, [(test, facts["statistic"], facts["df"], facts.get("df2"), facts["n"], facts.get("effect_size"), p,
           None if p is None else p < SIGNIFICANCE)],
         "test string, statistic double, df double, df2 double, n long, effect_size double, "
         "p_value double, association boolean",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as S
 from ..operators import models as M
-from ..session import scratch_folder
+from ..session import local_table, scratch_folder
 from .registry import query, rounded
 
 _OUT = ("outcomes",)
@@ -46,19 +46,38 @@ def ml_recommend(t):
     return rounded(M.recommend_models(t("outcomes"), "outcome", "binary_classification"))
 
 
-@query("ml_features")
+@query(
+    "ml_features",
+    """
+WITH m AS (SELECT avg(doc_id) AS a1, stddev_pop(doc_id) AS s1, avg(toxic) AS a2, stddev_pop(toxic) AS s2,
+                  avg(n_chars) AS a3, stddev_pop(n_chars) AS s3 FROM outcomes),
+mode_lang AS (SELECT lang FROM outcomes WHERE lang IS NOT NULL GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1),
+src AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS code FROM outcomes GROUP BY source HAVING count(*) > 1),
+lng AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS code FROM outcomes WHERE lang IS NOT NULL GROUP BY lang HAVING count(*) > 1)
+SELECT doc_id, round((doc_id - a1) / s1, 6) AS z_doc_id, round((toxic - a2) / s2, 6) AS z_toxic,
+       round((n_chars - a3) / s3, 6) AS z_n_chars, src.code AS source_code, lng.code AS lang_code
+FROM outcomes o CROSS JOIN m LEFT JOIN src ON src.source = o.source
+LEFT JOIN lng ON lng.lang = coalesce(o.lang, (SELECT lang FROM mode_lang))
+""",
+    _OUT,
+)
 def ml_features(t):
-    """Fitted preprocessing applied to every row: size and number of non-zero features."""
+    """Fitted preprocessing applied to every row: standardised numbers and the level each one-hot block marks."""
     from pyspark.ml import Pipeline
     from pyspark.ml.functions import vector_to_array
 
     rows, _ = M.prepare(t("outcomes"), "outcome", True)
-    stages = M.fit_preprocessing(rows, M.model_fields(t("outcomes"), "outcome"))
-    made = Pipeline(stages=stages).fit(rows).transform(rows)
+    made = Pipeline(stages=M.fit_preprocessing(rows, M.model_fields(t("outcomes"), "outcome"))).fit(rows).transform(rows)
     values = vector_to_array("features")
-    return made.select(
-        "doc_id", F.size(values).alias("features"), F.size(F.filter(values, lambda v: v != 0)).alias("non_zero")
-    )
+    names = ("z_doc_id", "z_toxic", "z_n_chars")
+
+    def code(block: str):
+        return (F.array_position(vector_to_array(block), 1.0) - 1).cast("long")
+
+    return rounded(made.select(
+        "doc_id", *[values[i].alias(n) for i, n in enumerate(names)],
+        code("_o0").alias("source_code"), code("_o1").alias("lang_code"),
+    ))
 
 
 @query(
@@ -133,6 +152,24 @@ def ml_ridge(t):
     return _measured(M.train_model(_shipments(t), "l_extendedprice", "regression", "ridge", folds=0, repeats=0))
 
 
+@query(
+    "ml_ridge_line",
+    """
+WITH m AS (SELECT avg(l_quantity) AS a, stddev_pop(l_quantity) AS s, avg(l_extendedprice) AS c, count(*) AS n FROM lineitem),
+w AS (SELECT sum((l_quantity - a) / s * (l_extendedprice - c)) / (max(n) + 1) AS w FROM lineitem, m)
+SELECT l_quantity, round(max(c) + max(w) * (l_quantity - max(a)) / max(s), 3) AS prediction, count(*) AS n
+FROM lineitem, m, w GROUP BY l_quantity
+""",
+)
+def ml_ridge_line(t):
+    """Ridge on one standardised field, fitted on all rows, where the solution is a formula."""
+    rows, _ = M.prepare(t("lineitem").select("l_quantity", "l_extendedprice"), "l_extendedprice", False)
+    fitted = M.fit(rows, M.Fields(["l_quantity"], [], []), "ridge", False, [])
+    scored = fitted.score(rows, ["l_quantity"])
+    return scored.groupBy("l_quantity").agg(
+        F.round(F.max("prediction"), 3).alias("prediction"), F.count(F.lit(1)).alias("n"))
+
+
 # Metrics are checked on predictions that a rule makes from the tables, so that SQL can state the answer.
 _RULE = """
 p AS (SELECT CASE WHEN outcome = 'yes' THEN 1.0 ELSE 0.0 END AS label,
@@ -208,7 +245,7 @@ def ml_metrics_reg(t):
 def ml_cv(t):
     trained = _train(t, "logistic_regression", folds=M.FOLDS)
     rows = [(k, i, v) for k, r in trained.cross_validation.items() for i, v in enumerate(r["folds"])]
-    return t.spark.createDataFrame(rows, "metric string, fold int, value double")
+    return local_table(t.spark, rows, "metric string, fold int, value double")
 
 
 @query("ml_importance")
@@ -230,4 +267,4 @@ def ml_train_all(t):
     """Every recommended candidate, then all their metrics."""
     trained = M.train_recommended(t("outcomes"), "outcome", "binary_classification", folds=0, repeats=0)
     rows = [(x.algorithm, k, v) for x in trained for k, v in x.metrics.items()]
-    return t.spark.createDataFrame(rows, "algorithm string, metric string, value double")
+    return local_table(t.spark, rows, "algorithm string, metric string, value double")

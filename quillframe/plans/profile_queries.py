@@ -10,6 +10,7 @@ from ..operators import profile as P
 from ..operators.correlation import correlations
 from ..operators.drivers import DriverAnalysis
 from ..operators.stats import statistical_test
+from ..session import local_table
 from .registry import query, rounded
 
 _COLUMNS = ["id", "price", "priority", "status", "constant_col", "number_text", "date_text"]
@@ -308,7 +309,7 @@ def clean_recommend(t):
         (op["operation"], op.get("column") or next(iter(op.get("columns", [])), None))
         for op in K.recommend_cleaning(t("dirty_money"))
     ]
-    return t.spark.createDataFrame(steps, "operation string, column_name string")
+    return local_table(t.spark, steps, "operation string, column_name string")
 
 
 _STEPS = [

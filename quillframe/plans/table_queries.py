@@ -8,7 +8,7 @@ from ..functions import columns as C
 from ..operators import groups as G
 from ..operators import keyed as K
 from ..operators.lookup import remap_ids
-from ..session import scratch_folder
+from ..session import local_table, scratch_folder
 from ..sources.catalog import Catalog, DatasetMeta, lineage_closure, sample_rows, schema_table
 from ..sources.compare import tables_equal
 from ..sources.sqlguard import guarded_sql
@@ -131,7 +131,7 @@ def equality(t):
         ("one copy less", tables_equal(dirty, dirty.distinct())),
         ("other order", tables_equal(orders, orders.repartition(3, "o_custkey"))),
     ]
-    return t.spark.createDataFrame(cases, "case_name string, equal boolean")
+    return local_table(t.spark, cases, "case_name string, equal boolean")
 
 
 @query(
