@@ -5,6 +5,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from quillframe.session import local_table  # noqa: E402
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -33,8 +35,8 @@ def passengers(spark):
         (survived[i], i % 3 + 1, "male" if i % 2 == 0 else "female", ages[i], i % 2, i % 3, 7.25 + 5 * i)
         for i in range(12)
     ]
-    return spark.createDataFrame(
-        rows, "survived int, pclass int, sex string, age double, sibsp int, parch int, fare double"
+    return local_table(
+        spark, rows, "survived int, pclass int, sex string, age double, sibsp int, parch int, fare double"
     )
 
 
@@ -48,7 +50,8 @@ def shop(spark):
                 revenue = (1000 + 20 * month) * weight * growth
                 rows.append((f"{year}-{month:02d}-15", f"{year}{month:02d}{k}", group, group, region, revenue,
                              revenue * margin, 0.1 if group == "Growth" else 0.0, 10))
-    return spark.createDataFrame(
+    return local_table(
+        spark,
         rows,
         "order_date string, order_id string, customer_id string, category string, region string, revenue double, "
         "profit double, discount double, quantity int",
