@@ -15,6 +15,10 @@ from .words import Words, mix, seeds, words_of
 
 #: Members of one bucket that are compared with the whole bucket in one unit of work.
 BLOCK = 500
+#: Hubs that the buckets of one group have between them in each round.
+HUBS = 8
+#: MinHash values behind the estimate, and bits kept of each.
+ESTIMATORS, SHARES = 96, 2
 
 FEATURES = "doc_id long, n_shingles long, digest binary, left array<long>, right array<long>, bits0 long, bits1 long, bits2 long"
 SETS = "doc_id long, shingles binary"
@@ -45,9 +49,9 @@ def featuriser(size: int, half: int, width: int):
 
     ``width`` sketches of ``half`` MinHash values make a collection, so 2 * width * half values serve width ** 2 tables.
     """
-    n_hashes = 2 * width * half
+    banded = 2 * width * half
+    n_hashes = max(banded, ESTIMATORS)
     add, times = seeds(n_hashes, 11), seeds(n_hashes, 12) | np.uint64(1)
-    shares = max(1, 192 // n_hashes)
     folds = (seeds(2 * width, 13) | np.uint64(1)).reshape(2, width)
 
     def sketch(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,13 +60,13 @@ def featuriser(size: int, half: int, width: int):
         if len(some):
             for k in range(n_hashes):
                 least[k, some] = np.minimum.reduceat((values ^ add[k]) * times[k], bounds[some])
-        groups = mix(least.copy()).reshape(2, width, half, -1)
+        groups = mix(least[:banded].copy()).reshape(2, width, half, -1)
         keys = np.zeros((2, width, groups.shape[-1]), np.uint64)
         for k in range(half):
             keys = mix((keys + groups[:, :, k]) * folds[:, :, None])
         bits = np.zeros((3, least.shape[1]), np.uint64)
-        for k in range(min(n_hashes * shares, 192)):
-            part = mix(least[k // shares] + np.uint64(97)) >> np.uint64(k % shares)
+        for k in range(ESTIMATORS * SHARES):
+            part = mix(least[k // SHARES] + np.uint64(97)) >> np.uint64(k % SHARES)
             bits[k // 64] |= (part & np.uint64(1)) << np.uint64(k % 64)
         return keys, bits
 
@@ -133,19 +137,26 @@ def _plausible(x: str, y: str, percent: int, limit: int):
     return (small * 100 >= large * percent) & (_differing(x, y) <= limit)
 
 
-def estimate_limit(percent: int, half: int, width: int, deviations: float = 5.0) -> int:
+def estimate_limit(percent: int, deviations: float = 4.5) -> int:
     """Differing bits beyond which a pair at the threshold is ``deviations`` standard deviations away."""
-    n = 2 * width * half
-    shares = max(1, 192 // n)
-    n = min(n, 192 // shares)
     apart = 1 - percent / 100
-    mean = n * apart * shares / 2
-    spread = (n * apart * (1 - apart) * (shares / 2) ** 2 + n * apart * shares / 4) ** 0.5
+    mean = ESTIMATORS * apart * SHARES / 2
+    spread = (ESTIMATORS * apart * (1 - apart) * (SHARES / 2) ** 2 + ESTIMATORS * apart * SHARES / 4) ** 0.5
     return int(mean + deviations * spread) + 1
 
 
+def _first_shared(x: str, y: str, width: int):
+    """Key of the first table in which two rows meet: every pair is then made in one bucket only."""
+    at, value = {}, {}
+    for side in ("left", "right"):
+        same = [F.get(f"{x}.{side}", F.lit(k)) == F.get(f"{y}.{side}", F.lit(k)) for k in range(width)]
+        at[side] = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
+        value[side] = F.coalesce(*[F.when(s, F.get(f"{x}.{side}", F.lit(k))) for k, s in enumerate(same)])
+    return F.xxhash64(at["left"], at["right"], value["left"], value["right"])
+
+
 def near_duplicates(
-    docs: DataFrame, percent: int = 80, shingle: int = 5, half: int = 2, width: int = 9, cross_pairs: int = 50
+    docs: DataFrame, percent: int = 80, shingle: int = 5, half: int = 2, width: int = 9, cross_pairs: int = 4
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs(doc_id, text)`` that has a doc_id.
 
@@ -161,10 +172,10 @@ def near_duplicates(
     ``width`` with it, so that chance meetings stay rare.
 
     Equal sets are one class, represented by its least id.  Every bucket first compares its members with one
-    hub, a different member in every bucket; the links found are contracted to components.  What is left are
+    hub, chosen by one of ``HUBS`` orders of the ids; the links found are contracted to components.  What is left are
     bucket mates in different components.  While those are more than ``cross_pairs`` a document, and falling,
-    other hubs are tried; then they are compared in blocks of ``BLOCK``, an estimate from 192 sketch bits
-    dropping pairs at least five standard deviations short before any set is fetched.  All links are
+    other hubs are tried; then they are compared in blocks of ``BLOCK``, each pair in the first bucket that it shares, an estimate from
+    192 sketch bits dropping pairs that are 4.5 standard deviations short before any set is fetched.  All links are
     confirmed on the full sets.  No bucket is cut short.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
@@ -179,12 +190,14 @@ def near_duplicates(
     members = classes.select("id", F.posexplode("left").alias("i", "x"), "right").select(
         "id", "i", "x", F.posexplode("right").alias("j", "y")
     ).select("id", F.xxhash64("i", "j", "x", "y").alias("key"))
-    hubs = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("held"), F.min(F.col("id").bitwiseXOR(F.col("key"))).alias("hub")
-    ).where("held > 1")
-    buckets = checkpointed(
-        members.join(hubs.select("key", "held", F.col("hub").bitwiseXOR(F.col("key")).alias("hub")), "key")
-    )
+    def turn(round_no: int):
+        return F.xxhash64(F.pmod("key", F.lit(HUBS)), F.lit(round_no))
+
+    def hub(round_no: int):
+        return F.min(F.col("id").bitwiseXOR(turn(round_no))).alias("hub")
+
+    hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"), hub(0)).where("held > 1")
+    buckets = checkpointed(members.join(hubs.withColumn("hub", F.col("hub").bitwiseXOR(turn(0))), "key"))
     sketches = classes.select("id", "n", "bits0", "bits1", "bits2")
     ids = buckets.select("id").distinct()
     sets = checkpointed(
@@ -192,7 +205,7 @@ def near_duplicates(
         .dropDuplicates(["doc_id"])
         .mapInArrow(set_builder(shingle), SETS)
     )
-    limit = estimate_limit(percent, half, width)
+    limit = estimate_limit(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(
@@ -223,10 +236,7 @@ def near_duplicates(
         if left <= cross_pairs * max(n_classes, 1) or (left_before is not None and left > left_before / 2):
             break
         left_before, round_no = left, round_no + 1
-        turn = F.xxhash64("key", F.lit(round_no))
-        other = open_rows.groupBy("key").agg(F.min(F.col("id").bitwiseXOR(turn)).alias("hub")).select(
-            "key", F.col("hub").bitwiseXOR(turn).alias("hub")
-        )
+        other = open_rows.groupBy("key").agg(hub(round_no)).select("key", F.col("hub").bitwiseXOR(turn(round_no)).alias("hub"))
         stars = open_rows.join(other, "key").where("id != hub").select(
             F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
         ).distinct().join(links, ["a", "b"], "left_anti")
@@ -235,15 +245,15 @@ def near_duplicates(
 
     if left:
         blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-        rows = open_rows.join(sketches, "id")
+        rows = open_rows.join(classes.select("id", "n", "bits0", "bits1", "bits2", "left", "right"), "id")
         one = rows.withColumn("block", F.pmod(F.hash("id"), blocks))
         two = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
         pairs = one.alias("u").join(
             two.alias("v"),
             (F.col("u.key") == F.col("v.key")) & (F.col("u.block") == F.col("v.block"))
             & (F.col("u.id") < F.col("v.id")) & (F.col("u.component") != F.col("v.component"))
-            & _plausible("u", "v", percent, limit),
-        ).select(F.col("u.id").alias("a"), F.col("v.id").alias("b")).distinct()
+            & _plausible("u", "v", percent, limit) & (F.col("u.key") == _first_shared("u", "v", width)),
+        ).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
         found = components(links.unionByName(confirmed(pairs)))
 
     placed = with_component(classes.select("digest", "n", "id"), found).select(
