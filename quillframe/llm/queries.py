@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .near_dup import near_duplicates
+from .packing import pack
+from .quality_rules import quality_verdicts
+from .secret_scan import BASE_RULES, scan_versions
 from .substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +39,35 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_minhash_near_dup")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=2)
+
+
+@query("op6_harmonic_packing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+@query("op9_secret_ledger")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = scan_versions(table(spark, folder, "documents")).paths
+
+    def listed(items):
+        text = F.transform(items, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string")))
+        return F.concat_ws(",", text)
+
+    base = F.filter("findings", lambda f: f["kind"].isin(*[r.kind for r in BASE_RULES]))
+
+    def of_kind(kind):
+        return F.filter("findings", lambda f: f["kind"] == kind)
+
+    counts = [F.size(of_kind(r.kind)).cast("long").alias(f"n_{r.kind}") for r in BASE_RULES]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
+@query("op10_quality_rules")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
+    )
