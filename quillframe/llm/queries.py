@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .language_id import identify_languages, learn_languages
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_verdicts
 from .secret_scan import BASE_RULES, scan_versions
 from .substring_dedup import substring_dedup
+from .toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +73,23 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"
     )
+
+
+def hashed(modulus: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+@query("op3_language_ecoc")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = learn_languages(docs.where(hashed(4) != 2))
+    found = identify_languages(docs, model)
+    return found.select("doc_id", (hashed(4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+@query("op8_toxicity_neighbours")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = learn_toxicity(table(spark, folder, "labels").where(hashed(5) != 0), docs)
+    found = score_toxicity(docs, model)
+    return found.select("doc_id", (hashed(5) == 0).alias("held_out"), "score", "predicted", "evidence")

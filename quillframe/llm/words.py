@@ -79,7 +79,7 @@ class Words:
         self.starts = np.flatnonzero(inside[1:] & (space[:-1] | begins))
         self.ends = np.flatnonzero(inside[:-1] & (space[1:] | begins))
         self.first = np.searchsorted(self.starts, bounds)
-        self._hashes = None
+        self._hashes = self._total = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -88,14 +88,19 @@ class Words:
     @property
     def hashes(self) -> np.ndarray:
         if self._hashes is None:
-            n = len(self.data)
-            up, down = _BYTE_POWERS.upto(n + 1)
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_BYTES[self.data] * up[:n], out=total[1:])
-            raw = (total[self.ends] - total[self.starts]) * down[self.starts]
-            self._hashes = mix(raw + (self.ends - self.starts).astype(np.uint64))
+            self._hashes = self.span_hashes(self.starts, self.ends)
         return self._hashes
 
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of any byte spans; equal bytes have equal hashes."""
+        n = len(self.data)
+        up, down = _BYTE_POWERS.upto(n + 1)
+        if self._total is None:
+            self._total = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTES[self.data] * up[:n], out=self._total[1:])
+        raw = (self._total[ends] - self._total[starts]) * down[starts]
+        return mix(raw + (ends - starts).astype(np.uint64))
+
     def windows(self, size: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Start word of every window of ``size`` words inside one row, and the window's hash."""
         values = self.hashes
