@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .html_text import extract_pages, learn_pages
 from .language_id import identify_languages, learn_languages
 from .near_dup import near_duplicates
 from .packing import pack
@@ -93,3 +94,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     model = learn_toxicity(table(spark, folder, "labels").where(hashed(5) != 0), docs)
     found = score_toxicity(docs, model)
     return found.select("doc_id", (hashed(5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+@query("op5_html_main_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extract_pages(pages, learn_pages(pages))
