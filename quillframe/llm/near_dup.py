@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
 from .components import components
-from .words import Words, mix, seeds, words_of
+from .words import LOWER, Words, mix, seeds, words_of
 
 #: Members of one bucket that are compared with the whole bucket in one unit of work.
 BLOCK = 500
@@ -73,7 +73,7 @@ def featuriser(size: int, half: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for words in words_of(batch.column("text"), lower=True):
+            for words in words_of(batch.column("text"), LOWER):
                 lo, hi = words.rows
                 values, bounds = shingle_sets(words, size)
                 keys, bits = sketch(values, bounds)
@@ -101,7 +101,7 @@ def set_builder(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for words in words_of(batch.column("text"), lower=True):
+            for words in words_of(batch.column("text"), LOWER):
                 lo, hi = words.rows
                 values, bounds = shingle_sets(words, size)
                 packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]

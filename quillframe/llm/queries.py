@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontamination import find_passages
 from .html_text import extract_pages, learn_pages
 from .language_id import identify_languages, learn_languages
+from .license_scan import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_verdicts
@@ -100,3 +102,13 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return extract_pages(pages, learn_pages(pages))
+
+
+@query("op1_license_scan")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
+@query("op7_benchmark_decontamination")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

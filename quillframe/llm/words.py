@@ -17,8 +17,11 @@ SLICE = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Byte tables: A-Z lower-cased; and besides that, everything in ASCII but letters and digits as space.
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+PLAIN = LOWER.copy()
+PLAIN[[b for b in range(128) if not chr(b).isalnum()]] = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,13 +66,14 @@ _WORD_POWERS = (Powers(0xD6E8FEB86659FD93), Powers(0xC2B2AE3D27D4EB4F))
 class Words:
     """The words of consecutive rows.
 
-    ``rows``: first and last row (exclusive) in the batch; ``starts``, ``ends``: byte spans in ``data``; ``first``: index
+    ``rows``: first and last row (exclusive) in the batch; ``bounds``: bytes at which rows
+    begin, and the last ends; ``starts``, ``ends``: byte spans in ``data``; ``first``: index
     of each row's first word, with one entry more than rows; ``hashes``: a 64-bit hash of every word.
     """
 
-    def __init__(self, rows: tuple[int, int], data: np.ndarray, bounds: np.ndarray, lower: bool):
-        self.rows = rows
-        self.data = _LOWER[data] if lower else data
+    def __init__(self, rows: tuple[int, int], data: np.ndarray, bounds: np.ndarray, table: np.ndarray | None):
+        self.rows, self.bounds = rows, bounds
+        self.data = data = data if table is None else table[data]
         n = len(data)
         space = np.ones(n + 2, bool)
         space[1:-1] = _SPACE[data]
@@ -143,8 +147,8 @@ def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]
         lo = min(hi, n)
 
 
-def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[Words]:
-    """The words of a text column, slice by slice.  ``lower`` maps A-Z to a-z before hashing."""
+def words_of(column: pa.Array | pa.ChunkedArray, table: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of a text column, slice by slice, after mapping every byte through ``table``."""
     data, offsets = text_bytes(column)
     for lo, hi in slices(offsets):
-        yield Words((lo, hi), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower)
+        yield Words((lo, hi), data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], table)
