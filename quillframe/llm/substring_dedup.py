@@ -9,11 +9,11 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, temporary_conf
 from .words import mix, words_of
 
 #: Bytes of text in one unit of work, and bytes of text that one block of sketch cells answers for.
-UNIT_BYTES = 16 << 20
+UNIT_BYTES, BLOCK_BYTES = 4 << 20, 16 << 20
 #: Cells of one block of one sketch row (a byte each while merged), and rows of the sketch.
 BLOCK_CELLS = 1 << 23
 DEPTH = 2
@@ -43,7 +43,7 @@ def unpack_bits(packed: bytes, n: int) -> np.ndarray:
 
 
 class Unit:
-    """The windows of one unit's documents: two 64-bit hashes each, and where they start."""
+    """The windows of one unit's documents: 64 and 32 bits of hash each, and where they start."""
 
     def __init__(self, table: pa.Table, window: int, blocks: int):
         self.blocks, self.window = blocks, window
@@ -54,9 +54,10 @@ class Unit:
         first, second = [], []
         for words in self.parts:
             first.append(words.windows(window, 0)[1])
-            second.append(words.windows(window, 1)[1])
+            second.append(words.windows(window, 1)[1] >> np.uint64(32))
+            words.forget()
         self.first = np.concatenate(first) if first else np.zeros(0, np.uint64)
-        self.second = np.concatenate(second) if second else np.zeros(0, np.uint64)
+        self.second = np.concatenate(second).astype(np.uint32) if second else np.zeros(0, np.uint32)
 
     def cells(self, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct cells of a sketch row, each window's place among them, and how many windows each cell has."""
@@ -162,7 +163,7 @@ def _merge_keys(table: pa.Table) -> pa.Table:
     """Group one block's suspect windows exactly; tell every unit which of its keys occur twice or more."""
     block, units = table.column("block")[0].as_py(), table.column("unit").to_pylist()
     one = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("first")]
-    two = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("second")]
+    two = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("second")]
     sizes = [len(x) for x in one]
     times = np.concatenate([1 + unpack_bits(x.as_buffer(), n) for x, n in zip(table.column("twice"), sizes)])
     one, two = np.concatenate(one), np.concatenate(two)
@@ -200,7 +201,7 @@ def _cut(window: int, blocks: int):
         bad[suspects] = repeated[place]
         n_words, n_removed, kept, done = [], [], [], 0
         for words in unit.parts:
-            at, _ = words.windows(window, 0)
+            at = words.window_starts(window)
             starts = at[bad[done : done + len(at)]]
             done += len(at)
             edge = np.zeros(len(words.starts) + 1, np.int64)
@@ -223,7 +224,7 @@ def _cut(window: int, blocks: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, unit_bytes: int = UNIT_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, unit_bytes: int = UNIT_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row of ``docs(doc_id, text)``.
 
     Every word covered by a window of ``window`` consecutive words whose word sequence also starts elsewhere, in
@@ -235,15 +236,17 @@ def substring_dedup(docs: DataFrame, window: int = 35, unit_bytes: int = UNIT_BY
     Documents are dealt to units of about ``unit_bytes``.  Each unit sends a partial count-min sketch of its window hashes, as sorted
     cell numbers by block (about a byte a cell); blocks are summed apart from each other, and every unit is told by one
     bit which of its cells hold two windows or more.  The sum never underestimates, so only windows with every
-    cell marked can repeat; their 128-bit keys are then grouped exactly, again by block.  Units, blocks and
+    cell marked can repeat; their 96-bit keys are then grouped exactly, again by block.  Units, blocks and
     messages are bounded whatever the size of the corpus; nothing is broadcast and nothing reaches the driver but one number.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    units = blocks = max(1, -(-total // unit_bytes))
+    units, blocks = max(1, -(-total // unit_bytes)), max(1, -(-total // block_bytes))
     unit = F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int")
     packed = plain.withColumn("unit", unit).mapInArrow(_packed, "unit int, doc_id long, packed binary")
-    packed = checkpointed(packed.repartition(units, "unit"))
+    # A checkpoint of a plan that is not adaptive keeps its partitioning, so the passes below don't shuffle texts again.
+    with temporary_conf(docs.sparkSession, spark__sql__adaptive__enabled="false"):
+        packed = checkpointed(packed.repartition(units, "unit"))
     sketch = packed.groupBy("unit").applyInArrow(_sketch(window, blocks), _SKETCH)
     marks = checkpointed(sketch.groupBy("block").applyInArrow(_merge_cells, _MARKS))
     keys = packed.groupBy("unit").cogroup(marks.groupBy("unit")).applyInArrow(_suspect_keys(window, blocks), _KEYS)

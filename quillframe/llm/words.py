@@ -105,6 +105,15 @@ class Words:
         raw = (self._total[ends] - self._total[starts]) * down[starts]
         return mix(raw + (ends - starts).astype(np.uint64))
 
+    def forget(self) -> None:
+        """Give back the memory of hashes; they are computed again when asked for."""
+        self._hashes = self._total = None
+
+    def window_starts(self, size: int) -> np.ndarray:
+        """Start word of every window of ``size`` words inside one row."""
+        n = len(self.starts)
+        return np.flatnonzero(np.repeat(self.first[1:], self.counts) - np.arange(n) >= size)
+
     def windows(self, size: int, family: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Start word of every window of ``size`` words inside one row, and the window's hash."""
         values = self.hashes
@@ -114,8 +123,7 @@ class Words:
         up, down = _WORD_POWERS[family].upto(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(values * up[:n], out=total[1:])
-        room = np.repeat(self.first[1:], self.counts) - np.arange(n)
-        at = np.flatnonzero(room >= size)
+        at = self.window_starts(size)
         return at, mix((total[at + size] - total[at]) * down[at] + np.uint64(size))
 
     def row_of(self, words: np.ndarray) -> np.ndarray:
