@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_right
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import checkpointed
@@ -18,11 +20,18 @@ from ..session import checkpointed
 FINE = 64
 #: Pieces of one class numbered by one task.
 BUCKET_ROWS = 20_000
-#: Words whose ids one task remembers; beyond that it starts anew.
-CACHE_WORDS = 300_000
+#: Words, and runs of letters, whose ids one worker remembers; beyond that it starts anew.
+CACHE_WORDS = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary"
 _TOKENIZERS: dict = {}
+_ENCODERS: dict = {}
+
+#: Fixed value: the pattern by which the public word tokenizer splits lower-cased text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_RUNS = regex.compile(SPLIT)
+#: Printable ASCII and Latin letters and signs, which lower-casing and Unicode versions treat alike everywhere.
+_COMMON = regex.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
 
 
 def class_sizes(capacity: int) -> list[int]:
@@ -65,32 +74,54 @@ class WordEncoder:
     """Ids of whole texts, word by word.
 
     For tokenizers whose pre-tokens never span white space, the ids of a text are those of its space-separated
-    words one after the other; ids of recent words are remembered.
+    words one after the other; ids of recent words are remembered.  A new word of common Latin letters and signs is first split into the
+    runs that ``_RUNS`` finds, which such tokenizers also split it into, so that case and punctuation cost no new encoding;
+    ``splits`` says whether the tokenizer does so.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {}
+        self.tokenizer, self.words, self.runs = tokenizer(path), {}, {}
+        self.splits = self._same_splits()
+
+    def _same_splits(self) -> bool:
+        """Does the tokenizer lower-case, and split words as ``_RUNS`` does?"""
+        state = json.loads(self.tokenizer.to_str())
+        lower = [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        split = ((state["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        return lower and split == SPLIT
+
+    def _ids(self, names: list[str]) -> list[bytes]:
+        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        names = list(words)
-        for name, got in zip(names, self.tokenizer.encode_batch_fast([n.decode() for n in names], add_special_tokens=False)):
-            self.known[name] = np.array(got.ids, "<u4").tobytes()
+        if len(self.words) + len(words) > CACHE_WORDS:
+            self.words.clear()
+        if len(self.runs) > CACHE_WORDS:
+            self.runs.clear()
+        whole, split = [], []
+        for word in words:
+            name = word.decode()
+            if self.splits and _COMMON.fullmatch(name) and "<|" not in name:
+                split.append((word, _RUNS.findall(name.lower())))
+            else:
+                whole.append((word, name))
+        fresh = list({run for _, runs in split for run in runs if run not in self.runs})
+        self.runs.update(zip(fresh, self._ids(fresh)))
+        runs = self.runs
+        for word, parts in split:
+            self.words[word] = b"".join([runs[p] for p in parts])
+        self.words.update(zip([w for w, _ in whole], self._ids([n for _, n in whole])))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         for text in texts:
             words = text.split()
-            known = self.known
-            try:
-                yield b"".join([known[w] for w in words])
-            except KeyError:
-                self.learn({w for w in set(words) if w not in known})
-                try:
-                    yield b"".join([known[w] for w in words])
-                except KeyError:
+            known = self.words
+            missing = {w for w in words if w not in known}
+            if missing:
+                self.learn(missing)
+                if len(known) < len(missing) or not all(map(known.__contains__, words)):
                     self.learn(set(words))
-                    yield b"".join([known[w] for w in words])
+            yield b"".join([known[w] for w in words])
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
@@ -98,7 +129,9 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        # Workers are reused, and so is what one has learned.
+        encoder = _ENCODERS.setdefault(path, None) or WordEncoder(path)
+        _ENCODERS[path] = encoder
         for batch in batches:
             texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
             rows, size = [], 0
