@@ -20,6 +20,10 @@ FEATURES = (
 )
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def text_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ... , base_failed) for every row of ``docs(doc_id, text)``.
 
@@ -32,7 +36,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), raw.alias("text"))
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     step = base.select(
-        "doc_id",
+        "doc_id", text_key(F.col("text")).alias("text_key"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
@@ -46,7 +50,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         ).alias("words"),
     )
     step = step.select(
-        "doc_id", "word_chars", "n_symbols", "n_upper", "n_marks",
+        "doc_id", "text_key", "word_chars", "n_symbols", "n_upper", "n_marks",
         F.size("words").cast("long").alias("n_words"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -79,7 +83,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(0.0)
 
     return step.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         share("word_chars", "n_words").alias("mean_word_chars"), share("n_symbols", "word_chars").alias("symbol_share"),
         share("n_dup_lines", "n_lines").alias("dup_line_share"), share("n_repeat_words", "n_words").alias("repeat_share"),
         share("n_upper", "word_chars").alias("upper_share"), share("n_marks", "word_chars").alias("mark_share"),
