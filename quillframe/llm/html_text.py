@@ -29,6 +29,8 @@ MARKS = frozenset(
     "pager popup promo promoted promotion recommended related replies respond search share sharing sidebar skip social "
     "sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Marks that inside an article name its own heading.
+HEADS = frozenset(["header", "masthead", "banner"])
 ARTICLE = frozenset(["article", "main"])
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math"
 
@@ -96,7 +98,8 @@ def tokens(page: str) -> Iterator[Token]:
                     hidden |= key.lower() == "hidden" or value == "true"
                 else:
                     names += value.split()
-            marked = any(n in MARKS or any(part in MARKS for part in re.split(r"[-_]", n)) for n in names)
+            marks = MARKS - HEADS if top.article else MARKS
+            marked = any(n in marks or any(part in marks for part in re.split(r"[-_]", n)) for n in names)
             dropped = top.dropped or tag in NEVER or hidden or (tag == "header" and not top.article) or (
                 marked and tag not in ("html", "body") and tag not in ARTICLE
             )
@@ -120,10 +123,10 @@ class PageModel:
     def weight(self, token: Token) -> float:
         full, short = context(token)
         known = self.weights.get(full, self.weights.get(short))
+        if token.dropped:
+            return 0.0
         if token.text is None:
             return min(-TAG_COST, known if known is not None else -TAG_COST)
-        if token.dropped:
-            return min(-TAG_COST, known if known is not None else -UNSEEN_WORD)
         return known if known is not None else UNSEEN_WORD
 
     def extract(self, page: str) -> str:
@@ -160,7 +163,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not any(t.inside and t.text is not None and not t.dropped for t in items):
                 continue
             for token in items:
-                counts = inside if token.inside and not token.dropped else outside
+                if token.dropped:
+                    continue
+                counts = inside if token.inside else outside
                 n = len(_WORD.findall(token.text)) if token.text is not None else 1
                 for key in context(token):
                     counts[key] += n
@@ -201,8 +206,9 @@ def _extract(shared):
 def extract_pages(pages: DataFrame, model: PageModel) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages(page_id, url, html)``, from whole pages.
 
-    Words and tags are scored with the model's weights, and one linear scan finds the contiguous run of greatest total.  From it, words in menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out.  Character references are
+    Words and tags are scored with the model's weights, and one linear scan finds the contiguous run of greatest total.  Menus, headers, footers,
+    sidebars, notices, adverts, forms, scripts, styles and reader comments, by element, class, id or role, score nothing, so that a run may
+    pass over them, and are left out of its text.  Character references are
     decoded, white space inside a block becomes one space, blocks are joined by one newline; a line break ends a block.
     Null, empty and wordless pages give an empty text; repeated rows and null ids are answered as they are; of equal runs
     the first is taken; other columns are ignored.
