@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import as_timestamp, bin_by_edges, col, is_datetime, measure, require_columns
 from .lookup import lookup_join
 
-MAX_LEVELS = 1000
 PREVIEW_ROWS = 5
 
 
@@ -130,9 +129,10 @@ def _fit_one_hot(df, op):
     levels = {}
     for name in op["columns"]:
         found = df.where(col(name).isNotNull()).select(col(name).alias("v")).distinct()
-        values = [r["v"] for r in found.limit(MAX_LEVELS + 1).collect()]
-        if len(values) > MAX_LEVELS:
-            raise ValueError(f"{name} has more than {MAX_LEVELS} levels; one column each is not a usable table")
+        most = op.get("max_levels")
+        values = [r["v"] for r in (found if most is None else found.limit(most + 1)).collect()]
+        if most is not None and len(values) > most:
+            raise ValueError(f"{name} has more levels than max_levels={most}")
         levels[name] = sorted(values)
     return {**op, "levels": levels}
 

@@ -27,7 +27,7 @@ def keyword_topk(df: DataFrame, text: str, key: str, query: str, limit: int = 20
     """Rows sharing most distinct lower-case words with ``query``; ties by key."""
     require_columns(df, [text, key])
     terms = sorted(set(query.lower().split()))
-    words = F.split(F.lower(strip(col(text))), r"\s+")
+    words = F.split(F.lower(strip(col(text))), r"(?U)\s+")
     overlap = F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in terms]).cast("array<string>")))
     scored = df.select(col(key), F.coalesce(overlap, F.lit(0)).alias("overlap"))
     return scored.orderBy(F.desc("overlap"), col(key)).limit(limit)

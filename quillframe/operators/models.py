@@ -17,7 +17,6 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
-    FeatureHasher,
     OneHotEncoder,
     SQLTransformer,
     StringIndexerModel,
@@ -53,10 +52,8 @@ from .ranks import exact_quantiles, running_totals, values_at_ranks
 SEED = 42
 FOLDS = 5
 REPEATS = 5
-MAX_CLASSES = 1000
-MAX_DICTIONARY = 10_000
-HASHED_FEATURES = 1 << 18
-TREE_DEPTH = 10
+#: The deepest trees that Spark ML grows.
+TREE_DEPTH = 30
 RARE = "__rare__"
 
 
@@ -86,8 +83,14 @@ def identify_problem(df: DataFrame, target: str, objective: str | None = None) -
     )
 
 
-def recommend_models(df: DataFrame, target: str, task: str, interpretability: bool = False) -> DataFrame:
-    """(position, algorithm, primary_metric, imbalance_ratio) of the candidates to train."""
+def recommend_models(
+    df: DataFrame, target: str, task: str, interpretability: bool = False,
+    svm_rows: int | None = None, svm_columns: int | None = None,
+) -> DataFrame:
+    """(position, algorithm, primary_metric, imbalance_ratio) of the candidates to train.
+
+    The SVM is linear and is offered at any size; ``svm_rows`` and ``svm_columns`` can bound it.
+    """
     require_columns(df, [target])
     imbalance = None
     if "classification" in task:
@@ -98,7 +101,8 @@ def recommend_models(df: DataFrame, target: str, task: str, interpretability: bo
             ("random_forest", "f1"),
             ("gradient_boosting", "roc_auc"),
         ]
-        if df.count() < 5000 and len(df.columns) - 1 < 50:
+        few_rows = svm_rows is None or df.count() < svm_rows
+        if few_rows and (svm_columns is None or len(df.columns) - 1 < svm_columns):
             picks.append(("svm", "f1"))
     else:
         picks = [("ridge", "rmse"), ("random_forest", "rmse"), ("gradient_boosting", "rmse")]
@@ -109,19 +113,24 @@ def recommend_models(df: DataFrame, target: str, task: str, interpretability: bo
 
 
 # -- splitting ------------------------------------------------------------------------------------
-def _row_hash(df: DataFrame, seed: int) -> Column:
-    """53 random-looking bits per row, exact as a double; identical rows stay together."""
-    usable = [col(f.name) for f in df.schema.fields if not is_nested(f)]
-    return F.shiftright(F.xxhash64(*usable, F.lit(seed)), 11)
+def _numbered(df: DataFrame) -> DataFrame:
+    """``df`` with a row number of its own for every row, identical ones too, fixed by a checkpoint."""
+    return checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _row_hash(seed: int) -> Column:
+    """53 random-looking bits per numbered row, exact as a double."""
+    return F.shiftright(F.xxhash64("_row", F.lit(seed)), 11).cast("double")
 
 
 def with_folds(df: DataFrame, folds: int = FOLDS, label: str | None = None, seed: int = SEED) -> DataFrame:
     """Add ``fold`` (0 .. folds-1): equal shares of each class, or of all rows without a label.
 
-    Cut points are exact quantiles of a row hash within each class; assigning a row
-    needs no shuffle and does not depend on partitioning.
+    Cut points are exact quantiles of a hash of row numbers within each class, so identical rows are
+    shared out like any others; assigning a row needs no shuffle.
     """
-    hashed = _row_hash(df, seed).cast("double")
+    df = _numbered(df)
+    hashed = _row_hash(seed)
     if label is None:
         parts = {"all": F.lit(True)}
     else:
@@ -135,27 +144,29 @@ def with_folds(df: DataFrame, folds: int = FOLDS, label: str | None = None, seed
         for p in probs:
             number = number + (hashed > F.lit(cuts[k][p])).cast("int")
         fold = F.when(condition, number) if fold is None else fold.when(condition, number)
-    return df.withColumn("fold", fold)
+    return df.withColumn("fold", fold).drop("_row")
 
 
 def _class_labels(df: DataFrame, label: str) -> list[str]:
-    found = class_counts(df, label).select("label").limit(MAX_CLASSES + 1).collect()
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"{label} has more than {MAX_CLASSES} classes")
-    return sorted(r["label"] for r in found)
+    return sorted(r["label"] for r in class_counts(df, label).select("label").collect())
 
 
 def split_by_time(df: DataFrame, time_column: str, share: float = 0.8) -> DataFrame:
-    """Add ``is_test``: the rows from the moment on where ``share`` of the rows lie behind.
+    """Add ``is_test``, false for exactly the first ``int(share * rows)`` rows in order of time.
 
-    Rows at the very cut moment and rows without a time belong to the test side.
+    Rows at the very cut moment are shared out by a hash of their row numbers; rows without a time come last.
     """
     require_columns(df, [time_column])
-    micros = F.unix_micros(as_timestamp(df, time_column).cast("timestamp"))
+    df = _numbered(df)
+    micros = F.unix_micros(as_timestamp(df, time_column).cast("timestamp")).cast("double")
     cut = int(df.count() * share)
     at = values_at_ranks(df, micros, [cut])[cut]
-    late = micros.isNull() if at is None else micros.isNull() | (micros.cast("double") >= F.lit(at))
-    return df.withColumn("is_test", late)
+    earlier, tied = (micros.isNotNull(), micros.isNull()) if at is None else (micros < F.lit(at), micros == F.lit(at))
+    short = cut - df.where(earlier).count()
+    order = _row_hash(SEED)
+    bound = values_at_ranks(df.where(tied), order, [short])[short]
+    early = earlier | tied if bound is None else earlier | (tied & (order < F.lit(bound)))
+    return df.withColumn("is_test", ~F.coalesce(early, F.lit(False))).drop("_row")
 
 
 # -- preprocessing --------------------------------------------------------------------------------
@@ -191,9 +202,9 @@ def _name(column: str) -> str:
 def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
     """Pipeline stages with medians, means, deviations, modes and levels fitted on ``train``.
 
-    Numeric: median for missing, then standardised.  Categorical: mode for missing, one-hot over
-    the levels seen at least twice, the others merged into one.  A column with more than ``MAX_DICTIONARY``
-    levels is hashed instead, so that no dictionary grows with the data.
+    Numeric: median for missing or not finite, then standardised.  Categorical: mode for missing, one-hot over
+    the levels seen at least twice, the others merged into one.  Levels become features and so coefficients of the model, which
+    the driver holds; their number is not limited.  A column whose levels are all unique teaches nothing and is left out.
     """
     select, stages, parts = [], [], []
     if fields.numeric:
@@ -207,11 +218,12 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
         ]).first()
         for i, c in enumerate(fields.numeric):
             centre, spread = row[f"m{i}"], row[f"s{i}"] or 1.0
-            source = f"nanvl(cast({_name(c)} as double), cast(null as double))"
+            number = f"cast({_name(c)} as double)"
+            source = f"CASE WHEN abs({number}) < double('infinity') THEN {number} END"
             select.append(f"(coalesce({source}, {fill[c]!r}D) - {centre!r}D) / {spread!r}D AS _n{i}")
             parts.append(f"_n{i}")
 
-    encoded, hashed = [], []
+    encoded = []
     if fields.categorical:
         counts = value_counts(train, fields.categorical).where("value IS NOT NULL")
         modes = {
@@ -224,21 +236,17 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
                 F.count_if(F.col("n") > 1).alias("levels"), F.count_if(F.col("n") == 1).alias("rare")
             ).collect()
         }
-        small = [c for c in fields.categorical if sizes.get(c, (0, 0))[0] <= MAX_DICTIONARY]
-        levels: dict[str, list[str]] = {c: [] for c in small}
-        for r in counts.where(F.col("column_name").isin(small) & (F.col("n") > 1)).collect() if small else []:
+        levels: dict[str, list[str]] = {c: [] for c in fields.categorical}
+        for r in counts.where(F.col("n") > 1).collect():
             levels[r["column_name"]].append(r["value"])
         for j, c in enumerate(fields.categorical):
             text = f"coalesce(cast({_name(c)} as string), {_quote(modes.get(c, RARE))})"
-            if c in small and not levels[c]:
+            if not levels[c]:
                 continue  # every value is unique: nothing to learn from a level
             select.append(f"{text} AS _c{j}")
-            if c in small:
-                stages.append(StringIndexerModel.from_labels(
-                    sorted(levels[c]), inputCol=f"_c{j}", outputCol=f"_i{j}", handleInvalid="keep"))
-                encoded.append((j, sizes[c][1] > 0))
-            else:
-                hashed.append(f"_c{j}")
+            stages.append(StringIndexerModel.from_labels(
+                sorted(levels[c]), inputCol=f"_c{j}", outputCol=f"_i{j}", handleInvalid="keep"))
+            encoded.append((j, sizes[c][1] > 0))
     result = [SQLTransformer(statement=f"SELECT *, {', '.join(select)} FROM __THIS__")] if select else []
     result += stages
     for j, keep_rest in encoded:
@@ -246,9 +254,6 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
         # training data had such levels, all zeros otherwise.
         result.append(OneHotEncoder(inputCols=[f"_i{j}"], outputCols=[f"_o{j}"], dropLast=not keep_rest))
         parts.append(f"_o{j}")
-    if hashed:
-        result.append(FeatureHasher(inputCols=hashed, outputCol="_hashed", numFeatures=HASHED_FEATURES))
-        parts.append("_hashed")
     if not parts:
         raise ValueError("No usable feature columns")
     result.append(VectorAssembler(inputCols=parts, outputCol="features"))

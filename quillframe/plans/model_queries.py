@@ -38,7 +38,7 @@ WITH c AS (SELECT outcome, count(*) AS n FROM outcomes GROUP BY outcome),
 i AS (SELECT round(min(n) * 1.0 / max(n), 6) AS r, sum(n) AS n FROM c)
 SELECT 1 AS position, 'logistic_regression' AS algorithm, CASE WHEN r < 0.5 THEN 'f1' ELSE 'roc_auc' END AS primary_metric, r AS imbalance_ratio FROM i
 UNION ALL SELECT 2, 'random_forest', 'f1', r FROM i UNION ALL SELECT 3, 'gradient_boosting', 'roc_auc', r FROM i
-UNION ALL SELECT 4, 'svm', 'f1', r FROM i WHERE n < 5000
+UNION ALL SELECT 4, 'svm', 'f1', r FROM i
 """,
     _OUT,
 )

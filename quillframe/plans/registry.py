@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import with_finite
+from ..functions.columns import filter_rows, with_finite
 from .views import VIEWS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,14 +23,12 @@ class Tables:
         self.spark = spark
         self.folder = folder.rstrip("/")
 
-    def __call__(self, name: str) -> DataFrame:
+    def __call__(self, name: str, filters: Sequence[dict] = ()) -> DataFrame:
+        """A table or view; ``filters`` (see ``filter_rows``) are applied to a table's own columns and reach its scan."""
         if name in VIEWS:
             text, uses = VIEWS[name]
             return self.spark.sql(text, **{t: self(t) for t in uses})
-        return with_finite(self.spark.read.parquet(f"{self.folder}/{name}.parquet"))
-
-    def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return with_finite(filter_rows(self.spark.read.parquet(f"{self.folder}/{name}.parquet"), filters))
 
 
 def query(name: str, oracle: str | None = None, views: tuple[str, ...] = ()):

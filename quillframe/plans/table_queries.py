@@ -194,8 +194,7 @@ FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 10 AND l_discount < 0.05
 """,
 )
 def filtered(t):
-    # The raw columns keep the predicates pushable to the scan.
-    rows = C.filter_rows(t.raw("lineitem"), [
+    rows = t("lineitem", [
         {"column": "l_returnflag", "op": "eq", "value": "R"},
         {"column": "l_quantity", "op": "gt", "value": 10},
         {"column": "l_discount", "op": "lt", "value": 0.05},

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import metrics as S
 from quillframe.operators import models as M
+from quillframe.session import local_table
 
 
 @pytest.fixture(scope="module")
@@ -92,13 +93,21 @@ def test_rare_and_unseen_levels(spark):
     assert [r["features"].toArray().tolist() for r in clean.transform(test).collect()][3] == [0, 0]
 
 
-def test_hashed_when_the_dictionary_is_too_large(spark, monkeypatch):
-    monkeypatch.setattr(M, "MAX_DICTIONARY", 1)
-    train = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "c string, label double")
+def test_any_number_of_levels_is_exact(spark):
     from pyspark.ml import Pipeline
 
+    train = spark.range(24_000).select((F.col("id") % 12_000).cast("string").alias("c"), F.lit(1.0).alias("label"))
     made = Pipeline(stages=M.fit_preprocessing(train, M.Fields([], ["c"], []))).fit(train).transform(train)
-    assert made.first()["features"].size == M.HASHED_FEATURES
+    assert made.first()["features"].size == 12_000
+
+
+def test_infinities_are_missing_in_both_places(spark):
+    from pyspark.ml import Pipeline
+
+    train = local_table(spark, [(1.0,), (3.0,), (2.0,)], "x double")
+    model = Pipeline(stages=M.fit_preprocessing(train, M.Fields(["x"], [], []))).fit(train)
+    odd = local_table(spark, [(float("inf"),), (float("nan"),), (None,), (2.0,)], "x double")
+    assert len({r["features"][0] for r in model.transform(odd).collect()}) == 1
 
 
 def test_training_reports_everything(spark, people, tmp_path):
@@ -193,3 +202,11 @@ def test_regression_metrics_by_hand(spark):
     m = S.regression_metrics(p)
     assert m["mae"] == pytest.approx(1.0) and m["mse"] == pytest.approx(5 / 3) and m["rmse"] == pytest.approx(math.sqrt(5 / 3))
     assert m["r2"] == pytest.approx(1 - 5 / 14)
+
+
+def test_repeated_rows_and_tied_times_are_shared_out(spark):
+    rows = local_table(spark, [(k % 3, "2020-01-01" if k < 90 else "2021-01-01", k % 2) for k in range(100)], "x int, when string, y int")
+    shares = M.with_folds(rows, 5, "y").groupBy("y", "fold").count().collect()
+    assert len(shares) == 10 and {r["count"] for r in shares} == {10}
+    for frame in (rows, rows.withColumn("when", F.lit("2020-05-05"))):
+        assert {r["is_test"]: r["count"] for r in M.split_by_time(frame, "when").groupBy("is_test").count().collect()} == {False: 80, True: 20}

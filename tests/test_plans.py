@@ -21,3 +21,9 @@ def test_no_pairing_of_rows_in_the_plan(spark, name):
 def test_top_values_are_cut_before_the_shuffle(spark):
     plan = QUERIES["profile_top_values"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_filters_reach_the_scan(spark):
+    plan = QUERIES["filter_eq_gt_lt"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("]")[0]
+    assert all(name in pushed for name in ("EqualTo(l_returnflag", "GreaterThan(l_quantity", "LessThan(l_discount"))

@@ -6,6 +6,7 @@ from quillframe.functions.roles import detect_roles, excluded_driver_fields
 from quillframe.operators import charts as V
 from quillframe.operators import groups as G
 from quillframe.operators import keyed as K
+from quillframe.session import local_table
 from quillframe.sources.catalog import Catalog, DatasetMeta, lineage_closure, sample_rows, schema_table
 from quillframe.sources.compare import tables_equal
 from quillframe.sources.sqlguard import SQLGuardError, guarded_sql
@@ -272,3 +273,45 @@ def test_box_whiskers(spark):
     df = spark.createDataFrame([(None, v) for v in [1.0, 2.0, 3.0, 4.0, 100.0]] + [("a", 1.0)], "x string, y double")
     got = {r["x"]: tuple(r)[1:] for r in V.box(df, "x", "y").collect()}
     assert got == {None: (2.0, 3.0, 4.0, 1.0, 4.0), "a": (1.0, 1.0, 1.0, 1.0, 1.0)}
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT 1 AS `'`, reflect('java.lang.System', 'getProperty', 'user.dir') AS `x'`",
+    r"SELECT r'\' AS a, reflect('java.lang.System', 'getProperty', 'user.dir') AS b",
+    "SELECT IDENTIFIER('ref'||'lect')('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT (SELECT java_method('java.lang.System', 'getProperty', 'user.dir')) AS x FROM t",
+    "WITH c AS (SELECT try_reflect('java.lang.System', 'getProperty', 'user.dir') AS x) SELECT * FROM c, t",
+    "SELECT id FROM t WHERE EXISTS (SELECT reflect('java.lang.System', 'getProperty', 'user.dir'))",
+])
+def test_guard_sees_through_disguised_calls(spark, text):
+    with pytest.raises(SQLGuardError):
+        guarded_sql(spark, text, {"t": spark.range(3)})
+
+
+def test_guard_leaves_no_view_and_allows_harmless_text(spark):
+    spark.range(7).createOrReplaceTempView("kept_view")
+    found = guarded_sql(spark, "SELECT 'reflect(' AS x, id FROM gone_view UNION ALL SELECT 'y', id FROM kept_view",
+                        {"gone_view": spark.range(2), "kept_view": spark.range(3)})
+    assert found.rows.count() == 5 and spark.table("kept_view").count() == 7
+    assert not spark.catalog.tableExists("gone_view")
+    spark.catalog.dropTempView("kept_view")
+
+
+def test_csv_with_quotes_line_breaks_and_missing_texts(spark, tmp_path):
+    (tmp_path / "odd.csv").write_text('name,score,flag,day\n"a ""b"", c",1,true,2020-01-05\n"line1\nline2",NA,false,N/A\nnull,2.5,,2020-02-01\n')
+    frame = Catalog(spark, str(tmp_path / "root")).read_csv(str(tmp_path / "odd.csv"))
+    assert [t for _, t in frame.dtypes] == ["string", "double", "boolean", "timestamp_ntz"]
+    rows = frame.collect()
+    assert [r["name"] for r in rows] == ['a "b", c', "line1\nline2", None]
+    assert [r["score"] for r in rows] == [1.0, None, 2.5] and rows[1]["day"] is None
+
+
+def test_dates_and_numbers_in_texts(spark):
+    texts = ["2020-01-02", "01/02/2020", "Jan 2, 2020", "January 2, 2020", "2 Jan 2020", "2020-1-2 3:04 PM", "2020/01/02", "12:30", "soon", None]
+    frame = local_table(spark, [(t,) for t in texts], "d string")
+    days = [r[0] and r[0].strftime("%Y-%m-%d %H:%M") for r in frame.select(C.as_timestamp(frame, "d")).collect()]
+    assert days == ["2020-01-02 00:00"] * 5 + ["2020-01-02 15:04", "2020-01-02 00:00", None, None, None]
+    numbers = local_table(spark, [(t,) for t in ["1d", "1f", "0x1", "1e3", " 2 ", "inf", "x", None]], "v string")
+    assert [r[0] for r in numbers.select(C.as_number(F.col("v"))).collect()] == [None, None, None, 1000.0, 2.0, None, None, None]
+    assert local_table(spark, [("\u00a0ab\u3000",)], "v string").select(C.strip(F.col("v"))).first()[0] == "ab"
