@@ -20,7 +20,7 @@ HISTOGRAM_BINS = 30
 
 def check_spec(df: DataFrame, spec: dict) -> None:
     if spec.get("chart_type") not in CHART_TYPES:
-        raise ValueError("Unsupported chart type")
+        raise ValueError("unknown chart type")
     require_columns(df, [spec[k] for k in ("x", "y", "color") if spec.get(k)])
 
 
@@ -43,7 +43,7 @@ def chart_data(df: DataFrame, spec: dict) -> DataFrame:
 def aggregated(df: DataFrame, x: str, y: str | None, aggregation: str) -> DataFrame:
     """(x, y): count, mean, sum or median per value of x, the null value included."""
     if aggregation not in {"count", "mean", "sum", "median"}:
-        raise ValueError(f"Unsupported aggregation: {aggregation}")
+        raise ValueError(f"unknown aggregation: {aggregation}")
     table = grouped_analysis(df, x, y, aggregation)
     value = "count" if aggregation == "count" else f"{aggregation}_{y}"
     return table.select(col(x).alias("x"), col(value).cast("double").alias("y"))

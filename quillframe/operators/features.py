@@ -15,6 +15,9 @@ from .lookup import lookup_join
 
 PREVIEW_ROWS = 5
 
+# Edges of the recommended age groups.
+AGE_EDGES = (0, 18, 30, 45, 60, 120)
+
 
 def _family_size(df, op):
     size = F.coalesce(col(op["sibsp"]), F.lit(0)) + F.coalesce(col(op["parch"]), F.lit(0)) + 1
@@ -192,7 +195,7 @@ def recommend_features(df: DataFrame) -> list[dict]:
     if "fare" in names and family:
         operations.append({"operation": "fare_per_person", "fare": names["fare"], "family": "family_size"})
     if "age" in names:
-        operations.append({"operation": "age_group", "column": names["age"], "bins": [0, 18, 30, 45, 60, 120]})
+        operations.append({"operation": "age_group", "column": names["age"], "bins": list(AGE_EDGES)})
     operations += [{"operation": "date_parts", "column": f.name} for f in df.schema.fields if is_datetime(f)]
     return operations
 

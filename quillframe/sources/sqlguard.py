@@ -90,15 +90,15 @@ def guarded_sql(
     while text.endswith(";"):
         text = text[:-1].rstrip()
     if not text:
-        raise SQLGuardError("Query is empty")
+        raise SQLGuardError("no text")
     bare = _without_text(text)
     if ";" in bare:
-        raise SQLGuardError("Multiple SQL statements are not allowed")
+        raise SQLGuardError("one statement at a time")
     try:
         with temporary_conf(spark, spark__sql__runSQLOnFiles="false"), _views(spark, tables or {}):
             everything = spark.sql(f"SELECT * FROM (\n{text}\n)")
     except ParseException as error:
-        raise SQLGuardError(f"Only SELECT queries are allowed: {error.getMessage().splitlines()[0]}") from error
+        raise SQLGuardError(f"not a query: {error.getMessage().splitlines()[0]}") from error
     except AnalysisException as error:
         raise SQLGuardError(error.getMessage().splitlines()[0]) from error
     for name in _expression_names(everything):
