@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -12,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: A session of one process; ``local-cluster`` is not one.
+_LOCAL = re.compile(r"local(\[|$)")
+
 
 def build_session(app_name: str = "quillframe", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators assume.
@@ -45,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            if not _LOCAL.match(context.master):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="quillframe-checkpoint-")
         context.setCheckpointDir(folder)
@@ -78,7 +82,7 @@ def scratch_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not context.master.startswith("local"):
+        if not _LOCAL.match(context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="quillframe-")
     return f"{shared.rstrip('/')}/quillframe-{uuid.uuid4().hex}"
