@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import oracles
 from .decontamination import find_passages
 from .html_text import extract_pages, learn_pages
 from .language_id import identify_languages, learn_languages
@@ -13,7 +14,7 @@ from .license_scan import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack
 from .quality_rules import quality_verdicts
-from .secret_scan import BASE_RULES, scan_versions
+from .secret_scan import BASE_RULES, RULES, scan_versions
 from .substring_dedup import substring_dedup
 from .toxicity import learn_toxicity, score_toxicity
 
@@ -35,13 +36,13 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", oracles.SUBSTRING_DEDUP)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     found = substring_dedup(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
-@query("op4_minhash_near_dup")
+@query("op4_minhash_near_dup", oracles.NEAR_DUP)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), shingle=2)
 
@@ -53,7 +54,7 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
-@query("op9_secret_ledger")
+@query("op9_secret_ledger", oracles.secret_scan(RULES))
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = scan_versions(table(spark, folder, "documents")).paths
 
