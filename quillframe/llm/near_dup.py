@@ -15,6 +15,8 @@ from .words import LOWER, Words, mix, seeds, words_of
 
 #: Members of one bucket that are compared with the whole bucket in one unit of work.
 BLOCK = 500
+#: Slots in which shingles are counted to put rare ones first, and the chunks in which they are summed.
+SLOTS, SLOT_CHUNKS = 1 << 16, 16
 #: Hubs that the buckets of one group have between them in each round.
 HUBS = 8
 #: MinHash values behind the estimate, and bits kept of each.
@@ -145,14 +147,50 @@ def estimate_limit(percent: int, deviations: float = 4.5) -> int:
     return int(mean + deviations * spread) + 1
 
 
-def _first_shared(x: str, y: str, width: int):
-    """Key of the first table in which two rows meet: every pair is then made in one bucket only."""
-    at, value = {}, {}
-    for side in ("left", "right"):
-        same = [F.get(f"{x}.{side}", F.lit(k)) == F.get(f"{y}.{side}", F.lit(k)) for k in range(width)]
-        at[side] = F.coalesce(*[F.when(s, F.lit(k)) for k, s in enumerate(same)])
-        value[side] = F.coalesce(*[F.when(s, F.get(f"{x}.{side}", F.lit(k))) for k, s in enumerate(same)])
-    return F.xxhash64(at["left"], at["right"], value["left"], value["right"])
+def _bucket_mates(x: str, y: str):
+    """Two rows meet in some table: they share a sketch of either collection."""
+    return F.arrays_overlap(f"{x}.left", f"{y}.left") & F.arrays_overlap(f"{x}.right", f"{y}.right")
+
+
+def slot_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many shingles of a task's sets fall into each of ``SLOTS`` slots, in chunks."""
+    held = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for packed in batch.column("shingles"):
+            held += np.bincount((np.frombuffer(packed.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    chunks = held.reshape(SLOT_CHUNKS, -1)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(SLOT_CHUNKS, dtype=np.int32)), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "held"]
+    )
+
+
+def slot_sum(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(part.as_buffer(), np.int64) for part in table.column("held"))
+    return pa.table({"chunk": table.column("chunk").slice(0, 1), "held": pa.array([total.tobytes()], pa.binary())})
+
+
+def prefixer(shared, percent: int):
+    """The shingles of a set that come first in the common order, rare slots before frequent ones.
+
+    Two sets of the similarity share at least ``percent`` % of the larger one, so one shared shingle is among these
+    in both, whatever the order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            out = []
+            for packed in batch.column("shingles"):
+                values = np.frombuffer(packed.as_buffer(), np.uint64)
+                order = np.lexsort((values, held[(values % np.uint64(SLOTS)).astype(np.int64)]))
+                out.append(values[order[: len(values) - -(-percent * len(values) // 100) + 1]].view(np.int64))
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
+            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=["id", "prefix"]
+            )
+
+    return run
 
 
 def near_duplicates(
@@ -173,11 +211,14 @@ def near_duplicates(
 
     Equal sets are one class, represented by its least id.  Every bucket first compares its members with one
     hub, chosen by one of ``HUBS`` orders of the ids; the links found are contracted to components.  What is left are
-    bucket mates in different components.  While those are more than ``cross_pairs`` a document, and falling,
-    other hubs are tried; then they are compared in blocks of ``BLOCK``, each pair in the first bucket that it shares, an estimate from
-    192 sketch bits dropping pairs that are 4.5 standard deviations short before any set is fetched.  All links are
-    confirmed on the full sets.  No bucket is cut short.
+    bucket mates in different components.  While those are more than ``cross_pairs`` a document, and rounds
+    still join a tenth of the open components, other hubs are tried.  Open bucket mates are then paired where they share a
+    shingle among the first of an order common to all sets, rare ones first, which sets of the similarity always do: a copy with too
+    many words of its own meets nobody.  An estimate from 192 sketch bits drops pairs that are 4.5 standard
+    deviations short before sets are fetched, and all links are confirmed on the full sets.  No bucket is cut short; long lists are
+    compared in blocks of ``BLOCK``.
     """
+    spark = docs.sparkSession
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(
         F.col("doc_id").isNotNull()
     )
@@ -197,7 +238,8 @@ def near_duplicates(
         return F.min(F.col("id").bitwiseXOR(turn(round_no))).alias("hub")
 
     hubs = members.groupBy("key").agg(F.count(F.lit(1)).alias("held"), hub(0)).where("held > 1")
-    buckets = checkpointed(members.join(hubs.withColumn("hub", F.col("hub").bitwiseXOR(turn(0))), "key"))
+    hubs = hubs.select("key", F.col("hub").bitwiseXOR(turn(0)).alias("hub"))
+    buckets = checkpointed(members.join(hubs, "key"))
     sketches = classes.select("id", "n", "bits0", "bits1", "bits2")
     ids = buckets.select("id").distinct()
     sets = checkpointed(
@@ -226,16 +268,19 @@ def near_duplicates(
     stars = buckets.where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = confirmed(likely(stars))
     found = components(links)
-    n_classes, left_before, round_no = classes.count(), None, 0
+    n_classes, parts_before, round_no = classes.count(), None, 0
     while True:
-        placed = with_component(buckets.select("key", "id", "held"), found)
-        groups = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
-        mixed = groups.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        left = mixed.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        placed = with_component(buckets.select("key", "id"), found)
+        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         open_rows = checkpointed(placed.join(mixed.select("key"), "key", "left_semi"))
-        if left <= cross_pairs * max(n_classes, 1) or (left_before is not None and left > left_before / 2):
+        groups = open_rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(
+            F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same")
+        )
+        left = groups.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0
+        parts = open_rows.select("component").distinct().count()
+        if left <= cross_pairs * max(n_classes, 1) or (parts_before is not None and 10 * parts > 9 * parts_before):
             break
-        left_before, round_no = left, round_no + 1
+        parts_before, round_no = parts, round_no + 1
         other = open_rows.groupBy("key").agg(hub(round_no)).select("key", F.col("hub").bitwiseXOR(turn(round_no)).alias("hub"))
         stars = open_rows.join(other, "key").where("id != hub").select(
             F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")
@@ -244,16 +289,27 @@ def near_duplicates(
         found = components(links)
 
     if left:
-        blocks = F.ceil(F.col("held") / BLOCK).cast("int")
-        rows = open_rows.join(classes.select("id", "n", "bits0", "bits1", "bits2", "left", "right"), "id")
-        one = rows.withColumn("block", F.pmod(F.hash("id"), blocks))
-        two = rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        open_ids = open_rows.select("id", "component").distinct()
+        open_sets = sets.join(open_ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        sums = open_sets.mapInArrow(slot_counter, "chunk int, held binary").groupBy("chunk").applyInArrow(slot_sum, "chunk int, held binary")
+        held = np.concatenate([np.frombuffer(r["held"], np.int64) for r in sorted(sums.collect())])
+        prefixes = open_sets.mapInArrow(prefixer(spark.sparkContext.broadcast(held), percent), "id long, prefix array<long>")
+        firsts = prefixes.join(open_ids, "id").select("id", "component", F.posexplode("prefix").alias("at", "shingle"))
+        lists = firsts.groupBy("shingle").agg(
+            F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")
+        ).where("lo < hi").select("shingle", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
+        rows = firsts.join(lists, "shingle").join(classes.select("id", "n", "bits0", "bits1", "bits2", "left", "right"), "id")
+        rows = checkpointed(rows)
+        one = rows.withColumn("block", F.pmod(F.hash("id"), "blocks"))
+        two = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        shared = F.ceil(F.lit(percent) * (F.col("u.n") + F.col("v.n")) / (100 + percent))
         pairs = one.alias("u").join(
             two.alias("v"),
-            (F.col("u.key") == F.col("v.key")) & (F.col("u.block") == F.col("v.block"))
+            (F.col("u.shingle") == F.col("v.shingle")) & (F.col("u.block") == F.col("v.block"))
             & (F.col("u.id") < F.col("v.id")) & (F.col("u.component") != F.col("v.component"))
-            & _plausible("u", "v", percent, limit) & (F.col("u.key") == _first_shared("u", "v", width)),
-        ).select(F.col("u.id").alias("a"), F.col("v.id").alias("b"))
+            & (F.col("u.at") <= F.col("u.n") - shared) & (F.col("v.at") <= F.col("v.n") - shared)
+            & _plausible("u", "v", percent, limit) & _bucket_mates("u", "v"),
+        ).select(F.col("u.id").alias("a"), F.col("v.id").alias("b")).distinct()
         found = components(links.unionByName(confirmed(pairs)))
 
     placed = with_component(classes.select("digest", "n", "id"), found).select(
