@@ -25,13 +25,18 @@ def check_spec(df: DataFrame, spec: dict) -> None:
 
 
 def chart_data(df: DataFrame, spec: dict) -> DataFrame:
-    """Data for a chart spec: chart_type, x, y, color, aggregation; scatter also key."""
+    """Data for a chart spec: chart_type, x, y, color, aggregation; scatter also key.
+
+    An aggregation by x comes first whatever the type; histograms and boxes are then drawn of the aggregated table.
+    """
     check_spec(df, spec)
     kind, x, y = spec["chart_type"], spec.get("x"), spec.get("y")
     if kind == "heatmap":
         return heatmap(df)
-    if kind in {"bar", "line", "donut"} and spec.get("aggregation"):
-        return aggregated(df, x, y, spec["aggregation"])
+    if spec.get("aggregation") and x:
+        df, x, y = aggregated(df, x, y, spec["aggregation"]), "x", "y"
+        if kind not in {"histogram", "box"}:
+            return df
     if kind == "histogram":
         return histogram(df, x, spec.get("bins", HISTOGRAM_BINS))
     if kind == "box":

@@ -89,7 +89,9 @@ def _medians(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFr
 
 
 def period_label(moment: Column, frequency: str) -> Column:
-    """Text of the calendar period: 2024-01-31, 2024-W05, 2024-01, 2024Q1 or 2024."""
+    """Text of the calendar period: 2024-01-31 23:00, 2024-01-31, 2024-01-29/2024-02-04, 2024-01, 2024Q1 or 2024."""
+    if frequency == "H":
+        return F.date_format(moment, "yyyy-MM-dd HH:00")
     if frequency == "D":
         return F.date_format(moment, "yyyy-MM-dd")
     if frequency == "W":
@@ -110,14 +112,20 @@ def trend_analysis(
     df: DataFrame, date: str, metric: str | None = None, frequency: str = "M", aggregation: str = "count"
 ) -> DataFrame:
     """(period, value): a count or aggregate per calendar period; rows without a date are dropped."""
-    if frequency not in PERIODS:
+    if frequency not in PERIODS and frequency != "H":
         raise ValueError(f"Unsupported frequency: {frequency}")
     require_columns(df, [date] + ([metric] if metric else []))
-    if aggregation not in {"count", "sum", "mean", "median", "min", "max"}:
+    if aggregation not in {"count", "sum", "mean", "median", "min", "max", "std", "nunique"}:
         raise ValueError(f"Unsupported aggregation: {aggregation}")
     if aggregation != "count" and metric is None:
         raise ValueError(f"{aggregation} needs a metric column")
-    moment = F.trunc(as_timestamp(df, date), PERIODS[frequency]) if frequency != "D" else as_timestamp(df, date).cast("date")
+    stamp = as_timestamp(df, date)
+    if frequency == "H":
+        moment = F.date_trunc("hour", stamp)
+    elif frequency == "D":
+        moment = stamp.cast("date")
+    else:
+        moment = F.trunc(stamp, PERIODS[frequency])
     value = measure(df, metric) if metric and aggregation != "count" else F.lit(1)
     work = df.select(moment.alias("_start"), value.alias("_metric")).where("_start IS NOT NULL")
     if aggregation == "median":
@@ -131,6 +139,8 @@ def trend_analysis(
                 "mean": mean(metric_value),
                 "min": F.min(metric_value).cast("double"),
                 "max": F.max(metric_value).cast("double"),
+                "std": F.stddev_samp(metric_value.cast("double")),
+                "nunique": F.count_distinct(metric_value).cast("double"),
             }[aggregation].alias("value")
         )
     return result.select(period_label(col("_start"), frequency).alias("period"), "value")

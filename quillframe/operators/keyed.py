@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -44,6 +45,29 @@ def upsert_latest(tables: Sequence[DataFrame], keys: Sequence[str], order: Seque
     return union.groupBy(*[col(k) for k in keys]).agg(newest).select(*keys, "_row.*").select(*union.columns)
 
 
+@dataclass(frozen=True)
+class Removal:
+    """What is left of a table (lazy), and how many rows went."""
+
+    kept: DataFrame
+    removed: int
+
+    @property
+    def found(self) -> bool:
+        return self.removed > 0
+
+
+def remove_keys(df: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> Removal:
+    """``delete_by_key``, told how many rows had a listed key."""
+    kept = delete_by_key(df, doomed, keys)
+    return Removal(kept, df.count() - kept.count())
+
+
+def clear(df: DataFrame) -> Removal:
+    """No row is left."""
+    return Removal(df.where(F.lit(False)), df.count())
+
+
 def delete_by_key(df: DataFrame, doomed: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The table without the rows whose key is listed in ``doomed`` (null keys are never listed)."""
     require_columns(df, keys)

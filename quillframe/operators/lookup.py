@@ -3,19 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import col
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 HOT_SHARE = 1000
 
 
-def small_table(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
-    """A driver-held copy of ``table`` if it has at most ``limit`` rows, else None."""
-    head = table.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
+def small_table(table: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame | None:
+    """A driver-held copy of ``table`` if it has at most ``limit`` rows and ``most_bytes`` bytes, else None.
+
+    Texts and binaries are measured on Spark before anything is fetched; other columns have a fixed width.
+    """
+    head = table.limit(limit + 1)
+    wide = [f.name for f in table.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if wide:
+        size = head.agg(F.sum(sum((F.coalesce(F.octet_length(col(c)), F.lit(0)).cast("long") for c in wide), F.lit(0)))).first()[0]
+        if (size or 0) > most_bytes:
+            return None
+    held = head.toArrow()
+    if held.num_rows > limit or held.nbytes > most_bytes:
         return None
-    return table.sparkSession.createDataFrame(head, table.schema)
+    return table.sparkSession.createDataFrame(held, table.schema)
 
 
 def lookup_join(

@@ -521,11 +521,20 @@ EXPERIMENT_SCHEMA = T.StructType([
         T.StructField("importance", T.DoubleType()),
         T.StructField("std", T.DoubleType()),
     ]))),
+    T.StructField("confusion", T.ArrayType(T.StructType([
+        T.StructField("label", T.DoubleType()),
+        T.StructField("prediction", T.DoubleType()),
+        T.StructField("n", T.LongType()),
+    ]))),
     T.StructField("model_path", T.StringType()),
     T.StructField("duration_ms", T.DoubleType()),
 ])
 
 
+def _cells(confusion: DataFrame | None) -> list[tuple]:
+    return [] if confusion is None else [tuple(r) for r in confusion.select("label", "prediction", "n").orderBy("label", "prediction").collect()]
+
+
 def experiment_rows(spark, trained: Sequence[Trained], dataset: str = "", model_paths: Sequence[str] = ()) -> DataFrame:
     """Experiments as a table."""
     rows = []
@@ -533,7 +542,7 @@ def experiment_rows(spark, trained: Sequence[Trained], dataset: str = "", model_
         importance = [tuple(r) for r in t.importance.collect()] if t.importance is not None else []
         rows.append((
             t.experiment_id, dataset, t.target, t.task_type, t.algorithm, json.dumps(t.parameters),
-            t.metrics, json.dumps(t.cross_validation), json.dumps(t.split), importance,
+            t.metrics, json.dumps(t.cross_validation), json.dumps(t.split), importance, _cells(t.confusion),
             model_paths[i] if i < len(model_paths) else None, t.duration_ms,
         ))
     return spark.createDataFrame(rows, EXPERIMENT_SCHEMA)
@@ -556,8 +565,30 @@ def load_experiment(spark, folder: str, experiment_id: str) -> DataFrame:
     return found
 
 
+def comparison_table(experiments: DataFrame) -> DataFrame:
+    """(experiment_id, algorithm, primary_metric, metrics) of every experiment, the best first; all of one kind of task."""
+    classification = F.col("task_type").contains("classification")
+    kinds = [r[0] for r in experiments.select(classification).distinct().limit(2).collect()]
+    if len(kinds) > 1:
+        raise ValueError("classification and regression have no common metric")
+    name = "f1" if kinds == [True] else "rmse"
+    value = F.col("metrics")[name]
+    order = value.desc_nulls_last() if name == "f1" else value.asc_nulls_last()
+    return experiments.orderBy(order, "algorithm", "experiment_id").select(
+        "experiment_id", "algorithm", F.lit(name).alias("primary_metric"), "metrics"
+    )
+
+
+def compare_saved(spark, folder: str, experiment_ids: Sequence[str]) -> DataFrame:
+    """``comparison_table`` of the saved experiments among the ids; ids without one are passed over."""
+    saved = spark.read.parquet(f"{folder.rstrip('/')}/experiments").where(F.col("experiment_id").isin(*experiment_ids))
+    if saved.isEmpty():
+        raise ValueError("none of these experiments is saved")
+    return comparison_table(saved)
+
+
 def compare_models(experiments: DataFrame) -> DataFrame:
-    """One row: the best experiment by F1 (highest) or RMSE (lowest)."""
+    """One row: the best experiment by F1 (highest) or RMSE (lowest); see ``comparison_table`` for all of them."""
     classification = F.col("task_type").contains("classification")
     value = F.when(classification, F.col("metrics")["f1"]).otherwise(F.col("metrics")["rmse"])
     badness = F.when(classification, -value).otherwise(value)

@@ -210,3 +210,12 @@ def test_repeated_rows_and_tied_times_are_shared_out(spark):
     assert len(shares) == 10 and {r["count"] for r in shares} == {10}
     for frame in (rows, rows.withColumn("when", F.lit("2020-05-05"))):
         assert {r["is_test"]: r["count"] for r in M.split_by_time(frame, "when").groupBy("is_test").count().collect()} == {False: 80, True: 20}
+
+
+def test_comparison_lists_every_experiment(spark):
+    rows = [(f"e{k}", "", "y", "binary_classification", a, "{}", {"f1": f}, "{}", "{}", [], [], None, 1.0)
+            for k, (a, f) in enumerate([("svm", 0.5), ("forest", 0.9), ("logistic", None)])]
+    table = spark.createDataFrame(rows, M.EXPERIMENT_SCHEMA)
+    assert [r["experiment_id"] for r in M.comparison_table(table).collect()] == ["e1", "e0", "e2"]
+    with pytest.raises(ValueError):
+        M.comparison_table(table.unionByName(table.withColumn("task_type", F.lit("regression"))))

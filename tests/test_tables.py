@@ -315,3 +315,32 @@ def test_dates_and_numbers_in_texts(spark):
     numbers = local_table(spark, [(t,) for t in ["1d", "1f", "0x1", "1e3", " 2 ", "inf", "x", None]], "v string")
     assert [r[0] for r in numbers.select(C.as_number(F.col("v"))).collect()] == [None, None, None, 1000.0, 2.0, None, None, None]
     assert local_table(spark, [("\u00a0ab\u3000",)], "v string").select(C.strip(F.col("v"))).first()[0] == "ab"
+
+
+def test_delete_tells_what_it_found(spark):
+    table = local_table(spark, [(1,), (1,), (2,), (None,)], "k int")
+    gone = K.remove_keys(table, local_table(spark, [(1,), (9,)], "k int"), ["k"])
+    assert gone.found and gone.removed == 2 and gone.kept.count() == 2
+    assert not K.remove_keys(table, local_table(spark, [(9,)], "k int"), ["k"]).found
+    assert K.clear(table).removed == 4 and K.clear(table).kept.count() == 0
+
+
+def test_wide_keys_are_not_held_on_the_driver(spark):
+    from quillframe.operators.lookup import lookup_join, small_table
+
+    table = spark.range(50).select(F.concat(F.repeat(F.lit("x"), 1000), "id").alias("k"), F.col("id").alias("v"))
+    assert small_table(table) is not None and small_table(table, most_bytes=10_000) is None
+    assert lookup_join(table.select("k"), table, "k").where("v IS NULL").count() == 0
+
+
+def test_trend_by_hour_and_spread(spark):
+    rows = local_table(spark, [("2024-01-01 10:10:00", 1), ("2024-01-01 10:50:00", 3), ("2024-01-01 11:00:00", 3)], "t string, v int")
+    assert rows_of(G.trend_analysis(rows, "t", "v", "H", "nunique")) == [("2024-01-01 10:00", 2.0), ("2024-01-01 11:00", 1.0)]
+    assert rows_of(G.trend_analysis(rows, "t", "v", "D", "std")) == [("2024-01-01", pytest.approx(1.1547005))]
+
+
+def test_aggregation_comes_first_for_every_chart(spark):
+    rows = local_table(spark, [("a", 1.0), ("a", 3.0), ("b", 5.0)], "g string, v double")
+    for kind in ("bar", "line", "donut", "scatter"):
+        assert rows_of(V.chart_data(rows, {"chart_type": kind, "x": "g", "y": "v", "aggregation": "mean"})) == [("a", 2.0), ("b", 5.0)]
+    assert V.chart_data(rows, {"chart_type": "box", "x": "g", "y": "v", "aggregation": "mean"}).count() == 2
