@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from .array_sums import PARTS, parts_of, summed
 from .words import seeds, slices, text_bytes
 
 #: Buckets for hashed n-grams, and the lengths of the n-grams in UTF-8 bytes.
@@ -49,29 +50,16 @@ def gram_buckets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, np.ndarray] = {}
 
-    def out():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array([c.tobytes() for c in held.values()], pa.binary())], names=["lang", "counts"]
-        )
-
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for lo, hi, buckets, bounds in gram_buckets(batch.column("text")):
             for row in range(hi - lo):
                 if langs[lo + row] not in held and len(held) == HELD:
-                    yield out()
+                    yield parts_of(held)
                     held.clear()
                 counts = held.setdefault(langs[lo + row], np.zeros(BUCKETS, np.int64))
                 np.add.at(counts, buckets[bounds[row] : bounds[row + 1]], 1)
-    if held:
-        yield out()
-
-
-def _merge(table: pa.Table) -> pa.Table:
-    total = np.zeros(BUCKETS, np.int64)
-    for part in table.column("counts"):
-        total += np.frombuffer(part.as_buffer(), np.int64)
-    return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    yield parts_of(held)
 
 
 def codebook(n: int) -> np.ndarray:
@@ -123,14 +111,12 @@ def learn_languages(labelled: DataFrame) -> LanguageModel:
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    parts = rows.mapInArrow(_count, "lang string, counts binary")
-    merged = parts.groupBy("lang").applyInArrow(_merge, "lang string, counts binary").collect()
-    merged.sort(key=lambda r: r["lang"])
-    langs = tuple(r["lang"] for r in merged)
+    merged = summed(rows.mapInArrow(_count, PARTS), BUCKETS)
+    langs = tuple(sorted(merged))
     codes = codebook(len(langs))
     if not langs or not codes.shape[1]:
         return LanguageModel(langs, codes, np.zeros((BUCKETS, 0), "f4"), np.zeros(0), np.ones(0))
-    counts = np.vstack([np.frombuffer(r["counts"], np.int64) for r in merged]).astype(float)
+    counts = np.vstack([merged[lang] for lang in langs]).astype(float)
     total = np.maximum(counts.sum(1, keepdims=True), 1)
     smooth = SMOOTH * total / BUCKETS
     dist = (counts + smooth) / (total + smooth * BUCKETS)

@@ -10,13 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
+from .array_sums import PARTS, parts_of, summed
 from .components import components
 from .words import LOWER, Words, mix, seeds, words_of
 
 #: Members of one bucket that are compared with the whole bucket in one unit of work.
 BLOCK = 500
-#: Slots in which shingles are counted to put rare ones first, and the chunks in which they are summed.
-SLOTS, SLOT_CHUNKS = 1 << 16, 16
+#: Slots in which shingles are counted to put rare ones first.
+SLOTS = 1 << 16
 #: Hubs that the buckets of one group have between them in each round.
 HUBS = 8
 #: MinHash values behind the estimate, and bits kept of each.
@@ -153,20 +154,12 @@ def _bucket_mates(x: str, y: str):
 
 
 def slot_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many shingles of a task's sets fall into each of ``SLOTS`` slots, in chunks."""
+    """How many shingles of a task's sets fall into each of ``SLOTS`` slots."""
     held = np.zeros(SLOTS, np.int64)
     for batch in batches:
         for packed in batch.column("shingles"):
             held += np.bincount((np.frombuffer(packed.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    chunks = held.reshape(SLOT_CHUNKS, -1)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(SLOT_CHUNKS, dtype=np.int32)), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "held"]
-    )
-
-
-def slot_sum(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(part.as_buffer(), np.int64) for part in table.column("held"))
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "held": pa.array([total.tobytes()], pa.binary())})
+    yield parts_of({"": held})
 
 
 def prefixer(shared, percent: int):
@@ -291,8 +284,7 @@ def near_duplicates(
     if left:
         open_ids = open_rows.select("id", "component").distinct()
         open_sets = sets.join(open_ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        sums = open_sets.mapInArrow(slot_counter, "chunk int, held binary").groupBy("chunk").applyInArrow(slot_sum, "chunk int, held binary")
-        held = np.concatenate([np.frombuffer(r["held"], np.int64) for r in sorted(sums.collect())])
+        held = summed(open_sets.mapInArrow(slot_counter, PARTS), SLOTS).get("", np.zeros(SLOTS, np.int64))
         prefixes = open_sets.mapInArrow(prefixer(spark.sparkContext.broadcast(held), percent), "id long, prefix array<long>")
         firsts = prefixes.join(open_ids, "id").select("id", "component", F.posexplode("prefix").alias("at", "shingle"))
         lists = firsts.groupBy("shingle").agg(
