@@ -24,10 +24,10 @@ NEVER = frozenset(
     "textarea title video audio".split()
 )
 MARKS = frozenset(
-    "ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs byline-share comment comments complementary contentinfo consent "
-    "cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notification pagination "
-    "pager popup promo promoted promotion recommended related replies respond search share sharing sidebar skip social "
-    "sponsor sponsored subscribe subscription toolbar topbar widget".split()
+    "ad ads adsbygoogle advert advertisement adverts alert alerts aside banner breadcrumb breadcrumbs byline-share comment commentlist comments complementary contentinfo consent "
+    "cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices notification pagination "
+    "pager popup promo promoted promotion recommended related replies respond search share sharing sidebar sitenav skip social "
+    "sponsor sponsored subscribe subscription subnav toolbar topbar topnav widget".split()
 )
 #: Marks that inside an article name its own heading.
 HEADS = frozenset(["header", "masthead", "banner"])
