@@ -19,6 +19,22 @@ BLOCK = 64
 #: Nearness of an exact match, and weight of the base rate among the votes.
 NEAR, PRIOR = 0.05, 1.0
 
+class Vocabulary:
+    """Sorted term hashes, with a table of flags by their low bits that turns most other terms away at once."""
+
+    def __init__(self, terms: np.ndarray):
+        self.terms = terms
+        self.flags = np.zeros(1 << 20, bool)
+        self.flags[(terms & np.uint64(self.flags.size - 1)).astype(np.int64)] = True
+
+    def places(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the terms are known, by index, and their places in the vocabulary."""
+        maybe = np.flatnonzero(self.flags[(term & np.uint64(self.flags.size - 1)).astype(np.int64)])
+        at = np.searchsorted(self.terms, term[maybe])
+        known = self.terms[np.minimum(at, max(len(self.terms) - 1, 0))] == term[maybe] if len(self.terms) else np.zeros(len(maybe), bool)
+        return maybe[known], at[known]
+
+
 _PLAIN = np.arange(256, dtype=np.uint8)
 _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -31,16 +47,22 @@ def _plain(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lower), [None, offsets, pa.py_buffer(raw.tobytes())], offset=lower.offset)
 
 
-def row_terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, row of each term, hash of each term) by slices: whole words, and their beginnings."""
+def row_terms(column: pa.Array, wanted: Vocabulary | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, row of each term, hash of each term) by slices: whole words, and their beginnings.
+
+    With a vocabulary only its terms, as their places in it.
+    """
     for words in words_of(_plain(column)):
         starts, size = words.starts, words.ends - words.starts
-        row = words.row_of(np.arange(len(starts)))
-        rows, terms = [row], [words.hashes]
-        for k in STEMS:
-            long = np.flatnonzero(size >= k)
-            rows.append(row[long])
-            terms.append(words.span_hashes(starts[long], starts[long] + k) ^ np.uint64(k))
+        rows, terms = [], []
+        for k in (0, *STEMS):
+            at = np.flatnonzero(size >= k)
+            term = words.span_hashes(starts[at], starts[at] + k) ^ np.uint64(k) if k else words.hashes
+            if wanted is not None:
+                known, term = wanted.places(term)
+                at = at[known]
+            rows.append(words.row_of(at))
+            terms.append(term)
         yield *words.rows, np.concatenate(rows), np.concatenate(terms)
 
 
@@ -67,23 +89,17 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _placed(vocabulary: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(vocabulary, term), max(len(vocabulary) - 1, 0))
-    return at, vocabulary[at] == term if len(vocabulary) else np.zeros(len(term), bool)
-
-
 def _document_counts(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held = shared.value, np.zeros(len(shared.value), np.int64)
+        vocabulary, held = shared.value, np.zeros(len(shared.value.terms), np.int64)
         rows = 0
         for batch in batches:
             rows += batch.num_rows
-            for _, _, row, term in row_terms(batch.column("text")):
-                at, known = _placed(vocabulary, term)
-                _, at, _ = _counted(row[known], at[known])
+            for _, _, row, at in row_terms(batch.column("text"), vocabulary):
+                _, at, _ = _counted(row, at)
                 held += np.bincount(at, minlength=len(held))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(vocabulary.view(np.int64), 0)), pa.array(np.append(held, rows)),
+            [pa.array(np.append(vocabulary.terms.view(np.int64), 0)), pa.array(np.append(held, rows)),
              pa.array(np.append(np.zeros(len(held), bool), True))],
             names=["term", "n", "all"],
         )
@@ -91,11 +107,10 @@ def _document_counts(shared):
     return run
 
 
-def _vectors(vocabulary: np.ndarray, weights: np.ndarray, column: pa.Array):
+def _vectors(vocabulary: Vocabulary, weights: np.ndarray, column: pa.Array):
     """(row, terms, unit TF-IDF weights) of the rows that have a term of the vocabulary."""
-    for lo, _, row, term in row_terms(column):
-        at, known = _placed(vocabulary, term)
-        row, at, times = _counted(row[known], at[known])
+    for lo, _, row, at in row_terms(column, vocabulary):
+        row, at, times = _counted(row, at)
         value = (1 + np.log(times)) * weights[at]
         bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
         for a, b in zip(bounds, np.append(bounds[1:], len(row))):
@@ -172,7 +187,7 @@ class BlockMaxIndex:
 
 @dataclass(frozen=True)
 class ToxicityModel:
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
     weights: np.ndarray
     index: BlockMaxIndex
     blank_rate: float
@@ -209,18 +224,19 @@ def learn_toxicity(
         ok > 0, ok * F.log(ok / F.col("n") / max(1 - base, 1e-9))
     ).otherwise(0.0)
     picked = counts.where((F.col("p") > 0) & (F.col("p") >= F.col("n") * rate)).where(ratio >= evidence).orderBy(F.desc("p"), "term").limit(most_terms)
-    vocabulary = np.sort(np.array([r["term"] for r in picked.select("term").collect()], np.int64).view(np.uint64))
+    terms = np.sort(np.array([r["term"] for r in picked.select("term").collect()], np.int64).view(np.uint64))
+    vocabulary = Vocabulary(terms)
     shared = spark.sparkContext.broadcast(vocabulary)
     held = texts.mapInArrow(_document_counts(shared), "term long, n long, all boolean").groupBy("term", "all").agg(F.sum("n").alias("n")).collect()
     frequency = {np.uint64(r["term"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in held if not r["all"]}
     documents = next((r["n"] for r in held if r["all"]), 0)
-    weights = np.array([np.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in vocabulary], float)
+    weights = np.array([np.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in terms], float)
     both = spark.sparkContext.broadcast((vocabulary, weights))
     rows = examples.mapInArrow(_example_vectors(both), "doc_id long, toxic int, terms array<int>, weights array<double>")
     blank = rows.where(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
     full = rows.where(F.size("terms") > 0).collect()
     full.sort(key=lambda r: (r["doc_id"], r["toxic"], r["terms"], r["weights"]))
-    index = BlockMaxIndex([(r["doc_id"], r["toxic"], r["terms"], r["weights"]) for r in full], len(vocabulary))
+    index = BlockMaxIndex([(r["doc_id"], r["toxic"], r["terms"], r["weights"]) for r in full], len(terms))
     blank_rate = ((blank["p"] or 0) + base) / (blank["n"] + 1)
     return ToxicityModel(vocabulary, weights, index, blank_rate, base)
 
