@@ -14,7 +14,7 @@ from .array_sums import PARTS, parts_of, summed
 from .components import components
 from .words import LOWER, Words, mix, seeds, words_of
 
-#: Members of one bucket that are compared with the whole bucket in one unit of work.
+#: Members of one list that are compared with the whole list in one unit of work.
 BLOCK = 500
 #: Slots in which shingles are counted to put rare ones first.
 SLOTS = 1 << 16
@@ -193,7 +193,7 @@ def near_duplicates(
 
     Two documents are linked if ``100 * |intersection| >= percent * |union|`` of their sets of distinct
     ``shingle``-word windows (A-Z lower-cased; fewer words: the whole sequence is one).  Null, empty and
-    wordless texts have an empty set and no link.  ``component_id`` is the least doc_id that can be reached, itself included; ``kept``
+    wordless texts have an empty set and no link; rows of one doc_id are taken to have one text.  ``component_id`` is the least doc_id that can be reached, itself included; ``kept``
     marks it.  Repeated rows give repeated results; equal texts are always in one component; an empty
     table gives an empty result; other columns are ignored.
 
