@@ -98,11 +98,10 @@ def ml_split_stratified(t):
 @query(
     "ml_split_time",
     """
-WITH r AS (SELECT order_date, row_number() OVER (ORDER BY order_date) - 1 AS k, count(*) OVER () AS n FROM sales),
-cut AS (SELECT order_date AS cut_at FROM r WHERE k = floor(n * 0.8))
-SELECT order_date >= cut_at AS is_test, count(*) AS n, CAST(CAST(min(order_date) AS DATE) AS VARCHAR) AS first_day,
+WITH r AS (SELECT order_date, row_number() OVER (ORDER BY order_date) - 1 AS k, count(*) OVER () AS n FROM sales)
+SELECT k >= floor(n * 0.8) AS is_test, count(*) AS n, CAST(CAST(min(order_date) AS DATE) AS VARCHAR) AS first_day,
        CAST(CAST(max(order_date) AS DATE) AS VARCHAR) AS last_day
-FROM sales, cut GROUP BY 1
+FROM r GROUP BY 1
 """,
     ("sales",),
 )
@@ -114,6 +113,42 @@ def ml_split_time(t):
     )
 
 
+@query(
+    "ml_folds_repeated",
+    """
+WITH r AS (
+  SELECT l_returnflag AS flag, row_number() OVER (PARTITION BY l_returnflag) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem
+)
+SELECT flag, CAST((5 * k > n - 1) AS INT) + CAST((5 * k > 2 * (n - 1)) AS INT) + CAST((5 * k > 3 * (n - 1)) AS INT)
+         + CAST((5 * k > 4 * (n - 1)) AS INT) AS fold, count(*) AS n
+FROM r GROUP BY 1, 2
+""",
+)
+def ml_folds_repeated(t):
+    """Rows with six distinct values still come in equal shares."""
+    rows = t("lineitem").select(F.col("l_returnflag").alias("flag"), "l_linestatus")
+    return M.with_folds(rows, 5, "flag").groupBy("flag", "fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ml_split_tied",
+    """
+WITH r AS (
+  SELECT o_orderdate >= DATE '1998-01-01' AS late, row_number() OVER (ORDER BY o_orderdate >= DATE '1998-01-01') - 1 AS k, count(*) OVER () AS n
+  FROM orders
+)
+SELECT k >= floor(n * 0.8) AS is_test, count(*) AS n, count(*) FILTER (WHERE late) AS late_rows FROM r GROUP BY 1
+""",
+)
+def ml_split_tied(t):
+    """Only two moments in time: the cut shares out the rows tied at it."""
+    late = F.col("o_orderdate") >= F.lit("1998-01-01").cast("date")
+    rows = t("orders").select(late.alias("late"), F.when(late, "1998-01-01").otherwise("1997-01-01").alias("day"))
+    return M.split_by_time(rows, "day").groupBy("is_test").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("late").alias("late_rows")
+    )
+
+
 def _measured(trained: M.Trained):
     return S.metric_table(trained.predictions, trained.metrics)
 
