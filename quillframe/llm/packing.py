@@ -23,6 +23,9 @@ BUCKET_ROWS = 20_000
 #: Words, and runs of letters, whose ids one worker remembers; beyond that it starts anew.
 CACHE_WORDS = 1_000_000
 
+#: Runs encoded as one text, and texts whose new words are learned together.
+RUNS_AT_ONCE, TEXTS_AT_ONCE = 256, 64
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary"
 _TOKENIZERS: dict = {}
 _ENCODERS: dict = {}
@@ -93,6 +96,20 @@ class WordEncoder:
     def _ids(self, names: list[str]) -> list[bytes]:
         return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
 
+    def _run_ids(self, runs: list[str]) -> list[bytes]:
+        """Ids of runs, many of them to a text, told apart by the tokenizer's own count of runs."""
+        groups = [runs[k : k + RUNS_AT_ONCE] for k in range(0, len(runs), RUNS_AT_ONCE)]
+        out: list[bytes] = []
+        for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, dtype=float)
+            cuts = np.flatnonzero(word[1:] != word[:-1]) + 1
+            if len(cuts) + 1 == len(group) and not np.isnan(word).any():
+                raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+                out += [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
+            else:
+                out += self._ids(group)
+        return out
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.words) + len(words) > CACHE_WORDS:
             self.words.clear()
@@ -106,22 +123,25 @@ class WordEncoder:
             else:
                 whole.append((word, name))
         fresh = list({run for _, runs in split for run in runs if run not in self.runs})
-        self.runs.update(zip(fresh, self._ids(fresh)))
+        self.runs.update(zip(fresh, self._run_ids(fresh)))
         runs = self.runs
         for word, parts in split:
             self.words[word] = b"".join([runs[p] for p in parts])
         self.words.update(zip([w for w, _ in whole], self._ids([n for _, n in whole])))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split()
-            known = self.words
-            missing = {w for w in words if w not in known}
+        known = self.words
+        for lo in range(0, len(texts), TEXTS_AT_ONCE):
+            split = [text.split() for text in texts[lo : lo + TEXTS_AT_ONCE]]
+            missing = {w for words in split for w in words if w not in known}
             if missing:
                 self.learn(missing)
-                if len(known) < len(missing) or not all(map(known.__contains__, words)):
+            for words in split:
+                try:
+                    yield b"".join([known[w] for w in words])
+                except KeyError:  # forgotten meanwhile
                     self.learn(set(words))
-            yield b"".join([known[w] for w in words])
+                    yield b"".join([known[w] for w in words])
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
