@@ -1,21 +1,25 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index."""
+"""Toxicity by the nearest labelled examples: exact cosine of whole TF-IDF vectors, weighted by what terms say of the label."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from .array_sums import CHUNK, PARTS, parts_of, summed
 from .words import words_of
 
 #: Byte lengths of word beginnings that count as terms besides whole words.
 STEMS = (4, 5, 6, 7, 8)
-#: Examples in one block of the index.
-BLOCK = 64
+#: Bytes of the index's dense block, for the terms that most examples have, and queries scored at once.
+DENSE_BYTES, AT_ONCE = 96 << 20, 16
 #: Nearness of an exact match, and weight of the base rate among the votes.
 NEAR, PRIOR = 0.05, 1.0
 
@@ -24,7 +28,7 @@ class Vocabulary:
 
     def __init__(self, terms: np.ndarray):
         self.terms = terms
-        self.flags = np.zeros(1 << 20, bool)
+        self.flags = np.zeros(1 << max(20, len(terms).bit_length() + 2), bool)
         self.flags[(terms & np.uint64(self.flags.size - 1)).astype(np.int64)] = True
 
     def places(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +80,14 @@ def _counted(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[first], term[first], np.diff(np.append(first, len(row)))
 
 
+def _counted_places(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for places in a vocabulary, which sort faster."""
+    key = np.sort((row.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    times, key = np.diff(np.append(first, len(key))), key[first]
+    return (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64), times
+
+
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -89,120 +101,167 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _document_counts(shared):
+def _document_counts(shared, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, held = shared.value, np.zeros(len(shared.value.terms), np.int64)
-        rows = 0
+        vocabulary, held = shared.value, np.zeros(length, np.int64)
         for batch in batches:
-            rows += batch.num_rows
+            held[-1] += batch.num_rows
             for _, _, row, at in row_terms(batch.column("text"), vocabulary):
-                _, at, _ = _counted(row, at)
-                held += np.bincount(at, minlength=len(held))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(vocabulary.terms.view(np.int64), 0)), pa.array(np.append(held, rows)),
-             pa.array(np.append(np.zeros(len(held), bool), True))],
-            names=["term", "n", "all"],
-        )
+                held += np.bincount(_counted_places(row, at)[1], minlength=length)
+        yield parts_of({"": held})
 
     return run
 
 
 def _vectors(vocabulary: Vocabulary, weights: np.ndarray, column: pa.Array):
-    """(row, terms, unit TF-IDF weights) of the rows that have a term of the vocabulary."""
+    """(row, terms, unit weights) of the rows that have a term of the vocabulary."""
     for lo, _, row, at in row_terms(column, vocabulary):
-        row, at, times = _counted(row, at)
+        row, at, times = _counted_places(row, at)
         value = (1 + np.log(times)) * weights[at]
         bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
         for a, b in zip(bounds, np.append(bounds[1:], len(row))):
             yield lo + int(row[a]), at[a:b], value[a:b] / np.sqrt((value[a:b] ** 2).sum())
 
 
-def _example_vectors(shared):
+def _pack(terms: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending terms and how often they occur, in few bytes: steps and counts by byte planes, compressed."""
+    both = np.concatenate([np.diff(terms, prepend=0), times]).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=3).compress(both.T.tobytes())
+
+
+def _unpack(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+
+
+def _example_terms(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, weights = shared.value
         for batch in batches:
-            ids, toxic = batch.column("doc_id").to_pylist(), batch.column("toxic").to_pylist()
-            terms, values = [[] for _ in ids], [[] for _ in ids]
-            for row, at, value in _vectors(vocabulary, weights, batch.column("text")):
-                terms[row], values[row] = at.tolist(), value.tolist()
+            held = [b""] * batch.num_rows
+            for lo, _, row, at in row_terms(batch.column("text"), shared.value):
+                row, at, times = _counted_places(row, at)
+                bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
+                for a, b in zip(bounds, np.append(bounds[1:], len(row))):
+                    held[lo + int(row[a])] = _pack(at[a:b], times[a:b])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(toxic, pa.int32()), pa.array(terms, pa.list_(pa.int32())),
-                 pa.array(values, pa.list_(pa.float64()))], names=["doc_id", "toxic", "terms", "weights"],
+                [batch.column("doc_id"), batch.column("toxic"), pa.array(held, pa.binary())], names=["doc_id", "toxic", "held"]
             )
 
     return run
 
 
+@dataclass(frozen=True)
+class PackedExamples:
+    """Examples as the driver holds and sends them; their vectors are made where they are read."""
+
+    rows: list[tuple[int, int, bytes]]
+    weights: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __iter__(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        for doc_id, toxic, held in self.rows:
+            terms, times = _unpack(held)
+            value = (1 + np.log(times)) * self.weights[terms]
+            yield doc_id, toxic, terms, value / np.sqrt((value**2).sum())
+
+
 class BlockMaxIndex:
-    """Postings by term, and every term's greatest weight in each block of ``BLOCK`` examples."""
-
-    def __init__(self, examples: list[tuple[int, int, list[int], list[float]]], n_terms: int):
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.toxic = np.array([e[1] for e in examples], float)
-        self.blocks = -(-len(examples) // BLOCK)
-        term = np.concatenate([np.array(e[2], np.int64) for e in examples] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([np.array(e[3], float) for e in examples] or [np.zeros(0)])
-        example = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples]) if examples else np.zeros(0, np.int64)
-        order = np.lexsort((example, term))
-        self.term, self.example, self.weight = term[order], example[order], weight[order]
-        self.first = np.searchsorted(self.term, np.arange(n_terms + 1))
-        self.cells = self.term * max(self.blocks, 1) + self.example // BLOCK
-        self.cell_at = np.flatnonzero(np.append(True, self.cells[1:] != self.cells[:-1])) if len(self.cells) else np.zeros(0, int)
-        self.cell = self.cells[self.cell_at]
-        self.cell_most = np.maximum.reduceat(self.weight, self.cell_at) if len(self.cell_at) else np.zeros(0)
-        self.cell_first = np.searchsorted(self.cell, np.arange(n_terms + 1) * max(self.blocks, 1))
+    """All terms of all examples: a dense block for those that most examples have, postings for the others."""
+
+    def __init__(self, examples: PackedExamples | list[tuple[int, int, list[int], list[float]]], n_terms: int):
+        self.ids, self.toxic = np.zeros(len(examples), np.int64), np.zeros(len(examples))
+        size = np.zeros(n_terms, np.int64)
+        for k, (self.ids[k], self.toxic[k], terms, _) in enumerate(examples):
+            size[terms] += 1
+        common = np.sort(np.argsort(-size, kind="stable")[: DENSE_BYTES // (4 * max(len(examples), 1))])
+        common = common[size[common] > len(examples) // 64]
+        self.column = np.full(n_terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((len(examples), len(common)), np.float32)
+        size[common] = 0
+        self.first = np.append(0, np.cumsum(size))
+        self.example, self.weight = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1], np.float32)
+        free = self.first[:-1].copy()
+        for k, (_, _, terms, weights) in enumerate(examples):
+            terms, weights = np.asarray(terms, np.int64), np.asarray(weights)
+            column = self.column[terms]
+            self.dense[k, column[column >= 0]] = weights[column >= 0]
+            terms, weights = terms[column < 0], weights[column < 0]
+            self.example[free[terms]], self.weight[free[terms]] = k, weights
+            free[terms] += 1
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of greatest cosine, ties by position, and their cosines.  Only positive cosines count.
+        """The ``k`` examples of greatest cosine, ties by position, and their cosines.  Only positive cosines count."""
+        return self.nearest_of_each([(terms, weights)], k)[0]
+
+    def nearest_of_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same for several queries.
 
-        Blocks are opened from the greatest bound down, until no bound reaches the k-th cosine.
+        Postings are summed in double precision for all examples.  A product in single precision adds the dense block; examples that may
+        be among the nearest by it are summed again in double precision, so results don't depend on what is scored together.
         """
-        bound = np.zeros(self.blocks)
-        for t, w in zip(terms, weights):
-            a, b = self.cell_first[t], self.cell_first[t + 1]
-            bound[self.cell[a:b] - t * self.blocks] += w * self.cell_most[a:b]
-        order = np.argsort(-bound, kind="stable")
-        found, cosine, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for lo in range(0, len(order), 8):
-            some = order[lo : lo + 8]
-            some = some[(bound[some] > 0) & (bound[some] >= least - 1e-12)]
-            if not len(some):
-                break
-            score = np.zeros((len(some), BLOCK))
-            for t, w in zip(terms, weights):
-                a, b = self.cell_first[t], self.cell_first[t + 1]
-                at = np.searchsorted(self.cell[a:b], t * self.blocks + some)
-                for k_block, c in enumerate(at):
-                    if a + c < b and self.cell[a + c] == t * self.blocks + some[k_block]:
-                        p, q = self.cell_at[a + c], self.cell_at[a + c + 1] if a + c + 1 < len(self.cell_at) else len(self.cells)
-                        score[k_block, self.example[p:q] % BLOCK] += w * self.weight[p:q]
-            hit = np.nonzero(score > 0)
-            found = np.concatenate([found, some[hit[0]] * BLOCK + hit[1]])
-            cosine = np.round(np.concatenate([cosine, score[hit]]), 12) if lo == 0 else np.concatenate([cosine, np.round(score[hit], 12)])
-            best = np.lexsort((found, -cosine))[:k]
-            found, cosine = found[best], cosine[best]
-            least = cosine[-1] if len(cosine) == k else 0.0
-        return found, np.minimum(cosine, 1.0)
+        n = len(self.ids)
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        out = []
+        for lo in range(0, len(queries), AT_ONCE):
+            some = queries[lo : lo + AT_ONCE]
+            query = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
+            term, weight = np.concatenate([t for t, _ in some]), np.concatenate([w for _, w in some])
+            sizes = self.first[term + 1] - self.first[term]
+            place = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            rare = np.bincount(
+                np.repeat(query * n, sizes) + self.example[place], np.repeat(weight, sizes) * self.weight[place], len(some) * n
+            ).reshape(len(some), n)
+            often = self.column[term] >= 0
+            dense = np.zeros((len(some), self.dense.shape[1]))
+            dense[query[often], self.column[term[often]]] = weight[often]
+            near = rare + dense.astype(np.float32) @ self.dense.T
+            for j in range(len(some)):
+                least = np.partition(near[j], n - k)[n - k] if n > k else 0.0
+                may = np.flatnonzero((near[j] >= least - 1e-4) & (near[j] > 0))
+                cosine = np.concatenate(
+                    [np.zeros(0), *[rare[j, x] + (self.dense[x] * dense[j]).sum(1) for x in (may[a : a + 512] for a in range(0, len(may), 512))]]
+                )
+                cosine = np.round(cosine, 6)
+                best = np.lexsort((may, -cosine))[:k]
+                best = best[cosine[best] > 0]
+                out.append((may[best], np.minimum(cosine[best], 1.0)))
+        return out
 
 
 @dataclass(frozen=True)
 class ToxicityModel:
     vocabulary: Vocabulary
     weights: np.ndarray
-    index: BlockMaxIndex
+    examples: PackedExamples
     blank_rate: float
     base_rate: float
 
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        """Built once in each worker."""
+        return BlockMaxIndex(self.examples, len(self.weights))
+
 
-def learn_toxicity(
-    labelled: DataFrame, corpus: DataFrame, most_examples: int = 20_000, most_terms: int = 4_000, lift: float = 0.5, evidence: float = 14.0
-) -> ToxicityModel:
+def _evidence(n: np.ndarray, p: np.ndarray, base: float) -> np.ndarray:
+    """Root of the log likelihood ratio of ``p`` toxic among ``n`` examples against the base rate; 0 if there are fewer than that."""
+    ok = n - p
+    more = (p > n * base) & (base < 1)
+    ratio = p * np.log(np.where(more, p / n / max(base, 1e-9), 1)) + ok * np.log(np.where(more & (ok > 0), ok / n / max(1 - base, 1e-9), 1))
+    return np.sqrt(np.maximum(ratio, 0))
+
+
+def learn_toxicity(labelled: DataFrame, corpus: DataFrame, most_examples: int = 20_000) -> ToxicityModel:
     """Index labelled examples.  ``labelled(doc_id, toxic)`` are the labels to learn from, ``corpus(doc_id, text)`` has the texts.
 
     At most ``most_examples`` labels are used, the first in the order of a hash of doc_id; that bounds the model, which
-    is broadcast.  Terms are words and beginnings of words (of ``STEMS`` bytes) whose examples are toxic at a rate of at least
-    ``lift``, or three times the base rate if that is more, with a log likelihood ratio against the base rate of at
-    least ``evidence``; at most ``most_terms``, by the number of toxic examples.  Document frequencies count all rows of ``corpus``.
+    is broadcast.  Terms are all words of the examples, and beginnings of words (of ``STEMS`` bytes).  A term weighs its TF-IDF, with document
+    frequencies over all rows of ``corpus``, times one plus the root of the log likelihood ratio by which its examples are toxic more often
+    than the base rate, so that no term is without weight and words tied to the label lead.
 
     Null labels and doc_ids are left out, a document labelled twice is toxic if any label says so, labels without a
     document are ignored; without examples the base rate is 0.
@@ -218,27 +277,21 @@ def learn_toxicity(
     n, p = totals["n"] or 0, totals["p"] or 0
     base = p / n if n else 0.0
     counts = examples.mapInArrow(_term_counts, "term long, n long, p long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    rate = min(max(lift, 3 * base), 0.9)
-    ok = F.col("n") - F.col("p")
-    ratio = F.col("p") * F.log(F.col("p") / F.col("n") / max(base, 1e-9)) + F.when(
-        ok > 0, ok * F.log(ok / F.col("n") / max(1 - base, 1e-9))
-    ).otherwise(0.0)
-    picked = counts.where((F.col("p") > 0) & (F.col("p") >= F.col("n") * rate)).where(ratio >= evidence).orderBy(F.desc("p"), "term").limit(most_terms)
-    terms = np.sort(np.array([r["term"] for r in picked.select("term").collect()], np.int64).view(np.uint64))
+    table = counts.toArrow()
+    terms = table.column("term").to_numpy().view(np.uint64)
+    order = np.argsort(terms)
+    terms, seen, toxic = terms[order], table.column("n").to_numpy()[order], table.column("p").to_numpy()[order]
+    del table
     vocabulary = Vocabulary(terms)
     shared = spark.sparkContext.broadcast(vocabulary)
-    held = texts.mapInArrow(_document_counts(shared), "term long, n long, all boolean").groupBy("term", "all").agg(F.sum("n").alias("n")).collect()
-    frequency = {np.uint64(r["term"] & 0xFFFFFFFFFFFFFFFF): r["n"] for r in held if not r["all"]}
-    documents = next((r["n"] for r in held if r["all"]), 0)
-    weights = np.array([np.log((1 + documents) / (1 + frequency.get(t, 0))) + 1 for t in terms], float)
-    both = spark.sparkContext.broadcast((vocabulary, weights))
-    rows = examples.mapInArrow(_example_vectors(both), "doc_id long, toxic int, terms array<int>, weights array<double>")
-    blank = rows.where(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("p")).first()
-    full = rows.where(F.size("terms") > 0).collect()
-    full.sort(key=lambda r: (r["doc_id"], r["toxic"], r["terms"], r["weights"]))
-    index = BlockMaxIndex([(r["doc_id"], r["toxic"], r["terms"], r["weights"]) for r in full], len(terms))
-    blank_rate = ((blank["p"] or 0) + base) / (blank["n"] + 1)
-    return ToxicityModel(vocabulary, weights, index, blank_rate, base)
+    length = -(-(len(terms) + 1) // CHUNK) * CHUNK
+    held = summed(texts.mapInArrow(_document_counts(shared, length), PARTS), length).get("", np.zeros(length, np.int64))
+    weights = (np.log((1 + held[-1]) / (1 + held[: len(terms)])) + 1) * (1 + _evidence(seen, toxic, base))
+    rows = examples.mapInArrow(_example_terms(shared), "doc_id long, toxic int, held binary").collect()
+    blank = [r["toxic"] for r in rows if not r["held"]]
+    packed = PackedExamples(sorted((r["doc_id"], r["toxic"], bytes(r["held"])) for r in rows if r["held"]), weights)
+    blank_rate = (sum(blank) + base) / (len(blank) + 1)
+    return ToxicityModel(vocabulary, weights, packed, blank_rate, base)
 
 
 def _score(shared, k: int):
@@ -247,16 +300,29 @@ def _score(shared, k: int):
         known: dict[bytes, tuple[float, list[int]]] = {}
         for batch in batches:
             score, near = [model.blank_rate] * batch.num_rows, [[] for _ in range(batch.num_rows)]
-            for row, terms, weights in _vectors(model.vocabulary, model.weights, batch.column("text")):
-                key = terms.tobytes() + weights.tobytes()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    found, cosine = model.index.nearest(terms, weights, k)
+            waiting: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+            rows: list[tuple[int, bytes]] = []
+
+            def answer() -> None:
+                for key, (found, cosine) in zip(waiting, model.index.nearest_of_each(list(waiting.values()), k)):
                     vote = 1 / (NEAR + 1 - cosine)
                     share = (vote @ model.index.toxic[found] + PRIOR * model.base_rate) / (vote.sum() + PRIOR)
                     known[key] = float(min(max(share, 0.0), 1.0)), model.index.ids[found].tolist()
-                score[row], near[row] = known[key]
+                for row, key in rows:
+                    score[row], near[row] = known[key]
+                waiting.clear()
+                rows.clear()
+                if len(known) > 50_000:
+                    known.clear()
+
+            for row, terms, weights in _vectors(model.vocabulary, model.weights, batch.column("text")):
+                key = hashlib.blake2b(terms.tobytes() + weights.tobytes(), digest_size=16).digest()
+                rows.append((row, key))
+                if key not in known:
+                    waiting[key] = terms, weights
+                    if len(waiting) == AT_ONCE:
+                        answer()
+            answer()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score, pa.float64()), pa.array(near, pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"]
             )

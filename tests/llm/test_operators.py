@@ -321,6 +321,20 @@ def test_toxicity_by_neighbours(spark, docs, nothing):
     assert toxicity.score_toxicity(nothing, model).count() == 0
 
 
+def test_toxicity_of_a_copy_without_telling_words(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(words(rng, 40))) for k in range(200)]
+    rows += [(900 + k, rows[3][1]) for k in range(3)] + [(910, "")]
+    marks = local_table(spark, [(k, int(k == 3)) for k in range(200)], "doc_id long, toxic int")
+    table = local_table(spark, rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(table, toxicity.learn_toxicity(marks, table)).collect()}
+    blank = got[910]
+    assert not blank["evidence"] and blank["score"] < 0.1
+    for k in (900, 901, 902):
+        assert got[k]["evidence"][0] == 3 and len(got[k]["evidence"]) == 15 and got[k]["score"] > 0.4
+    assert all(r["evidence"] for r in got.values() if r["doc_id"] != 910)
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(0)
     dense = rng.random((500, 40)) * (rng.random((500, 40)) < 0.1)
