@@ -27,8 +27,16 @@ BASE_RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
+#: A private key from its BEGIN line to its END line (no other line of five dashes between); without one, over header fields and base64 lines,
+#: where line breaks may be written as \\n.
+PEM = (
+    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:[\x20\t\r\n]|\\[nr])*(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*|[A-Za-z0-9+/]{16,}={0,2}))*"
+    r"(?:(?:[\r\n]|\\[nr])+[A-Za-z0-9+/]{1,15}(?:={1,2}|[\r\n]|\z))?)"
+)
 RULES = BASE_RULES + (
-    Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("pem", 2, PEM, 0, 1),
 )
 
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"

@@ -384,6 +384,22 @@ def test_secrets_and_ledger(spark, docs, nothing):
     assert clean.first()["t"] == "[secret] and [secret]' [secret]"
 
 
+def test_private_keys_are_redacted_whole(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "q+/Z" * 12] * 5 + ["Tail9w=="])
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011AABB\n\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        (f"a {begin}\n{body}\n{end} b", "a [secret] b"), (f"a {begin}\n{head}{body}\n{end}\nb", "a [secret]\nb"),
+        (f"a {begin}\n{body}\nand so on", "a [secret]\nand so on"), (f"{begin}\n{body}\n{begin}\n{body}\n{end}", "[secret]\n[secret]"),
+        (f"a {begin} is a line", "a [secret] is a line"), (f"{begin}\\n" + body.replace("\n", "\\n"), "[secret]"),
+    ]
+    table = local_table(spark, [(k, text) for k, (text, _) in enumerate(texts)], "doc_id long, text string")
+    scan = secret_scan.scan_versions(table).paths.join(table, "doc_id")
+    pem = F.filter("findings", lambda f: f["kind"] == "pem")
+    got = {r["doc_id"]: r["t"] for r in scan.select("doc_id", secret_scan.redacted(F.col("text"), pem).alias("t")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(texts)}
+
+
 def test_statistics_against_brute_force(docs, awkward, nothing):
     want = Counter()
     for doc_id, text in awkward:
