@@ -32,14 +32,17 @@ MARKS = frozenset(
 #: Marks that inside an article name its own heading.
 HEADS = frozenset(["header", "masthead", "banner"])
 ARTICLE = frozenset(["article", "main"])
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math"
+#: Elements whose content is text up to their end tag; all others have elements inside and go by the stack.
+RAW = "script|style|textarea|title"
 
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<[!?][^>]*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)[^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
+#: Elements in which a slash before the closing bracket ends the element.
+FOREIGN = frozenset(["svg", "math", "iframe"])
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"\S+")
 #: Weight of a word or tag whose surroundings were never seen, least cost of a tag, and greatest weight of anything.
@@ -53,6 +56,7 @@ class Element:
     dropped: bool
     article: bool
     near: str
+    foreign: bool = False
 
 
 @dataclass
@@ -84,7 +88,7 @@ def tokens(page: str) -> Iterator[Token]:
             if depth:
                 del stack[depth:]
             top = stack[-1]
-        elif tag not in VOID:
+        elif tag not in VOID and not ((top.foreign or tag in FOREIGN) and m[0].endswith("/>")):
             if breaks and top.tag == "p":
                 stack.pop()
                 top = stack[-1]
@@ -104,7 +108,7 @@ def tokens(page: str) -> Iterator[Token]:
                 marked and tag not in ("html", "body") and tag not in ARTICLE
             )
             near = top.near if tag in INLINE or tag in ("p", "br") else ".".join([tag, *names[:1]])
-            stack.append(Element(tag, near, dropped, top.article or tag in ARTICLE, near))
+            stack.append(Element(tag, near, dropped, top.article or tag in ARTICLE, near, top.foreign or tag in FOREIGN))
             top = stack[-1]
         yield Token(None, tag, top.near, top.dropped, top.article, breaks)
 

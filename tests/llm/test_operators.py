@@ -211,6 +211,16 @@ def test_main_text_of_pages(spark):
     assert html_text.extract_pages(table.where("false"), html_text.learn_pages(table.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("inner", ["<svg class='i'/>", "<svg><path d='M0'/><title>no</title></svg>", "<math/>", "<iframe src='x'>no</iframe>"])
+def test_foreign_elements_end_where_they_end(inner):
+    assert html_text.PageModel().extract(f"<p>a {inner} rest of article</p><p>more</p>").split() == "a rest of article more".split()
+
+
+def test_custom_elements_are_not_raw():
+    page = "<title-card><p>One text</p></title-card><style-guide><p>two texts</p></style-guide><title>no</title><p>three</p>"
+    assert html_text.PageModel().extract(page) == "One text\ntwo texts\nthree"
+
+
 def test_every_id_is_packed_once(docs, awkward, nothing):
     tokenizers = pytest.importorskip("public_tokenizers")
     path = tokenizers.path("word_bpe_49k.json")
