@@ -29,6 +29,10 @@ MARKS = frozenset(
     "pager popup promo promoted promotion recommended related replies respond search share sharing sidebar sitenav skip social "
     "sponsor sponsored subscribe subscription subnav toolbar topbar topnav widget".split()
 )
+#: Marks of parts that may hold more words than the text they follow.
+AFTER = frozenset("comment comments commentlist disqus recommended related replies respond".split())
+#: Parts of names that tell a layout, or a part of the text, from the marked thing itself.
+LAYOUT = frozenset("no has with without layout wrapper wrap container content entry post page article results main body story".split())
 #: Marks that inside an article name its own heading.
 HEADS = frozenset(["header", "masthead", "banner"])
 ARTICLE = frozenset(["article", "main"])
@@ -43,6 +47,8 @@ _TOKEN = re.compile(
 )
 #: Elements in which a slash before the closing bracket ends the element.
 FOREIGN = frozenset(["svg", "math", "iframe"])
+#: Elements that hold a page's text, by which a marked element is known to be a layout around it.
+_PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li".split())
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _WORD = re.compile(r"\S+")
 #: Weight of a word or tag whose surroundings were never seen, least cost of a tag, and greatest weight of anything.
@@ -57,6 +63,9 @@ class Element:
     article: bool
     near: str
     foreign: bool = False
+    paragraph: bool = False
+    #: Marked elements around this one and itself, by place in the page; negative ones are of ``AFTER``.
+    marked: tuple[int, ...] = ()
 
 
 @dataclass
@@ -69,20 +78,51 @@ class Token:
     dropped: bool
     inside: bool
     breaks: bool
+    opens: str = ""
+    marked: tuple[int, ...] = ()
+    paragraph: bool = False
 
 
-def tokens(page: str) -> Iterator[Token]:
-    """Text nodes and tags in page order.  Unclosed and stray tags are tolerated; comments and raw elements are skipped."""
+def is_mark(name: str, marks: frozenset[str]) -> bool:
+    """A whole name, or one whose parts are a mark and what numbers or details it, such as ``sidebar-left`` or ``main-nav``."""
+    parts = [part for part in re.split(r"[-_]+", name) if part]
+    return name in marks or (any(part in marks for part in parts) and not any(part in LAYOUT for part in parts))
+
+
+def tokens(page: str) -> list[Token]:
+    """Text nodes and tags in page order.  Unclosed and stray tags are tolerated; comments and raw elements are skipped.
+
+    A marked element is dropped unless it is a layout around the text: if it holds an article or main element or, on a page without
+    one, most of the words in paragraphs.
+    """
+    items = list(_tokens(page))
+    if any(t.marked for t in items):
+        around = {place for t in items if t.opens in ARTICLE for place in t.marked if place > 0}
+        if not any(t.opens in ARTICLE for t in items):
+            words, total = Counter(), 0
+            for t in items:
+                if t.paragraph and not t.dropped and t.text is not None:
+                    n = len(_WORD.findall(t.text))
+                    total += n
+                    words.update({place: n for place in t.marked if place > 0})
+            around = {place for place, n in words.items() if 2 * n > total}
+        for t in items:
+            t.dropped = t.dropped or any(place not in around for place in t.marked)
+    return items
+
+
+def _tokens(page: str) -> Iterator[Token]:
+    """Tokens, with the marked elements around them, for which none is dropped yet."""
     stack = [Element("", "", False, False, "")]
-    for m in _TOKEN.finditer(page):
+    for place, m in enumerate(_TOKEN.finditer(page), 1):
         top = stack[-1]
         if m["text"] is not None:
-            yield Token(html.unescape(m["text"]), top.tag, top.near, top.dropped, top.article, False)
+            yield Token(html.unescape(m["text"]), top.tag, top.near, top.dropped, top.article, False, "", top.marked, top.paragraph)
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
-        breaks = tag not in INLINE
+        breaks, opens = tag not in INLINE, ""
         if m["end"] or m["end2"]:
             depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
             if depth:
@@ -103,14 +143,16 @@ def tokens(page: str) -> Iterator[Token]:
                 else:
                     names += value.split()
             marks = MARKS - HEADS if top.article else MARKS
-            marked = any(n in marks or any(part in marks for part in re.split(r"[-_]", n)) for n in names)
-            dropped = top.dropped or tag in NEVER or hidden or (tag == "header" and not top.article) or (
-                marked and tag not in ("html", "body") and tag not in ARTICLE
-            )
+            found = [n for n in names if is_mark(n, marks)] if tag not in ("html", "body") and tag not in ARTICLE else []
+            after = any(part in AFTER for n in found for part in (n, *re.split(r"[-_]", n)))
+            dropped = top.dropped or tag in NEVER or hidden or (tag == "header" and not top.article)
             near = top.near if tag in INLINE or tag in ("p", "br") else ".".join([tag, *names[:1]])
-            stack.append(Element(tag, near, dropped, top.article or tag in ARTICLE, near, top.foreign or tag in FOREIGN))
-            top = stack[-1]
-        yield Token(None, tag, top.near, top.dropped, top.article, breaks)
+            stack.append(Element(
+                tag, near, dropped, top.article or tag in ARTICLE, near, top.foreign or tag in FOREIGN, top.paragraph or tag in _PARAGRAPH,
+                (*top.marked, -place if after else place) if found else top.marked,
+            ))
+            top, opens = stack[-1], tag
+        yield Token(None, tag, top.near, top.dropped, top.article, breaks, opens, top.marked)
 
 
 def context(token: Token) -> tuple[str, str]:
@@ -135,7 +177,7 @@ class PageModel:
 
     def extract(self, page: str) -> str:
         """Blocks of the best run of tokens, in page order, joined by newlines."""
-        items = list(tokens(page))
+        items = tokens(page)
         best, best_span, total, start = 0.0, (0, 0), 0.0, 0
         for k, token in enumerate(items):
             value = self.weight(token)
@@ -163,7 +205,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         inside, outside = Counter(), Counter()
         for page in batch.column("html").to_pylist():
-            items = list(tokens(page))
+            items = tokens(page)
             if not any(t.inside and t.text is not None and not t.dropped for t in items):
                 continue
             for token in items:

@@ -211,6 +211,24 @@ def test_main_text_of_pages(spark):
     assert html_text.extract_pages(table.where("false"), html_text.learn_pages(table.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("name", ["no-sidebar", "has-sidebar", "with-sidebar", "layout-menu-left", "search-results", "widget-area-content", "sidebar"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_layouts_around_the_text_stay(name, tag):
+    page = f"<body><div class='{name}'><{tag}><p>The text of this page goes on here.</p><p>And here.</p></{tag}></div><div class='ad'><p>Buy</p></div></body>"
+    assert html_text.PageModel().extract(page) == "The text of this page goes on here.\nAnd here."
+
+
+def test_articles_of_comments_are_not_the_text():
+    page = "<article><p>Text.</p></article><ol class='comment-list'><li><article class='comment-body'><p>I agree with all this.</p></article></li></ol>"
+    assert html_text.PageModel().extract(page) == "Text."
+
+
+def test_marked_parts_and_heads_of_a_page():
+    page = ("<body><div class='main-nav'><li>Home</li></div><div class='post-header'><h2>The head</h2></div><p>Text of the page is here.</p>"
+            "<div class='sidebar-left'><p>Other</p></div><p>More.</p></body>")
+    assert html_text.PageModel().extract(page).split("\n")[-3:] == ["The head", "Text of the page is here.", "More."]
+
+
 @pytest.mark.parametrize("inner", ["<svg class='i'/>", "<svg><path d='M0'/><title>no</title></svg>", "<math/>", "<iframe src='x'>no</iframe>"])
 def test_foreign_elements_end_where_they_end(inner):
     assert html_text.PageModel().extract(f"<p>a {inner} rest of article</p><p>more</p>").split() == "a rest of article more".split()
