@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,7 +50,32 @@ TEMPLATES = (
             "conditions are met:"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
             "that the above copyright notice and this permission notice appear in all copies."),
+    ("Proprietary", "All rights reserved."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+                "documentation covered by this license"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+             "damages arising from the use of this software."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
 )
+#: Words that do not tell one license from another; one of them may be missing or changed in a template of at least ``EDITABLE`` words.
+GENERAL, EDITABLE = frozenset("released licensed distributed under the this work is a an of to terms license version v".split()), 5
+#: Lines with a free part: SPDX lines are named by their expression, copyright lines need a sign or a year.
+_YEARS = r"(?:19|20)\d\d(?:\s*[-\u2013,]\s*(?:(?:19|20)\d\d|present))*"
+_SPDX = re.compile(r"SPDX-License-Identifier:[^\S\n]*(\(?[A-Za-z0-9.+-]+(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+\(?[A-Za-z0-9.+-]+\)?)*\)?)", re.I)
+_COPYRIGHT = re.compile(
+    rf"(?:\bcopyright[^\S\n]*(?:(?:\u00a9|\(c\))[^\S\n]*(?:{_YEARS})?|{_YEARS})|\u00a9[^\S\n]*{_YEARS}|\(c\)[^\S\n]*{_YEARS})[^\n.;]*", re.I
+)
+_PLAIN_WORD = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+")
 
 
 def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +99,26 @@ class TemplateIndex:
     """Word hashes of the templates, and their fingerprints in order of value."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.names, self.words, parts = [], [], []
+        self.names, self.words, self.telling, parts = [], [], [], []
         for words in words_of(pa.array([text for _, text in templates], pa.large_string()), PLAIN):
             at, value = winnow(words)
+            # Templates of few words keep all their grams.
+            every, grams = words.windows(GRAM)
+            short = words.counts[words.row_of(every)] < SHORT
+            long = words.counts[words.row_of(at)] >= SHORT
+            at, value = np.concatenate([at[long], every[short]]), np.concatenate([value[long], grams[short]])
+            # Pairs with a telling word outlast any one edit of a template of five words.
+            pair, value_2 = words.windows(2)
+            size = words.counts[words.row_of(pair)]
+            spelled = [bytes(words.data[lo:hi]).decode() for lo, hi in zip(words.starts, words.ends)]
+            tells = np.array([w not in GENERAL for w in spelled], bool)
+            pick = (size >= EDITABLE) & (size < SHORT) & (tells[pair] | tells[pair + 1])
+            at, value = np.concatenate([at, pair[pick]]), np.concatenate([value, value_2[pick]])
             row = words.row_of(at)
             for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
                 self.names.append(templates[words.rows[0] + k][0])
                 self.words.append(words.hashes[a:b])
+                self.telling.append(tells[a:b])
             parts.append((value, row + words.rows[0], at - words.first[row]))
         value, template, offset = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
         order = np.argsort(value, kind="stable")
@@ -87,7 +126,7 @@ class TemplateIndex:
 
     def candidates(self, words: Words) -> np.ndarray:
         """Distinct (row, template, diagonal) of shared fingerprints."""
-        at, value = winnow(words)
+        at, value = (np.concatenate(x) for x in zip(words.windows(GRAM), words.windows(2)))
         lo = np.searchsorted(self.value, value, side="left")
         n = np.searchsorted(self.value, value, side="right") - lo
         hit = np.flatnonzero(n)
@@ -98,8 +137,8 @@ class TemplateIndex:
         return np.unique(np.vstack([np.repeat(row, n), self.template[place], diagonal]), axis=1)
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Best local alignment within ``BAND`` of a diagonal: matched words, and the span in ``text``; ties: the first end."""
+def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[list[int], int, int]:
+    """Best local alignment within ``BAND`` of a diagonal: the template's matched words, and the span in ``text``; ties: the first end."""
     lo, hi = max(0, diagonal - BAND), min(len(text), diagonal + len(template) + BAND)
     part = text[lo:hi]
     steps = np.arange(len(part) + 1) * -GAP
@@ -112,11 +151,13 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
         new[(column < i - BAND) | (column > i + BAND)] = 0
         score[i] = new
     i, j = np.unravel_index(int(score.argmax()), score.shape)
-    end, matched = j, 0
+    end, matched = j, []
     while i and j and score[i, j] > 0:
         same = part[j - 1] == template[i - 1]
         if score[i, j] == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched, i, j = matched + bool(same), i - 1, j - 1
+            i, j = i - 1, j - 1
+            if same:
+                matched.append(int(i))
         elif score[i, j] == score[i - 1, j] + GAP:
             i -= 1
         else:
@@ -124,6 +165,17 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, i
     return matched, lo + int(j), lo + int(end)
 
 
+def free_lines(text: str) -> list[tuple[str, float, int, int, int, int]]:
+    """SPDX and copyright lines: name, coverage, words, words, and the span."""
+    found = []
+    for pattern in (_SPDX, _COPYRIGHT):
+        for m in pattern.finditer(text):
+            hit = m[0].rstrip()
+            n = len(_PLAIN_WORD.findall(hit))
+            found.append((m[1] if pattern is _SPDX else "Copyright", 1.0, n, n, m.start(), m.start() + len(hit)))
+    return found
+
+
 def _scan(templates: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = TemplateIndex(templates)
@@ -137,8 +189,10 @@ def _scan(templates: tuple[tuple[str, str], ...]):
                         continue
                     a, b = words.first[row], words.first[row + 1]
                     size = len(index.words[template])
-                    matched, start, end = align(index.words[template], words.hashes[a:b], diagonal)
-                    if matched >= size * (SHORT_SHARE if size < SHORT else LONG_SHARE):
+                    same, start, end = align(index.words[template], words.hashes[a:b], diagonal)
+                    matched, telling = len(same), index.telling[template]
+                    edited = EDITABLE <= size < SHORT and matched == size - 1 and telling.any() and telling[same].sum() == telling.sum()
+                    if edited or matched >= size * (SHORT_SHARE if size < SHORT else LONG_SHARE):
                         hits.setdefault(row, []).append((-matched, start, end, index.names[template], size))
                         done[(row, template)] = end
                 for row, found in hits.items():
@@ -151,6 +205,8 @@ def _scan(templates: tuple[tuple[str, str], ...]):
                         lo, hi = words.starts[a + start], words.ends[a + end - 1]
                         chars = _code_points(words, row, lo), _code_points(words, row, hi)
                         rows.append((ids[words.rows[0] + row].as_py(), name, -matched / size, -matched, size, *chars))
+            for doc_id, text in zip(ids, batch.column("text")):
+                rows += [(doc_id.as_py(), *line) for line in free_lines(text.as_py() or "")]
             columns = list(zip(*rows)) if rows else [()] * 7
             types = [pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -169,10 +225,12 @@ def _code_points(words: Words, row: int, at: int) -> int:
 def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """(doc_id, license, coverage, matched, template_words, start, end): license notices in ``docs(doc_id, text)``.
 
-    Winnowed fingerprints of the templates (three words, the least of two neighbours) form an inverted index; every fingerprint that
+    Fingerprints of the templates (three words; the least of two neighbours, or all of a template of fewer than ``SHORT`` words) form an
+    inverted index; every fingerprint that
     a text shares names a template and a diagonal.  A local alignment within ``BAND`` words of the diagonal counts
     the template's ``matched`` words; ``coverage`` is their share, and ``start`` and ``end`` span the match in code points.  Half of a template
-    must match, or 85 % of one of fewer than ``SHORT`` words.  Of overlapping matches the one with most matched words
+    must match, or 85 % of one of fewer than ``SHORT`` words, or all but one of its words if that one
+    is ``GENERAL``.  SPDX lines, named by their expression, and copyright lines are found by their form, besides the templates.  Of overlapping matches the one with most matched words
     counts, then the shorter template, the first start, and the name.
 
     Null, empty and wordless texts have no match; repeated rows are each answered; null doc_ids stay null; empty tables give no rows; other columns

@@ -95,6 +95,23 @@ def test_license_scan(spark, docs, nothing):
     assert license_scan.scan_licenses(docs).count() == 0 and license_scan.scan_licenses(nothing).count() == 0
 
 
+def test_short_notices_and_free_lines(spark):
+    rows = [
+        (1, "some words All rights reserved. more words"), (2, "Licensed under MIT License"), (3, "released under the apache license"),
+        (4, "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */"), (5, "Ü Copyright (c) 2019-2021 Some One\nAll rights reserved"),
+        (6, "This is free and unencumbered software released into the public domain."), (7, "Distributed under the Boost Software License, Version 1.0."),
+        (8, "the copyright of works is a matter of law"), (9, "\u00a9 2020 Us. Text"),
+    ] + [(100 + k, f"w{k} x{k} all rights reserved y{k} z{k}") for k in range(40)]
+    got = {}
+    for r in license_scan.scan_licenses(local_table(spark, rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], dict(rows)[r["doc_id"]][r["start"] : r["end"]]))
+    assert got[1] == [("Proprietary", "All rights reserved")] and [x[0] for x in got[2]] == ["MIT"]
+    assert got[4] == [("GPL-2.0-only WITH Classpath-exception-2.0", rows[3][1][3:-3])]
+    assert sorted(got[5]) == [("Copyright", "Copyright (c) 2019-2021 Some One"), ("Proprietary", "All rights reserved")]
+    assert [x[0] for x in got[6] + got[7]] == ["Unlicense", "BSL-1.0"] and got[9] == [("Copyright", "\u00a9 2020 Us")]
+    assert not {3, 8} & set(got) and all(100 + k in got for k in range(40))
+
+
 @pytest.mark.parametrize("window, unit", [(35, 1 << 22), (5, 2000), (1, 1 << 22)])
 def test_substring_dedup_against_brute_force(docs, awkward, window, unit):
     split = [WORD.findall(text or "") for _, text in awkward]
