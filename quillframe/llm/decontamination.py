@@ -14,6 +14,8 @@ from .words import PLAIN, Words, mix, seeds, words_of
 ITEM_BYTES = 16 << 20
 #: Repetitions of the embedding, each with its own random walk, and coordinates sampled in each.
 REPEATS, SAMPLES = 24, 2
+#: Items of more words than ``WHOLE`` are searched for by parts of at most ``PART`` words: the share of coordinates that edits change grows with length.
+WHOLE, PART = 60, 48
 #: Windows embedded at once, and words of a run that a window must share with its item.
 AT_ONCE, RUN = 20_000, 3
 
@@ -31,10 +33,16 @@ def run_length(n_words: int, edits: int) -> int:
 
 
 class Items:
-    """Benchmark items as word hashes, the short word runs in them, and the sampled coordinates of their embeddings."""
+    """Benchmark items as word hashes, the short word runs in their parts, and the sampled coordinates of the parts' embeddings.
+
+    ``sizes``, ``item`` and ``offset`` are those of parts: a short item has one, a long item several next to each other.  If
+    an item is within its share of edits, one of its parts is within the same share.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], percent: int):
         self.ids, self.words, self.edits = [], [], []
+        pieces: list[np.ndarray] = []
+        self.item, self.offset = [], []
         runs: dict[int, list[tuple]] = {}
         for part in words_of(pa.array([text for _, text in rows], pa.large_string()), PLAIN):
             windows = {k: part.windows(k) for k in range(1, RUN + 1)}
@@ -45,11 +53,16 @@ class Items:
                 self.ids.append(rows[part.rows[0] + row][0])
                 self.words.append(part.hashes[a:b])
                 self.edits.append(edit_limit(n, percent))
-                k = run_length(n, self.edits[-1])
-                at, value = windows[k]
-                own = (at >= a) & (at < b)
-                runs.setdefault(k, []).append((value[own], np.full(own.sum(), item), at[own] - a))
-        self.sizes, self.edits = np.array([len(w) for w in self.words], np.int64), np.array(self.edits, np.int64)
+                cuts = np.linspace(a, b, (-(-n // PART) if n > WHOLE else 1) + 1).astype(np.int64)
+                for lo, hi in zip(cuts[:-1], cuts[1:]):
+                    k = run_length(int(hi - lo), edit_limit(int(hi - lo), percent))
+                    at, value = windows[k]
+                    own = (at >= lo) & (at + k <= hi)
+                    runs.setdefault(k, []).append((value[own], np.full(own.sum(), len(pieces)), at[own] - lo))
+                    pieces.append(part.hashes[lo:hi])
+                    self.item.append(item)
+                    self.offset.append(int(lo - a))
+        self.sizes, self.edits = np.array([len(w) for w in pieces], np.int64), np.array(self.edits, np.int64)
         self.runs = {}
         for k, parts in runs.items():
             value, item, offset = (np.concatenate(x) for x in zip(*parts))
@@ -58,15 +71,15 @@ class Items:
         u = (seeds(REPEATS * SAMPLES, 71) >> np.uint64(11)).astype(float).reshape(REPEATS, SAMPLES, 1) / 2.0**53
         self.coordinates = (u * (2 * self.sizes)).astype(np.int64)
         self.steps = seeds(REPEATS * (2 * int(self.sizes.max(initial=0)) + 1), 72).reshape(REPEATS, -1)
-        flat = np.concatenate([*self.words, np.zeros(1, np.uint64)])
+        flat = np.concatenate([*pieces, np.zeros(1, np.uint64)])
         first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
-        self.samples = self.embed(flat, first, first + self.sizes, np.arange(len(self.ids)))
+        self.samples = self.embed(flat, first, first + self.sizes, np.arange(len(self.sizes)))
 
     def embed(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Sampled coordinates (repeat, sample, window) of the CGK embedding of ``words[starts:ends]``.
 
         The walk writes the word it stands on and moves on if a random bit for (repeat, step, word) says so; past
-        the end it writes 0.  Windows are those of ``items``, whose coordinates are sampled.
+        the end it writes 0.  Windows are those of parts ``items``, whose coordinates are sampled.
         """
         wanted = self.coordinates[:, :, items]
         out = np.zeros(wanted.shape, np.uint64)
@@ -81,7 +94,7 @@ class Items:
         return out
 
     def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, item, start) of the item-sized windows that share a word run with the item in its place, start counted in the row."""
+        """(row, part, start) of the part-sized windows that share a word run with the part in its place, start counted in the row."""
         rows, items, starts = [], [], []
         for k, (value, item, offset) in self.runs.items():
             at, have = words.windows(k)
@@ -132,13 +145,14 @@ def _search(shared):
                     end = np.minimum(words.first[r] + s + items.sizes[i], words.first[r + 1])
                     same = items.embed(words.hashes, first, end, i) == items.samples[:, :, i]
                     for k in np.flatnonzero(same.all(axis=1).any(axis=0)):
-                        out.append((words.rows[0] + int(r[k]), int(i[k]), int(s[k]), words))
-            rows, done = [], {}
-            for r, i, s, words in out:
-                if s < done.get((r, i), -1):
+                        out.append((words.rows[0] + int(r[k]), items.item[i[k]], int(s[k]) - items.offset[i[k]], words))
+            rows, done, tried = [], {}, set()
+            for r, i, s, words in sorted(out, key=lambda x: x[:3]):
+                if (r, i, s) in tried or ((r, i) in done and s < done[(r, i)]):
                     continue
+                tried.add((r, i, s))
                 e, a = int(items.edits[i]), int(words.first[r - words.rows[0]])
-                lo, hi = a + max(s - e, done.get((r, i), 0), 0), min(a + s + int(items.sizes[i]) + 2 * e, int(words.first[r - words.rows[0] + 1]))
+                lo, hi = a + max(s - e, done.get((r, i), 0), 0), min(a + s + len(items.words[i]) + 2 * e, int(words.first[r - words.rows[0] + 1]))
                 distance, start, end = best_match(items.words[i], words.hashes[lo:hi])
                 if distance <= e:
                     rows.append((ids[r].as_py(), items.ids[i], lo - a + start, lo - a + end, distance))
@@ -163,7 +177,9 @@ def find_passages(docs: DataFrame, items: DataFrame, percent: int = 80, item_byt
     Windows start where a text shares a short word run with the item in its place; by the pigeonhole principle every
     passage has one, up to shifts that the embedding absorbs.  Windows and items are embedded by CGK random walks ``REPEATS``
     times, ``SAMPLES`` coordinates are drawn from each embedding, and a window meets its item if all of them agree in any repetition: at a
-    Hamming share of h that misses it with probability ``(1 - (1 - h) ** SAMPLES) ** REPEATS``, 0.0005 at one half.
+    Hamming share of h that misses it with probability ``(1 - (1 - h) ** SAMPLES) ** REPEATS``, 0.001 at one half.  The share grows with
+    length, so items of more than ``WHOLE`` words are searched for by parts of at most ``PART`` words, one of which is within the edit
+    limit if the item is; the whole item is then verified around it.
     Meetings are verified by exact edit distance.  Documents are not shuffled; items are broadcast in groups of at most ``item_bytes``,
     each searched in a pass of its own.
     """

@@ -344,6 +344,21 @@ def test_passages_against_brute_force(spark, docs, nothing):
     assert left.columns == table.columns and {r["doc_id"] for r in left.collect()} == {i for i, _ in rows} - {x[0] for x in want if x[0] is not None}
 
 
+@pytest.mark.parametrize("n, deletions", [(200, 1.0), (200, 0.5), (350, 0.9)])
+def test_long_items_at_the_edit_limit(spark, n, deletions):
+    rng = random.Random(n)
+    item, rows = [f"w{k}" for k in range(n)], []
+    for k in range(60):
+        parts = list(item)
+        for at in sorted(rng.sample(range(n), n // 5), reverse=True):
+            parts[at : at + 1] = [] if rng.random() < deletions else ["edit"]
+        rows.append((k, " ".join([f"x{j}" for j in range(k % 3 * 20)] + parts + [f"y{j}" for j in range(30)])))
+    rows.append((99, rows[0][1] + " " + " ".join(item)))
+    bench = local_table(spark, [(7, " ".join(item))], "item_id long, text string")
+    hits = Counter(r["doc_id"] for r in decontamination.find_passages(local_table(spark, rows, "doc_id long, text string"), bench).collect())
+    assert len(set(hits) - {99}) >= 59 and hits[99] == 2 and max(hits[k] for k in range(60)) == 1
+
+
 def test_toxicity_by_neighbours(spark, docs, nothing):
     rng = random.Random(4)
     rows, labels = [], []
