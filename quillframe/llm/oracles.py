@@ -35,6 +35,18 @@ least_of AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN least_of USING (doc_id)
 """
 
+EXACT_DEDUP = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, length(coalesce(text, '')) AS points,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents
+),
+g AS (
+  SELECT *, first_value(doc_id) OVER same AS keep_id, first_value(r) OVER same AS keep_r, count(*) OVER (PARTITION BY body) AS group_size
+  FROM t WINDOW same AS (PARTITION BY body ORDER BY points DESC, doc_id NULLS LAST, r)
+)
+SELECT doc_id, keep_id, group_size, r = keep_r AS kept, sha256(body) AS text_sha256 FROM g
+"""
+
 
 def secret_scan(rules) -> str:
     """Spans from the texts between matches and the matches themselves, as every rule cuts the text in two kinds of parts."""

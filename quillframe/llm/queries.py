@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
 from .decontamination import find_passages
+from .exact_dedup import exact_dedup
 from .html_text import extract_pages, learn_pages
 from .language_id import identify_languages, learn_languages
 from .license_scan import scan_licenses
@@ -16,6 +17,7 @@ from .packing import pack
 from .quality_rules import quality_verdicts
 from .secret_scan import BASE_RULES, RULES, scan_versions
 from .substring_dedup import substring_dedup
+from .token_alignment import align_tokens
 from .toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +115,16 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_benchmark_decontamination")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_exact_dedup", oracles.EXACT_DEDUP)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup(table(spark, folder, "documents"))
+
+
+@query("op13_token_alignment")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    names = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+    return align_tokens(table(spark, folder, "documents"), *map(public_tokenizers.path, names))
