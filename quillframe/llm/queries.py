@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import oracles
 from .decontamination import find_passages
+from .divergence_audit import divergence_audit
 from .exact_dedup import exact_dedup
 from .html_text import extract_pages, learn_pages
 from .language_id import identify_languages, learn_languages
@@ -117,6 +118,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return find_passages(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op11_divergence_audit", oracles.DIVERGENCE_AUDIT)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence_audit(table(spark, folder, "documents"))
+
+
 @query("op12_exact_dedup", oracles.EXACT_DEDUP)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup(table(spark, folder, "documents"))
