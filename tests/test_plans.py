@@ -1,6 +1,7 @@
 import pytest
 
 from quillframe.plans import ORACLES, QUERIES
+from quillframe.session import temporary_conf
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,6 +25,8 @@ def test_top_values_are_cut_before_the_shuffle(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    plan = QUERIES["filter_eq_gt_lt"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    # The plan's text abbreviates what a scan tells of itself beyond this length.
+    with temporary_conf(spark, spark__sql__maxMetadataStringLength="5000"):
+        plan = QUERIES["filter_eq_gt_lt"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters"):].split("]")[0]
     assert all(name in pushed for name in ("EqualTo(l_returnflag", "GreaterThan(l_quantity", "LessThan(l_discount"))
