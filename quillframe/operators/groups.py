@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.calendar import Period
 from ..functions.columns import (
     POSITIVE_RATE_VALUES,
     as_timestamp,
@@ -20,8 +21,6 @@ from ..functions.columns import (
 from .ranks import grouped_quantiles
 
 AGGREGATIONS = ("count", "mean", "sum", "median", "min", "max", "positive_rate")
-# Period code -> truncation unit.
-PERIODS = {"D": "day", "W": "week", "M": "month", "Q": "quarter", "Y": "year"}
 
 
 def _positive(df: DataFrame, metric: str) -> Column:
@@ -88,51 +87,29 @@ def _medians(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFr
     return medians.unionByName(empty)
 
 
-def period_label(moment: Column, frequency: str) -> Column:
-    """Text of the calendar period: 2024-01-31 23:00, 2024-01-31, 2024-01-29/2024-02-04, 2024-01, 2024Q1 or 2024."""
-    if frequency == "H":
-        return F.date_format(moment, "yyyy-MM-dd HH:00")
-    if frequency == "D":
-        return F.date_format(moment, "yyyy-MM-dd")
-    if frequency == "W":
-        monday = F.trunc(moment, "week")
-        return F.concat(
-            F.date_format(monday, "yyyy-MM-dd"), F.lit("/"), F.date_format(F.date_add(monday, 6), "yyyy-MM-dd")
-        )
-    if frequency == "M":
-        return F.date_format(moment, "yyyy-MM")
-    if frequency == "Q":
-        return F.concat(F.year(moment).cast("string"), F.lit("Q"), F.quarter(moment).cast("string"))
-    if frequency == "Y":
-        return F.year(moment).cast("string")
-    raise ValueError(f"Unsupported frequency: {frequency}")
-
-
 def trend_analysis(
-    df: DataFrame, date: str, metric: str | None = None, frequency: str = "M", aggregation: str = "count"
+    df: DataFrame, date: str, metric: str | None = None, frequency: str = "M", aggregation: str = "count", spans: bool = False
 ) -> DataFrame:
-    """(period, value): a count or aggregate per calendar period; rows without a date are dropped."""
-    if frequency not in PERIODS and frequency != "H":
-        raise ValueError(f"Unsupported frequency: {frequency}")
+    """(period, value): a count or aggregate per calendar period; rows without a date are dropped.
+
+    ``frequency`` is any code that ``Period`` reads: Y-JUN, Q-MAR, M, W-WED, B, D, h, 15min, 1D12h, ...  A multiple names periods by their
+    length but, as in the workflow this follows, each row still counts in its own base unit (2M by months, 15min by minutes); ``spans``
+    groups by whole multiples instead, counted from 1970-01-01 (months and longer: from year 0).
+    """
+    period = Period.of(frequency)
     require_columns(df, [date] + ([metric] if metric else []))
     if aggregation not in {"count", "sum", "mean", "median", "min", "max", "std", "nunique"}:
         raise ValueError(f"Unsupported aggregation: {aggregation}")
     if aggregation != "count" and metric is None:
         raise ValueError(f"{aggregation} needs a metric column")
-    stamp = as_timestamp(df, date)
-    if frequency == "H":
-        moment = F.date_trunc("hour", stamp)
-    elif frequency == "D":
-        moment = stamp.cast("date")
-    else:
-        moment = F.trunc(stamp, PERIODS[frequency])
+    number = period.number(as_timestamp(df, date), spans)
     value = measure(df, metric) if metric and aggregation != "count" else F.lit(1)
-    work = df.select(moment.alias("_start"), value.alias("_metric")).where("_start IS NOT NULL")
+    work = df.select(number.alias("_number"), value.alias("_metric")).where("_number IS NOT NULL")
     if aggregation == "median":
-        result = _medians(work, ["_start"], col("_metric"), "value")
+        result = _medians(work, ["_number"], col("_metric"), "value")
     else:
         metric_value = col("_metric")
-        result = work.groupBy("_start").agg(
+        result = work.groupBy("_number").agg(
             {
                 "count": F.count(F.lit(1)).cast("double"),
                 "sum": F.coalesce(total(metric_value), F.lit(0.0)),
@@ -143,7 +120,7 @@ def trend_analysis(
                 "nunique": F.count_distinct(metric_value).cast("double"),
             }[aggregation].alias("value")
         )
-    return result.select(period_label(col("_start"), frequency).alias("period"), "value")
+    return result.select(period.label(col("_number"), spans).alias("period"), "value")
 
 
 def multi_group_mean(df: DataFrame, dimensions: Sequence[str], metric: str) -> DataFrame:

@@ -330,6 +330,86 @@ def trend_quarter_count(t):
     return G.trend_analysis(t("dirty"), "date_text", frequency="Q")
 
 
+@query(
+    "trend_week_wednesday",
+    """
+SELECT strftime(d - CAST((isodow(d) + 3) % 7 AS INTEGER), '%Y-%m-%d') || '/' || strftime(d - CAST((isodow(d) + 3) % 7 AS INTEGER) + 6, '%Y-%m-%d')
+  AS period, CAST(sum(revenue) AS DOUBLE) AS value
+FROM (SELECT CAST(order_date AS DATE) AS d, revenue FROM sales) x GROUP BY 1
+""",
+    ("sales",),
+)
+def trend_week_wednesday(t):
+    return G.trend_analysis(t("sales"), "order_date", "revenue", "W-WED", "sum")
+
+
+@query(
+    "trend_fiscal_quarter",
+    """
+SELECT CAST(year(d) AS VARCHAR) || 'Q' || CAST(quarter(d) AS VARCHAR) AS period, round(CAST(sum(revenue) AS DOUBLE) / count(revenue), 6) AS value
+FROM (SELECT CAST(order_date AS DATE) + INTERVAL 9 MONTH AS d, revenue FROM sales) x GROUP BY 1
+""",
+    ("sales",),
+)
+def trend_fiscal_quarter(t):
+    return rounded(G.trend_analysis(t("sales"), "order_date", "revenue", "Q-MAR", "mean"))
+
+
+@query(
+    "trend_fiscal_year",
+    """
+SELECT CAST(year(order_date + INTERVAL 6 MONTH) AS VARCHAR) AS period, CAST(count(DISTINCT customer_id) AS DOUBLE) AS value FROM sales GROUP BY 1
+""",
+    ("sales",),
+)
+def trend_fiscal_year(t):
+    return G.trend_analysis(t("sales"), "order_date", "customer_id", "Y-JUN", "nunique")
+
+
+@query(
+    "trend_business_day",
+    """
+SELECT strftime(d + CAST(CASE isodow(d) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS INTEGER), '%Y-%m-%d') AS period, CAST(count(*) AS DOUBLE) AS value
+FROM (SELECT CAST(order_date AS DATE) AS d FROM sales) x GROUP BY 1
+""",
+    ("sales",),
+)
+def trend_business_day(t):
+    return G.trend_analysis(t("sales"), "order_date", frequency="B")
+
+
+@query(
+    "trend_15_minutes",
+    """
+SELECT strftime(time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS period, max(value) AS value
+FROM events GROUP BY 1
+""",
+)
+def trend_15_minutes(t):
+    return G.trend_analysis(t("events"), "ts", "value", "15min", "max", spans=True)
+
+
+@query(
+    "trend_2_months",
+    """
+SELECT strftime(make_date(year(order_date), 2 * ((month(order_date) + 1) // 2) - 1, 1), '%Y-%m') AS period, CAST(sum(revenue) AS DOUBLE) AS value
+FROM sales GROUP BY 1
+""",
+    ("sales",),
+)
+def trend_2_months(t):
+    return G.trend_analysis(t("sales"), "order_date", "revenue", "2M", "sum", spans=True)
+
+
+@query(
+    "trend_2_months_code",
+    "SELECT strftime(order_date, '%Y-%m') AS period, CAST(sum(revenue) AS DOUBLE) AS value FROM sales GROUP BY 1",
+    ("sales",),
+)
+def trend_2_months_code(t):
+    return G.trend_analysis(t("sales"), "order_date", "revenue", "2M", "sum")
+
+
 _DIMENSIONS = ["category", "region", "product"]
 _MULTI = """
 SELECT dimension, group_value, round(CAST(sum(revenue) AS DOUBLE) / count(revenue), 6) AS mean_revenue,
