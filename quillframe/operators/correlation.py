@@ -171,9 +171,11 @@ def _rank_pairs(values, pairs, rows: int, stats: dict[str, ColumnStats]) -> dict
 
 
 def with_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace every value by its average rank within its column.
+    """Replace every value by its average rank within its column; nulls stay null.
 
-    All columns are ranked together: one scan and one range partitioning by (column, value).
+    All columns are ranked together: one scan and one range partitioning by (column, value).  Ranks of columns with few values,
+    ``BROADCAST_ROWS`` of them in all, come back by broadcasts.  All other columns, however many, share one join of
+    (row, column, value) triples and one gathering by row; values held by many rows are spread in that join.
     """
     counted = (
         values.unpivot([], [col(c) for c in columns], "column", "value")
@@ -185,20 +187,50 @@ def with_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
         "column", "value", (col("before_n") + (col("n") + 1) / F.lit(2.0)).alias("_rank"), "n"
     )
     sizes = {r["column"]: r["levels"] for r in ranked.groupBy("column").agg(F.count("value").alias("levels")).collect()}
-    small = [c for c in columns if sizes.get(c, 0) <= BROADCAST_ROWS]
-    # Checked size: at most BROADCAST_ROWS values for each of the columns asked for.
-    copies = ranked.where(F.col("column").isin(small)).select("column", "value", "_rank").toArrow() if small else None
-    current = values
-    for c in columns:
-        if c in small:
+    small, held = [], 0
+    for c in sorted(columns, key=lambda c: (sizes.get(c, 0), c)):
+        held += sizes.get(c, 0)
+        if held <= BROADCAST_ROWS:
+            small.append(c)
+    ranks = values
+    if small:
+        copies = ranked.where(F.col("column").isin(small)).select("column", "value", "_rank").toArrow()
+        for c in small:
             mine = copies.filter(pc.equal(copies["column"], c)).select(["value", "_rank"]).rename_columns([c, "_rank"])
-            ranks = values.sparkSession.createDataFrame(mine, schema_of(c))
-            joined = current.join(F.broadcast(ranks), c, "left")
-        else:
-            ranks = ranked.where(F.col("column") == c).select(col("value").alias(c), "_rank", col("n").alias("_n"))
-            joined = spread_join(current, ranks, c, "_n")
-        current = joined.select(*[col("_rank").alias(c) if x == c else col(x) for x in values.columns])
-    return current
+            joined = ranks.join(F.broadcast(values.sparkSession.createDataFrame(mine, schema_of(c))), c, "left")
+            ranks = joined.select(*[col("_rank").alias(c) if x == c else col(x) for x in values.columns])
+    large = [c for c in columns if c not in small]
+    return _ranks_by_row(ranks, large, ranked) if large else ranks
+
+
+def _ranks_by_row(values: DataFrame, large: list[str], ranked: DataFrame) -> DataFrame:
+    """Replace the values of ``large`` columns by the ranks in ``ranked(column, value, _rank, n)``; other columns travel with the first triple."""
+    others = [c for c in values.columns if c not in large]
+    numbers = {c: i for i, c in enumerate(large)}
+    carried = F.struct(F.lit(0).alias("_"), *[col(c) for c in others])
+    triples = F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), (col(c) + 0.0).alias("value"), (carried if i == 0 else F.lit(None).cast(_type_of(values, others))).alias("carried")
+        )
+        for c, i in numbers.items()
+    ])
+    # Rows are numbered before they are split: beside an explode, the number would count triples.
+    long = values.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode(triples).alias("t")).select(
+        "_row", "t.i", "t.carried", F.when(F.col("t.value").isNotNull(), F.struct("t.i", "t.value")).alias("_key")
+    )
+    number = F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)])[F.col("column")]
+    table = ranked.where(F.col("column").isin(large)).select(F.struct(number.alias("i"), "value").alias("_key"), "_rank", F.col("n").alias("_n"))
+    joined = spread_join(long, table, "_key", "_n")
+    rows = joined.groupBy("_row").agg(
+        *[F.max(F.when(F.col("i") == i, F.col("_rank"))).alias(f"_rank{i}") for i in numbers.values()], F.max("carried").alias("_carried")
+    )
+    return rows.select(*[
+        F.col(f"_rank{numbers[c]}").alias(c) if c in numbers else F.col("_carried")[c].alias(c) for c in values.columns
+    ])
+
+
+def _type_of(values: DataFrame, columns: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField("_", T.IntegerType()), *[values.schema[c] for c in columns]])
 
 
 def schema_of(name: str) -> T.StructType:

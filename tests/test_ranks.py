@@ -162,3 +162,35 @@ def test_ranks_of_large_columns_take_the_spread_join(spark, monkeypatch):
     ranked = with_ranks(spark.createDataFrame(pdf), ["a", "b"]).toPandas()
     assert sorted(ranked.a) == sorted(pdf.a.rank())
     assert sorted(ranked.b) == sorted(pdf.b.rank())
+
+
+def test_ranks_of_many_large_columns_share_one_join(spark, monkeypatch):
+    """Rows stay whole: every row's ranks, nulls included, are those of its own values; a hot value is spread."""
+    import quillframe.operators.correlation as correlation
+
+    monkeypatch.setattr(correlation, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(lookup, "HOT_SHARE", 4)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"few": rng.integers(0, 3, 300).astype(float), **{c: rng.normal(size=300).round(1) for c in "abc"}})
+    pdf.loc[:140, "b"] = 0.0
+    pdf.loc[20:30, "b"] = -0.0
+    pdf.loc[::7, "c"] = None
+    ranks = with_ranks(spark.createDataFrame(pdf).withColumn("c", F.when(~F.isnan("c"), F.col("c"))).repartition(5), ["few", "a", "b", "c"])
+    assert ranks.columns == list(pdf.columns)
+    key = lambda r: tuple(-1.0 if x is None or x != x else x for x in r)
+    assert sorted(map(key, ranks.collect())) == sorted(map(key, pdf.rank().itertuples(index=False, name=None)))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(ranks) == joins(with_ranks(spark.createDataFrame(pdf[["few", "a"]]), ["few", "a"]))
+
+
+def test_spearman_does_not_depend_on_how_ranks_come_back(spark, monkeypatch):
+    import quillframe.operators.correlation as correlation
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({c: rng.normal(size=200).round(1) for c in "abc"})
+    pdf["d"] = pdf.a + pdf.b.round()
+    want = pdf.corr("spearman")
+    for limit in (0, 40, 100_000):
+        monkeypatch.setattr(correlation, "BROADCAST_ROWS", limit)
+        got = {(r["a"], r["b"]): r["r"] for r in correlations(spark.createDataFrame(pdf), "spearman").collect()}
+        assert got == {(x, y): pytest.approx(want.loc[x, y], abs=1e-4) for x in pdf for y in pdf}
