@@ -18,6 +18,7 @@ from ..functions.columns import total as total_of
 from ..session import local_table
 from .profile import Profile, iqr_bounds
 from .ranks import exact_quantiles
+from .rows import distinct_rows
 
 # Dtype names a conversion may ask for, with their Spark types.
 DTYPES = {
@@ -106,7 +107,7 @@ def _unchanged(df: DataFrame, op: dict) -> dict:
 
 # operation -> (fit scalars on the data, transform with them)
 OPERATIONS = {
-    "drop_duplicates": (_unchanged, lambda df, op: df.dropDuplicates()),
+    "drop_duplicates": (_unchanged, lambda df, op: distinct_rows(df)),
     "impute_numeric": (_fit_impute_numeric, _apply_impute_numeric),
     "impute_categorical": (_fit_impute_categorical, _apply_impute_categorical),
     "standardize_categories": (_unchanged, _apply_standardize),

@@ -25,6 +25,7 @@ from ..functions.roles import leakage_columns
 from ..session import local_table
 from .correlation import pearson_pairs
 from .ranks import exact_quantiles
+from .rows import duplicate_rows
 
 COLUMNS_PER_AGGREGATE = 40
 TOP_VALUES = 8
@@ -67,12 +68,6 @@ def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     )
 
 
-def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: how many rows repeat an earlier identical row."""
-    copies = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("duplicate_rows"))
-
-
 class Profile:
     """Profile of one DataFrame; every part is computed once, when first asked for."""
 
