@@ -38,6 +38,7 @@ from ..functions.columns import (
 )
 from ..functions.roles import leakage_columns
 from ..session import checkpointed, local_table
+from .frequencies import value_counts
 from .metrics import (
     classification_metrics,
     confusion_matrix,
@@ -46,7 +47,6 @@ from .metrics import (
     roc_curve,
     weighted_ovr_auc,
 )
-from .profile import value_counts
 from .ranks import exact_quantiles, running_totals, values_at_ranks
 
 SEED = 42

@@ -1,7 +1,7 @@
 """Dataset profile, quality issues and overview.
 
-Everything is built from three scans: one aggregate with a few expressions per column, one
-(column, value) frequency table for distinct counts and top values, and the quantile selection.
+Everything is built from a few scans: one aggregate with a few expressions per column, one table of (column, digest)
+frequencies for distinct counts and top values, and the quantile selection.
 """
 
 from __future__ import annotations
@@ -9,12 +9,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import (
     col,
-    finite_or_null,
     is_nested,
     measure,
     numeric_columns,
@@ -24,6 +22,7 @@ from ..functions.columns import (
 from ..functions.roles import leakage_columns
 from ..session import local_table
 from .correlation import pearson_pairs
+from .frequencies import Frequencies, as_text, plain_columns, present, value_counts
 from .ranks import exact_quantiles
 from .rows import duplicate_rows
 
@@ -40,34 +39,6 @@ def adjusted_skew(value: Column) -> Column:
     return F.when(n >= 3, skew * factor)
 
 
-def _present(df: DataFrame, name: str) -> Column:
-    """The column with NaN and infinities turned into null."""
-    field = df.schema[name]
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        return finite_or_null(col(name))
-    return col(name)
-
-
-def _as_text(df: DataFrame, name: str) -> Column:
-    field = df.schema[name]
-    value = _present(df, name)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        value = value + F.lit(0.0).cast(field.dataType)  # -0.0 and 0.0 are one value
-    return value.cast("string")
-
-
-def value_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column_name, value, n): frequency of every value of every column, null included."""
-    names = [f.name for f in df.schema.fields if not is_nested(f)] if columns is None else list(columns)
-    require_columns(df, names)
-    text = df.select(*[_as_text(df, c).alias(c) for c in names])
-    return (
-        text.unpivot([], [col(c) for c in names], "column_name", "value")
-        .groupBy("column_name", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 class Profile:
     """Profile of one DataFrame; every part is computed once, when first asked for."""
 
@@ -94,7 +65,7 @@ class Profile:
             chunk = self.columns[start : start + COLUMNS_PER_AGGREGATE]
             wanted = {("", "rows"): F.count(F.lit(1))}
             for c in chunk:
-                wanted[(c, "present")] = F.count(_present(self.df, c))
+                wanted[(c, "present")] = F.count(present(self.df, c))
                 if c in self.numeric:
                     value = measure(self.df, c)
                     double = value.cast("double")
@@ -132,15 +103,17 @@ class Profile:
     @cached_property
     def _unique(self) -> dict[str, int]:
         """Distinct non-null values per column, from the value frequencies."""
-        plain = [f.name for f in self.df.schema.fields if not is_nested(f)]
         if self.approx:
+            plain = plain_columns(self.df)
             row = self.df.agg(*[
-                F.hll_sketch_estimate(F.hll_sketch_agg(_as_text(self.df, c))).alias(f"u{i}") for i, c in enumerate(plain)
+                F.hll_sketch_estimate(F.hll_sketch_agg(as_text(self.df, c))).alias(f"u{i}") for i, c in enumerate(plain)
             ]).first()
             return {c: row[f"u{i}"] for i, c in enumerate(plain)}
-        counted = value_counts(self.df, plain).groupBy("column_name").agg(F.count("value").alias("u"))
-        found = {r["column_name"]: r["u"] for r in counted.collect()}
-        return {c: found.get(c, 0) for c in plain}
+        return self._frequencies.distinct()
+
+    @cached_property
+    def _frequencies(self) -> Frequencies:
+        return Frequencies(self.df)
 
     # -- result tables --------------------------------------------------------------------------
     def shape(self) -> DataFrame:
@@ -187,7 +160,7 @@ class Profile:
 
     def top_values(self, k: int = TOP_VALUES) -> DataFrame:
         """The ``k`` most frequent values of each column; ties in text order, null last."""
-        return top_values(value_counts(self.df), k)
+        return self._frequencies.top(k)
 
     def numeric_facts(self) -> dict[str, dict[str, float | None]]:
         facts = {}
@@ -261,16 +234,6 @@ class Profile:
         )
 
 
-def top_values(counts: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` values per column of a frequency table.
-
-    ``row_number <= k`` lets Spark cut every task's share to k rows per column before the shuffle.
-    """
-    order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    ranked = counts.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
-    return ranked.select("column_name", "position", "value", F.col("n").alias("count"))
-
-
 def iqr_bounds(q25: float | None, q75: float | None) -> tuple[float, float] | None:
     if q25 is None or q75 is None:
         return None
@@ -333,7 +296,7 @@ def categorical_highlights(df: DataFrame, target: str | None = None, limit: int
     if not names:
         return local_table(df.sparkSession, [], "column_name string, position int, value string, count long"
         )
-    return top_values(value_counts(df, names[:limit]), k)
+    return Frequencies(df, names[:limit]).top(k)
 
 
 def dataset_overview(

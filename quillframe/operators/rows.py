@@ -27,7 +27,7 @@ def is_wide(df: DataFrame) -> bool:
 
 def digest(df: DataFrame) -> list[Column]:
     """Two 64-bit hashes of the row; a null counts with its place."""
-    parts = [x for f in df.schema.fields for x in ([col(f.name), col(f.name).isNull()] if f.nullable else [col(f.name)])]
+    parts = [x for c in df.columns for x in (col(c), col(c).isNull())]
     return [F.xxhash64(*parts).alias("_da"), F.xxhash64(F.lit("second"), *parts).alias("_db")]
 
 
