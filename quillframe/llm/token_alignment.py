@@ -23,8 +23,8 @@ CACHE_UNITS, CACHE_BYTES = 600_000, 96 << 20
 DENSE_LINKS = 4096
 #: Distinct pairs that are broadcast with their counts; rarer ones are answered by a join.
 HEAD_PAIRS = 4 << 20
-#: Ids of the first tokenizer in one bucket of pair counts, and groups of tasks whose counts are summed first.
-BUCKET_IDS, FIRST_LEVEL = 64, 1024
+#: Ids of the first tokenizer in one bucket of pair counts, and tasks whose counts are summed first.
+BUCKET_IDS, FIRST_LEVEL = 64, 256
 #: Pairs a task gathers before it sorts them, and distinct pairs it holds before it sends them on.
 COUNT_ROWS, HELD_PAIRS = 1 << 22, 1 << 22
 
@@ -402,7 +402,7 @@ def _counted(per_bucket: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held, size = TaskContext.get().partitionId() % FIRST_LEVEL, [], 0
+        part, held, size = TaskContext.get().partitionId() // FIRST_LEVEL, [], 0
         none = np.zeros(0, np.int64)
         total = (none, none)
 
@@ -426,12 +426,11 @@ def _counted(per_bucket: int):
 
 def _added(per_bucket: int):
     def run(table: pa.Table) -> pa.Table:
-        bucket, part = table.column("bucket")[0].as_py(), table.column("part")[0].as_py()
-        total = np.zeros(per_bucket, np.int64)
-        for pairs, counts in zip(table.column("pairs"), table.column("counts")):
-            total[unpacked_sorted(pairs.as_buffer()) - bucket * per_bucket] += unpacked(counts.as_buffer(), "<i8")
-        at = np.flatnonzero(total)
-        return pa.Table.from_batches([_count_batch(at + bucket * per_bucket, total[at], part, per_bucket)])
+        if table.num_rows == 1:
+            return table
+        pairs = np.concatenate([unpacked_sorted(x.as_buffer()) for x in table.column("pairs")])
+        total = runs(pairs, np.concatenate([unpacked(x.as_buffer(), "<i8") for x in table.column("counts")]))
+        return pa.Table.from_batches([_count_batch(*total, table.column("part")[0].as_py(), per_bucket)])
 
     return run
 
@@ -523,7 +522,7 @@ def align_tokens(docs: DataFrame, first: str, second: str, head_pairs: int = HEA
     rows = checkpointed(plain.mapInArrow(_encoded(first, second), ROWS))
     counts = rows.select("pairs").mapInArrow(_counted(per_bucket), COUNTS)
     counts = counts.groupBy("bucket", "part").applyInArrow(_added(per_bucket), COUNTS)
-    counts = checkpointed(counts.groupBy("bucket").applyInArrow(_added(per_bucket), COUNTS))
+    counts = checkpointed(counts.withColumn("part", F.lit(0)).groupBy("bucket").applyInArrow(_added(per_bucket), COUNTS))
     best = counts.mapInArrow(_best(base), "id long, most long, sizes array<long>").toArrow()
     ids = best.column("id").to_numpy()
     most = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
