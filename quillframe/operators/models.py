@@ -44,6 +44,7 @@ from .metrics import (
     confusion_matrix,
     confusion_scores,
     regression_metrics,
+    roc_corners,
     roc_curve,
     weighted_ovr_auc,
 )
@@ -130,21 +131,26 @@ def with_folds(df: DataFrame, folds: int = FOLDS, label: str | None = None, seed
     shared out like any others; assigning a row needs no shuffle.
     """
     df = _numbered(df)
+    return df.withColumn("fold", _fold_of(df, folds, label, seed)).drop("_row")
+
+
+def _fold_of(numbered: DataFrame, folds: int, label: str | None, seed: int) -> Column:
+    """The fold of a numbered row, as an expression of its number and class."""
     hashed = _row_hash(seed)
     if label is None:
         parts = {"all": F.lit(True)}
     else:
-        values = _class_labels(df, label)
+        values = _class_labels(numbered, label)
         parts = {v: col(label).cast("string") == F.lit(v) for v in values}
     probs = [i / folds for i in range(1, folds)]
-    cuts = exact_quantiles(df, {k: F.when(c, hashed) for k, c in parts.items()}, probs)
+    cuts = exact_quantiles(numbered, {k: F.when(c, hashed) for k, c in parts.items()}, probs)
     fold = None
     for k, condition in parts.items():
         number = F.lit(0)
         for p in probs:
             number = number + (hashed > F.lit(cuts[k][p])).cast("int")
         fold = F.when(condition, number) if fold is None else fold.when(condition, number)
-    return df.withColumn("fold", fold).drop("_row")
+    return fold
 
 
 def _class_labels(df: DataFrame, label: str) -> list[str]:
@@ -158,15 +164,20 @@ def split_by_time(df: DataFrame, time_column: str, share: float = 0.8) -> DataFr
     """
     require_columns(df, [time_column])
     df = _numbered(df)
-    micros = F.unix_micros(as_timestamp(df, time_column).cast("timestamp")).cast("double")
-    cut = int(df.count() * share)
-    at = values_at_ranks(df, micros, [cut])[cut]
+    return df.withColumn("is_test", _late(df, time_column, share)).drop("_row")
+
+
+def _late(numbered: DataFrame, time_column: str, share: float) -> Column:
+    """Is a numbered row behind the cut in time?"""
+    micros = F.unix_micros(as_timestamp(numbered, time_column).cast("timestamp")).cast("double")
+    cut = int(numbered.count() * share)
+    at = values_at_ranks(numbered, micros, [cut])[cut]
     earlier, tied = (micros.isNotNull(), micros.isNull()) if at is None else (micros < F.lit(at), micros == F.lit(at))
-    short = cut - df.where(earlier).count()
+    short = cut - numbered.where(earlier).count()
     order = _row_hash(SEED)
-    bound = values_at_ranks(df.where(tied), order, [short])[short]
+    bound = values_at_ranks(numbered.where(tied), order, [short])[short]
     early = earlier | tied if bound is None else earlier | (tied & (order < F.lit(bound)))
-    return df.withColumn("is_test", ~F.coalesce(early, F.lit(False))).drop("_row")
+    return ~F.coalesce(early, F.lit(False))
 
 
 # -- preprocessing --------------------------------------------------------------------------------
@@ -260,6 +271,10 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
     return result
 
 
+def preprocessing_of(train: DataFrame, fields: Fields) -> PipelineModel:
+    return Pipeline(stages=fit_preprocessing(train, fields)).fit(train)
+
+
 # -- training -------------------------------------------------------------------------------------
 def _estimator(algorithm: str, classification: bool, classes: int, rows: int, label_spread: float):
     """The Spark ML estimator for an algorithm name, with the fixed settings of the workflow."""
@@ -320,7 +335,10 @@ def prepare(df: DataFrame, target: str, classification: bool) -> tuple[DataFrame
     return known.withColumn("label", index[col(target).cast("string")]), classes
 
 
-def fit(train: DataFrame, fields: Fields, algorithm: str, classification: bool, classes: list[str]) -> Fitted:
+def fit(
+    train: DataFrame, fields: Fields, algorithm: str, classification: bool, classes: list[str], preprocessing: PipelineModel | None = None
+) -> Fitted:
+    """Fit an algorithm, and the preprocessing unless one fitted on the same rows is given."""
     if classification:
         counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
         rows, spread = sum(counts.values()), 1.0
@@ -329,9 +347,10 @@ def fit(train: DataFrame, fields: Fields, algorithm: str, classification: bool,
     else:
         row = train.agg(F.count("label").alias("n"), F.stddev_pop("label").alias("s")).first()
         rows, spread = row["n"], row["s"] or 1.0
-    stages = fit_preprocessing(train, fields)
-    stages.append(_estimator(algorithm, classification, len(classes), rows, spread))
-    return Fitted(Pipeline(stages=stages).fit(train), classification, classes)
+    estimator = _estimator(algorithm, classification, len(classes), rows, spread)
+    preprocessing = preprocessing or preprocessing_of(train, fields)
+    model = estimator.fit(preprocessing.transform(train))
+    return Fitted(PipelineModel([*preprocessing.stages, model]), classification, classes)
 
 
 def evaluate(predictions: DataFrame, classification: bool, classes: int) -> dict[str, float]:
@@ -357,6 +376,63 @@ class Trained:
     parameters: dict = field(default_factory=dict)
 
 
+@dataclass
+class Prepared:
+    """One checkpointed table that all candidates and folds read, and the preprocessing of each split, fitted once.
+
+    ``rows`` holds the features, the target and ``label``, ``_test`` (is the row held out?) and ``_fold`` (its fold in the
+    cross-validation, which covers all rows).
+    """
+
+    rows: DataFrame
+    task_type: str
+    target: str
+    classes: list[str]
+    fields: Fields
+    split: dict
+    folds: int
+    fitted: dict[int | None, PipelineModel] = field(default_factory=dict)
+
+    @property
+    def classification(self) -> bool:
+        return "classification" in self.task_type
+
+    def train(self, fold: int | None = None) -> DataFrame:
+        return self.rows.where(~F.col("_test")) if fold is None else self.rows.where(F.col("_fold") != fold)
+
+    def held_out(self, fold: int | None = None) -> DataFrame:
+        return self.rows.where("_test") if fold is None else self.rows.where(F.col("_fold") == fold)
+
+    def fit(self, algorithm: str, fold: int | None = None) -> Fitted:
+        if fold not in self.fitted:
+            self.fitted[fold] = preprocessing_of(self.train(fold), self.fields)
+        return fit(self.train(fold), self.fields, algorithm, self.classification, self.classes, self.fitted[fold])
+
+
+def prepare_splits(
+    df: DataFrame, target: str, task_type: str, time_column: str | None = None, descriptions: dict[str, str] | None = None, folds: int = FOLDS,
+) -> Prepared:
+    """Number the rows with a target once, and fix the hold-out split and the folds as expressions of those numbers."""
+    require_columns(df, [target])
+    classification = "classification" in task_type
+    rows, classes = prepare(df, target, classification)
+    fields = model_fields(df, target, descriptions)
+    chronological = bool(time_column) and time_column in df.columns
+    used = dict.fromkeys([*fields.all, target, *([time_column] if chronological else [])])
+    numbered = _numbered(rows.select(*[col(c) for c in used if c != "label"], "label"))
+    label = target if classification else None
+    if chronological:
+        test, strategy = _late(numbered, time_column, 0.8), "chronological"
+    else:
+        test, strategy = _fold_of(numbered, FOLDS, label, SEED) == 0, "stratified_random" if classification else "random"
+    # The folds of the cross-validation use another seed than those of the hold-out split.
+    fold = _fold_of(numbered, folds, label, SEED + 1) if folds else F.lit(None).cast("int")
+    parted = numbered.select("*", test.alias("_test"), fold.alias("_fold")).drop("_row")
+    sizes = parted.agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).first()
+    split = {"train": sizes["train"], "test": sizes["test"], "strategy": strategy}
+    return Prepared(parted, task_type, target, classes, fields, split, folds)
+
+
 def train_model(
     df: DataFrame,
     target: str,
@@ -368,36 +444,28 @@ def train_model(
     repeats: int = REPEATS,
 ) -> Trained:
     """Fit on 80 % of the rows, measure on the rest, cross-validate, and rank the features."""
+    return train_prepared(prepare_splits(df, target, task_type, time_column, descriptions, folds), algorithm, repeats)
+
+
+def train_prepared(prepared: Prepared, algorithm: str, repeats: int = REPEATS) -> Trained:
+    """``train_model`` for one candidate of a prepared table."""
     started = time.perf_counter()
-    require_columns(df, [target])
-    classification = "classification" in task_type
-    rows, classes = prepare(df, target, classification)
-    fields = model_fields(df, target, descriptions)
-    # The folds of the hold-out split use another seed than those of the cross-validation.
-    if time_column and time_column in df.columns:
-        parted = split_by_time(rows, time_column)
-        strategy = "chronological"
-    else:
-        parted = with_folds(rows, FOLDS, target if classification else None, SEED)
-        parted = parted.withColumn("is_test", F.col("fold") == 0).drop("fold")
-        strategy = "stratified_random" if classification else "random"
-    train, test = parted.where(~F.col("is_test")), parted.where("is_test")
-    fitted = fit(train, fields, algorithm, classification, classes)
+    classification, classes, test = prepared.classification, prepared.classes, prepared.held_out()
+    fitted = prepared.fit(algorithm)
     predictions = fitted.score(test)
     metrics = evaluate(predictions, classification, len(classes))
-    sizes = parted.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")).first()
-    cv = cross_validate(rows, target, fields, algorithm, classification, classes, folds) if folds else {}
-    importance = permutation_importance(fitted, test, fields, repeats) if repeats else None
+    cv = cross_validate(prepared, algorithm) if prepared.folds else {}
+    importance = permutation_importance(fitted, test, prepared.fields, repeats) if repeats else None
     two = classification and len(classes) == 2 and "score" in predictions.columns
     return Trained(
         experiment_id=str(uuid.uuid4()),
         algorithm=algorithm,
-        task_type=task_type,
-        target=target,
+        task_type=prepared.task_type,
+        target=prepared.target,
         metrics={k: None if v is None else round(float(v), 6) for k, v in metrics.items()},
         cross_validation=cv,
-        split={"train": sizes["train"], "test": sizes["test"], "strategy": strategy},
-        fields=fields,
+        split=dict(prepared.split),
+        fields=prepared.fields,
         fitted=fitted,
         predictions=predictions,
         importance=importance,
@@ -408,20 +476,16 @@ def train_model(
     )
 
 
-def cross_validate(
-    rows: DataFrame, target: str, fields: Fields, algorithm: str, classification: bool, classes: list[str],
-    folds: int = FOLDS,
-) -> dict[str, dict]:
+def cross_validate(prepared: Prepared, algorithm: str) -> dict[str, dict]:
     """Metric -> mean, population deviation and the value of every fold."""
-    parted = with_folds(rows, folds, target if classification else None, SEED + 1)
     values: dict[str, list[float]] = {}
-    for k in range(folds):
-        fitted = fit(parted.where(F.col("fold") != k), fields, algorithm, classification, classes)
-        predictions = fitted.score(parted.where(F.col("fold") == k))
-        metrics = evaluate(predictions, classification, len(classes))
+    classification, classes = prepared.classification, len(prepared.classes)
+    for k in range(prepared.folds):
+        predictions = prepared.fit(algorithm, k).score(prepared.held_out(k))
+        metrics = evaluate(predictions, classification, classes)
         wanted = ("accuracy", "f1", "roc_auc") if classification else ("mae", "rmse", "r2")
-        if classification and len(classes) > 2 and "scores" in predictions.columns:
-            metrics["roc_auc"] = weighted_ovr_auc(predictions, len(classes))
+        if classification and classes > 2 and "scores" in predictions.columns:
+            metrics["roc_auc"] = weighted_ovr_auc(predictions, classes)
         for name in wanted:
             if metrics.get(name) is not None:
                 values.setdefault(name, []).append(float(metrics[name]))
@@ -441,21 +505,27 @@ def permutation_importance(
 ) -> DataFrame:
     """(feature, importance, std): mean loss of score when one original column is shuffled.
 
-    Rows get a random order; repeat r takes the shuffled value from the row a random distance further on.
-    That is one equi-join on unique positions, and all variants are scored in one pass.
+    Every row is preprocessed once, up to the parts of its feature vector: one number or one-hot block for each original column.  Rows get a random
+    order; repeat r takes the shuffled column's part from the row a random distance further on.  That is one equi-join on unique
+    positions; vectors are assembled from parts, and all variants are scored in one pass.
     """
     spark = test.sparkSession
-    numbered = checkpointed(
-        test.select(*[col(c) for c in fields.all], "label", F.monotonically_increasing_id().alias("_id"))
-    )
+    stages = fitted.model.stages
+    last = max(i for i, stage in enumerate(stages) if isinstance(stage, VectorAssembler))
+    parts = stages[last].getInputCols()
+    columns = {f"_n{i}": c for i, c in enumerate(fields.numeric)} | {f"_o{j}": c for j, c in enumerate(fields.categorical)}
+    scorer = Fitted(PipelineModel(stages[last:]), fitted.classification, fitted.classes)
+    made = PipelineModel(stages[:last]).transform(test)
+    about = {p: made.schema[p].metadata for p in parts}
+    numbered = checkpointed(made.select(*parts, "label", F.monotonically_increasing_id().alias("_id")))
     m = numbered.count()
     if m == 0:
         return local_table(spark, [], "feature string, importance double, std double")
     ordered = numbered.withColumn("_order", F.struct(F.xxhash64("_id", F.lit(seed)), "_id")).withColumn(
         "_one", F.lit(1).cast("long"))
     placed = running_totals(ordered, [], "_order", ["_one"]).withColumnRenamed("before__one", "_place")
-    own = placed.select(*[col(c) for c in fields.all], "label", "_place")
-    donors = own.select(F.col("_place").alias("_from"), F.struct(*[col(c) for c in fields.all]).alias("_donor"))
+    own = placed.select(*parts, "label", "_place")
+    donors = own.select(F.col("_place").alias("_from"), F.struct(*parts).alias("_donor"))
     # Fixed, well spread distances; the row order itself is what is random.
     shifts = [1 + (seed * 7919 + r * 104_729) % max(m - 1, 1) for r in range(repeats)]
     choices = F.array(*[
@@ -463,21 +533,22 @@ def permutation_importance(
         for r, s in enumerate(shifts)
     ])
     paired = own.withColumn("_choice", F.explode(choices)).join(donors, F.col("_choice.from") == F.col("_from"))
-    variants = paired.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(fields.all))])))
+    variants = paired.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(len(parts))])))
     replaced = variants.select(
         *[
-            F.when(F.col("_f") == i, F.col("_donor")[c]).otherwise(col(c)).alias(c)
-            for i, c in enumerate(fields.all)
+            F.when(F.col("_f") == i, F.col("_donor")[p]).otherwise(F.col(p)).alias(p, metadata=about[p])
+            for i, p in enumerate(parts)
         ],
         "label", "_f", F.col("_choice.r").alias("_r"),
     )
-    base = _importance_scores(fitted, numbered.withColumn("_f", F.lit(-1)).withColumn("_r", F.lit(0)))[(-1, 0)]
-    shuffled = _importance_scores(fitted, replaced)
-    rows = []
-    for i, c in enumerate(fields.all):
+    base = _importance_scores(scorer, numbered.withColumn("_f", F.lit(-1)).withColumn("_r", F.lit(0)))[(-1, 0)]
+    shuffled = _importance_scores(scorer, replaced)
+    # A column without a part teaches nothing, shuffled or not.
+    rows = [(c, 0.0, 0.0) for c in fields.all if c not in {columns[p] for p in parts}]
+    for i, p in enumerate(parts):
         losses = [base - shuffled[(i, r)] for r in range(repeats)]
         centre = sum(losses) / repeats
-        rows.append((c, centre, (sum((v - centre) ** 2 for v in losses) / repeats) ** 0.5))
+        rows.append((columns[p], centre, (sum((v - centre) ** 2 for v in losses) / repeats) ** 0.5))
     rows.sort(key=lambda x: (-x[1], x[0]))
     return local_table(spark, rows[:limit], "feature string, importance double, std double")
 
@@ -498,11 +569,10 @@ def train_recommended(
     df: DataFrame, target: str, task_type: str, time_column: str | None = None,
     descriptions: dict[str, str] | None = None, folds: int = FOLDS, repeats: int = REPEATS,
 ) -> list[Trained]:
-    """Train every recommended candidate."""
+    """Train every recommended candidate, all from one prepared table."""
     picks = recommend_models(df, target, task_type).orderBy("position").collect()
-    return [
-        train_model(df, target, task_type, p["algorithm"], time_column, descriptions, folds, repeats) for p in picks
-    ]
+    prepared = prepare_splits(df, target, task_type, time_column, descriptions, folds)
+    return [train_prepared(prepared, p["algorithm"], repeats) for p in picks]
 
 
 # -- experiments ----------------------------------------------------------------------------------
@@ -549,15 +619,29 @@ def experiment_rows(spark, trained: Sequence[Trained], dataset: str = "", model_
 
 
 def save_experiment(trained: Trained, folder: str, dataset: str = "") -> str:
-    """Write the pipeline under ``folder/models`` and append a row to ``folder/experiments``."""
+    """Write the pipeline under ``folder/models`` and append a row to ``folder/experiments``.
+
+    The corners of the ROC curve, which may be as many as the scores, go to ``folder/roc``.
+    """
     spark = trained.predictions.sparkSession
     path = f"{folder.rstrip('/')}/models/{trained.experiment_id}"
     trained.fitted.model.write().save(path)
     row = experiment_rows(spark, [trained], dataset, [path])
     row.write.mode("append").parquet(f"{folder.rstrip('/')}/experiments")
+    if trained.roc is not None:
+        scored = trained.predictions.select((F.col("label") == 1).cast("int").alias("positive"), "score")
+        corners = roc_corners(scored).select(F.lit(trained.experiment_id).alias("experiment_id"), "*")
+        corners.write.mode("append").partitionBy("experiment_id").parquet(f"{folder.rstrip('/')}/roc")
     return path
 
 
+def load_roc(spark, folder: str, experiment_id: str) -> DataFrame:
+    """(threshold, fpr, tpr) of a saved experiment: the corners of its ROC curve, between which it is straight."""
+    load_experiment(spark, folder, experiment_id)
+    found = spark.read.parquet(f"{folder.rstrip('/')}/roc").where(F.col("experiment_id") == experiment_id)
+    return found.select("threshold", "fpr", "tpr").orderBy(F.desc("threshold"))
+
+
 def load_experiment(spark, folder: str, experiment_id: str) -> DataFrame:
     found = spark.read.parquet(f"{folder.rstrip('/')}/experiments").where(F.col("experiment_id") == experiment_id)
     if found.isEmpty():

@@ -124,9 +124,17 @@ def test_training_reports_everything(spark, people, tmp_path):
     assert trained.confusion.agg(F.sum("n")).first()[0] == trained.split["test"]
     assert trained.roc.where("fpr = 1 AND tpr = 1").count() == 1
 
+    def area(points):
+        points = [(0.0, 0.0), *points]
+        return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:]))
+
     path = M.save_experiment(trained, str(tmp_path), "people")
     stored = M.load_experiment(spark, str(tmp_path), trained.experiment_id).first()
     assert stored["metrics"]["f1"] == trained.metrics["f1"] and stored["model_path"] == path
+    corners = [(r["fpr"], r["tpr"]) for r in M.load_roc(spark, str(tmp_path), trained.experiment_id).collect()]
+    curve = [(r["fpr"], r["tpr"]) for r in trained.roc.orderBy(F.desc("threshold")).collect()]
+    assert set(corners) <= set(curve) and len(corners) < len(curve) and corners[-1] == (1, 1)
+    assert area(corners) == pytest.approx(area(curve)) == pytest.approx(trained.metrics["roc_auc"], abs=1e-6)
     from pyspark.ml import PipelineModel
 
     assert PipelineModel.load(path).transform(rows).count() == 240
@@ -219,3 +227,33 @@ def test_comparison_lists_every_experiment(spark):
     assert [r["experiment_id"] for r in M.comparison_table(table).collect()] == ["e1", "e0", "e2"]
     with pytest.raises(ValueError):
         M.comparison_table(table.unionByName(table.withColumn("task_type", F.lit("regression"))))
+
+
+def test_all_candidates_read_one_prepared_table(people, monkeypatch):
+    """Rows are numbered once and each split is preprocessed once, however many candidates and folds there are."""
+    calls = {"numbered": 0, "preprocessed": 0}
+    numbered, preprocess = M._numbered, M.fit_preprocessing
+    monkeypatch.setattr(M, "_numbered", lambda df: calls.update(numbered=calls["numbered"] + 1) or numbered(df))
+    monkeypatch.setattr(M, "fit_preprocessing", lambda *a: calls.update(preprocessed=calls["preprocessed"] + 1) or preprocess(*a))
+    monkeypatch.setattr(M, "_estimator", lambda *a: M.LogisticRegression(maxIter=5))
+    trained = M.train_recommended(people.select(*FEATURES, "y"), "y", "binary_classification", folds=2, repeats=0)
+    assert len(trained) == 4 and calls == {"numbered": 1, "preprocessed": 3}
+    assert len({str(t.split) for t in trained}) == 1 and len({str(t.cross_validation) for t in trained}) == 1
+
+
+def test_importance_replaces_parts_of_vectors(spark):
+    """Shuffling a column that is all the model knows costs score; others, and columns without a part, cost nothing."""
+    rows = [(k % 2, "ab"[k % 2], f"id{k}", "xyz"[k % 3], float(k % 7)) for k in range(210)]
+    df = local_table(spark, rows, "y int, tell string, unique string, other string, noise double")
+    fields = M.Fields(["noise"], ["tell", "unique", "other"], [])
+    prepared, classes = M.prepare(df, "y", True)
+    fitted = M.fit(prepared, fields, "gradient_boosting", True, classes)
+    found = {r["feature"]: (r["importance"], r["std"]) for r in M.permutation_importance(fitted, prepared, fields, repeats=3).collect()}
+    assert found["noise"] == found["unique"] == found["other"] == (0.0, 0.0)
+    assert 0.3 < found["tell"][0] < 0.7
+
+
+def test_roc_corners_by_hand(spark):
+    rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (1, 0.5), (0, 0.5), (1, 0.4), (0, 0.4), (0, 0.3), (0, 0.2)]
+    corners = S.roc_corners(spark.createDataFrame(rows, "positive int, score double")).orderBy(F.desc("threshold")).collect()
+    assert [(r["threshold"], round(r["fpr"] * 5), round(r["tpr"] * 5)) for r in corners] == [(0.7, 0, 3), (0.6, 1, 3), (0.4, 3, 5), (0.2, 5, 5)]
