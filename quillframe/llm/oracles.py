@@ -90,7 +90,7 @@ def secret_scan(rules) -> str:
     """Spans from the texts between matches and the matches themselves, as every rule cuts the text in two kinds of parts."""
     parts = []
     for place, rule in enumerate(rules):
-        pattern = rule.pattern.replace("'", "''")
+        pattern = rule.greedy.replace("'", "''")
         parts.append(f"""
 SELECT r, {place} AS place, '{rule.kind}' AS kind, {rule.least} AS least, string_split_regex(body, '{pattern}') AS gaps,
   regexp_extract_all(body, '{pattern}', 0) AS hits, regexp_extract_all(body, '{pattern}', {rule.group}) AS vals FROM d

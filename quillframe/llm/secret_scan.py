@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Column, Window as W, functions as F
@@ -19,6 +20,11 @@ class Rule:
     group: int = 0
     least: int = 1
 
+    @property
+    def greedy(self) -> str:
+        """The pattern for engines without possessive repetition, which here only says how to search, not what is found."""
+        return re.sub(r"(?<=[*+}])\+", "", self.pattern)
+
 
 #: Kinds in the order in which equal starts are listed.  The hex pattern asks for its least length at once: its matches are
 #: whole runs either way, and runs of a few letters are in every sentence.
@@ -28,15 +34,15 @@ BASE_RULES = (
     Rule("hex", 1, r"[0-9a-f]{16,}", 0, 16),
 )
 #: A private key from its BEGIN line to its END line (no other line of five dashes between); without one, over header fields and base64 lines,
-#: where line breaks may be written as \\n.
+#: where line breaks may be written as \\n.  Repeated groups are possessive: Java repeats those in a loop, others by recursion, once for each line.
 PEM = (
-    r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
-    r"(?:[^-]*(?:-{1,4}[^-]+){0,40}-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
-    r"|(?:(?:[\x20\t\r\n]|\\[nr])*(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*|[A-Za-z0-9+/]{16,}={0,2}))*"
-    r"(?:(?:[\r\n]|\\[nr])+[A-Za-z0-9+/]{1,15}(?:={1,2}|[\r\n]|\z))?)"
+    r"-----BEGIN (?:[A-Z0-9\x20]*\x20)?PRIVATE KEY(?: BLOCK)?-----"
+    r"(?:[^-]*+(?:-{1,4}[^-]++)*+-----END (?:[A-Z0-9\x20]*\x20)?PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:(?:[\x20\t\r\n]|\\[nr])*+(?:(?:Proc-Type|DEK-Info|Version|Comment): [^\r\n]*+|[A-Za-z0-9+/]{16,}+={0,2}))*+"
+    r"(?:(?:[\r\n]|\\[nr])++[A-Za-z0-9+/]{1,15}(?:={1,2}|[\r\n]|\z))?)"
 )
 RULES = BASE_RULES + (
-    Rule("pem", 2, PEM, 0, 1),
+    Rule("pem", 3, PEM, 0, 1),
 )
 
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
@@ -64,7 +70,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     start, then by the rules' order.
 
     Repeated rows give repeated results, a null doc_id stays null, equal texts share one scan; texts without
-    findings, and empty tables, give empty lists and results; other columns are ignored.  No whole text is a join key or leaves its row.
+    findings, and empty tables, give empty lists and results; other columns are ignored.  No whole text is a join key;
+    the texts to be scanned are shuffled once, by their blob.
     """
     spark = versions.sparkSession
     rows = versions.select(
