@@ -303,3 +303,101 @@ def ml_train_all(t):
     trained = M.train_recommended(t("outcomes"), "outcome", "binary_classification", folds=0, repeats=0)
     rows = [(x.algorithm, k, v) for x in trained for k, v in x.metrics.items()]
     return local_table(t.spark, rows, "algorithm string, metric string, value double")
+
+
+# Where one field tells the classes apart, every measure of a working model is known: SQL states it.
+_TWO_SIDES = "SELECT count(*) AS n, count(DISTINCT c_nationkey >= 13) AS sides FROM customer"
+
+
+def _sides(t, *more: str):
+    """Customers, to be told apart by their nation's number alone."""
+    return t("customer").select(
+        "c_nationkey", *more, F.when(F.col("c_nationkey") >= 13, "yes").otherwise("no").alias("east")
+    )
+
+
+def _perfect(names: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{name}'" for name in names)
+    return f"SELECT unnest([{listed}]) AS metric, CAST(sides / 2 AS DOUBLE) AS value FROM ({_TWO_SIDES}) x"
+
+
+_SIX = _perfect(("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc"))
+
+
+def _separated(t, algorithm: str):
+    return _measured(M.train_model(_sides(t), "east", "binary_classification", algorithm, folds=0, repeats=0))
+
+
+@query("ml_logistic_known", _SIX)
+def ml_logistic_known(t):
+    return _separated(t, "logistic_regression")
+
+
+@query("ml_forest_known", _SIX)
+def ml_forest_known(t):
+    return _separated(t, "random_forest")
+
+
+@query("ml_boosting_known", _SIX)
+def ml_boosting_known(t):
+    return _separated(t, "gradient_boosting")
+
+
+@query("ml_linear_svc_known", _SIX)
+def ml_linear_svc_known(t):
+    return _separated(t, "svm")
+
+
+@query(
+    "ml_cv_known",
+    f"SELECT m.metric, f.fold, m.value FROM ({_perfect(('accuracy', 'f1', 'roc_auc'))}) m CROSS JOIN (SELECT unnest(range(5))::INTEGER AS fold) f",
+)
+def ml_cv_known(t):
+    trained = M.train_model(_sides(t), "east", "binary_classification", "logistic_regression", repeats=0)
+    rows = [(k, i, float(v)) for k, r in trained.cross_validation.items() for i, v in enumerate(r["folds"])]
+    return local_table(t.spark, rows, "metric string, fold int, value double")
+
+
+@query(
+    "ml_importance_known",
+    f"SELECT unnest(['c_nationkey', 'c_acctbal', 'c_mktsegment']) AS feature, unnest([sides = 2, sides <> 2, sides <> 2]) AS helps FROM ({_TWO_SIDES}) x",
+)
+def ml_importance_known(t):
+    """Shuffling the telling field costs score; the others cost exactly nothing, as no tree needs them."""
+    rows = _sides(t, "c_acctbal", "c_mktsegment")
+    trained = M.train_model(rows, "east", "binary_classification", "gradient_boosting", folds=0)
+    return trained.importance.select("feature", (F.col("importance") > 0).alias("helps"))
+
+
+@query(
+    "ml_compare_known",
+    f"SELECT CAST(sides AS BIGINT) AS models, 'f1' AS primary_metric, 'logistic_regression' AS best_algorithm, CAST(sides / 2 AS DOUBLE) AS best_value FROM ({_TWO_SIDES}) x",
+)
+def ml_compare_known(t):
+    """Of two saved experiments the one that saw the telling field wins."""
+    folder = scratch_folder(t.spark)
+    for rows, algorithm in ((_sides(t), "logistic_regression"), (_sides(t, "c_acctbal").drop("c_nationkey"), "gradient_boosting")):
+        M.save_experiment(M.train_model(rows, "east", "binary_classification", algorithm, folds=0, repeats=0), folder, "customers")
+    return M.compare_models(t.spark.read.parquet(f"{folder}/experiments")).drop("best_experiment_id")
+
+
+@query(
+    "ml_train_all_known",
+    f"SELECT a.algorithm, m.metric, m.value FROM ({_SIX}) m CROSS JOIN "
+    "(SELECT unnest(['logistic_regression', 'random_forest', 'gradient_boosting', 'svm']) AS algorithm) a",
+)
+def ml_train_all_known(t):
+    trained = M.train_recommended(_sides(t), "east", "binary_classification", folds=0, repeats=0)
+    return local_table(t.spark, [(x.algorithm, k, v) for x in trained for k, v in x.metrics.items()], "algorithm string, metric string, value double")
+
+
+@query(
+    "ml_roc_corners",
+    "WITH " + _CURVE + """,
+d AS (SELECT *, lead(pos) OVER (ORDER BY score DESC) AS next_pos, lead(neg) OVER (ORDER BY score DESC) AS next_neg FROM c)
+SELECT score AS threshold, round(cn / tn, 6) AS fpr, round(cp / tp, 6) AS tpr FROM d WHERE next_pos IS NULL OR pos * next_neg <> neg * next_pos
+""",
+    _OUT,
+)
+def ml_roc_corners(t):
+    return rounded(S.roc_corners(_rule(t).select(F.col("label").cast("int").alias("positive"), "score")))
