@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +12,11 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, temporary_conf
 from .words import Words, mix, seeds, slices, text_bytes
 
-#: Bytes of text handled at once.
-SLICE_BYTES = 4 << 20
+#: Bytes of text handled at once, and sent to a worker at once.
+SLICE_BYTES, BATCH_BYTES, BATCH_ROWS = 2 << 20, 4 << 20, 1000
 #: Terms of one shard, sources compared with each other at once, and tasks whose counts are summed first.
 SHARD_TERMS, TILE, FIRST_LEVEL = 1 << 13, 128, 256
 #: Bytes of terms whose perfect hashes are broadcast, what a term counts besides its own bytes, and slots that a task holds.
@@ -95,7 +96,10 @@ class Lexicon:
         bits = np.concatenate([np.frombuffer(s["bits"], np.uint8) for s in shards])
         self.words = bits.view("<u8")
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
-        self.terms = pa.chunked_array([pa.array(s["terms"], pa.large_binary()) for s in shards]).combine_chunks()
+        sizes = np.concatenate([s["widths"] for s in shards])
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        body = b"".join(s["body"] for s in shards)
+        self.terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(body)])
 
     def slots(self, terms: pa.LargeBinaryArray, hashes: np.ndarray) -> np.ndarray:
         """Slot of each term, or -1 for terms that are not stored."""
@@ -339,7 +343,9 @@ def divergence_audit(docs: DataFrame, least_docs: int = 3, top: int = 200, head_
     seen = plain.select("lang", "text").mapInArrow(_frequencies, FREQUENCIES).groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
     by_hash = W.partitionBy("lang", "hash")
     kept = seen.where(F.col("n_docs") >= least_docs).withColumn("hash", F.xxhash64("term"))
-    kept = checkpointed(kept.withColumn("alone", F.count(F.lit(1)).over(by_hash) == 1).withColumn("tier", F.floor(F.log2("n_docs")).cast("int")))
+    small_batches = {"spark__sql__execution__arrow__maxBytesPerBatch": str(BATCH_BYTES), "spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS)}
+    with temporary_conf(spark, **small_batches):
+        kept = checkpointed(kept.withColumn("alone", F.count(F.lit(1)).over(by_hash) == 1).withColumn("tier", F.floor(F.log2("n_docs")).cast("int")))
 
     # The broadcast terms: whole tiers of document frequency, from the top, while they fit.
     bytes_of = F.sum(F.octet_length("term") + TERM_OVERHEAD).alias("size")
@@ -363,14 +369,18 @@ def divergence_audit(docs: DataFrame, least_docs: int = 3, top: int = 200, head_
     if tail:
         shards = shards.unionByName(placed.where("NOT head").groupBy("lang", "shard").applyInArrow(_listed, SHARDS))
     shards = checkpointed(shards)
-    held: dict[str, list[dict]] = {}
-    for s in shards.where("bits IS NOT NULL").orderBy("lang", "shard").toArrow().to_pylist():
-        held.setdefault(s["lang"], []).append(s)
+    held: dict[str, list[tuple[int, dict]]] = {}
+    for s in shards.where("bits IS NOT NULL").orderBy("lang", "shard").toLocalIterator():
+        terms = [t.encode() for t in s["terms"]]
+        compact = {"n_terms": s["n_terms"], "sizes": s["sizes"], "bits": bytes(s["bits"]), "body": b"".join(terms),
+                   "widths": np.array([len(t) for t in terms], np.int32)}
+        held.setdefault(s["lang"], []).append((s["shard"], compact))
     n_shards = {r["lang"]: r["head_shards"] for r in wide.where("head_shards > 0").collect()}
-    held = {lang: _filled(found, n_shards[lang]) for lang, found in held.items()}
-    shared = _Shared(spark.sparkContext.broadcast(held), f"{id(held)}-{used}-{len(tiers)}")
+    lexicons = {lang: _filled(found, n_shards[lang]) for lang, found in held.items()}
+    shared = _Shared(spark.sparkContext.broadcast(lexicons), uuid.uuid4().hex)
 
-    counted = checkpointed(plain.mapInArrow(_recounted(shared, tail), COUNTS))
+    with temporary_conf(spark, **small_batches):
+        counted = checkpointed(plain.mapInArrow(_recounted(shared, tail), COUNTS))
     dense = counted.where("counts IS NOT NULL")
     dense = dense.groupBy("lang", "source", "shard", "part").applyInArrow(_added, COUNTS).withColumn("part", F.lit(0))
     dense = checkpointed(dense.groupBy("lang", "source", "shard").applyInArrow(_added, COUNTS)).select("lang", "source", "shard", "counts", "n")
@@ -431,8 +441,8 @@ def divergence_audit(docs: DataFrame, least_docs: int = 3, top: int = 200, head_
     return pairs.select(columns).unionByName(terms.select(columns))
 
 
-def _filled(shards: list[dict], n: int) -> list[dict]:
+def _filled(shards: list[tuple[int, dict]], n: int) -> list[dict]:
     """A shard that happened to get no term is an empty one, so that list places are shard numbers."""
-    known = {s["shard"]: s for s in shards}
-    blank = {"n_terms": 0, "sizes": [], "bits": b"", "terms": []}
+    known = dict(shards)
+    blank = {"n_terms": 0, "sizes": [], "bits": b"", "body": b"", "widths": np.zeros(0, np.int32)}
     return [known.get(k, blank) for k in range(n)]

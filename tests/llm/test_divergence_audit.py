@@ -69,7 +69,8 @@ def test_perfect_hash_is_minimal_and_proves_hits():
         mine = [k for k in range(3000) if int(hashes.astype(np.int64)[k] % 4) == shard and shard != 2]
         sizes, bits, order = audit.perfect_hash(hashes[mine])
         assert sorted(order) == list(range(len(mine))) and sum(bits) == len(mine)
-        shards.append({"n_terms": len(mine), "sizes": sizes, "bits": np.packbits(bits, bitorder="little").tobytes(), "terms": [terms[mine[k]].decode() for k in order]})
+        shards.append({"n_terms": len(mine), "sizes": sizes, "bits": np.packbits(bits, bitorder="little").tobytes(),
+                       "body": b"".join(terms[mine[k]] for k in order), "widths": np.array([len(terms[mine[k]]) for k in order], np.int32)})
     slots = audit.Lexicon(shards).slots(pa.array(terms, pa.large_binary()), hashes)
     stored = np.array([k < 3000 and int(hashes.astype(np.int64)[k] % 4) != 2 for k in range(5000)])
     assert ((slots >= 0) == stored).all()
