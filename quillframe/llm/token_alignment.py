@@ -97,13 +97,14 @@ class _Side:
         Character spans give the coarse cuts.  A token that ends inside a character - its span is empty, or the next token
         starts before it ends - is placed by the decoded bytes since the last coarse cut.
         """
-        joined = self.bytes_of.take(pa.array(ids))
-        if self.widths[ids].sum() != len(data) or b"".join(joined.to_pylist()) != data:
+        total = np.cumsum(self.widths[ids])
+        if not len(ids) or total[-1] != len(data):
+            return None
+        if not self.bytes_of.take(pa.array(ids)).buffers()[2].slice(0, len(data)).equals(pa.py_buffer(data)):
             return None
         coarse = byte_at[spans[:, 1]]
         exact = spans[:, 1] > spans[:, 0]
         exact[:-1] &= spans[1:, 0] >= spans[:-1, 1]
-        total = np.cumsum(self.widths[ids])
         last = np.maximum.accumulate(np.where(exact, np.arange(len(ids)), -1))
         base = np.where(last >= 0, coarse[last] - total[last], 0)
         ends = np.where(exact, coarse, base + total)
@@ -308,7 +309,9 @@ def unit_starts(data: np.ndarray, begins: np.ndarray, cuts: bytes) -> np.ndarray
     space |= (three == 0xE2) & (two == 0x80) & ((one <= 0x8A) | (one == 0xA8) | (one == 0xA9) | (one == 0xAF))
     space |= (three == 0xE2) & (two == 0x81) & (one == 0x9F)
     space |= (three == 0xE3) & (two == 0x80) & (one == 0x80)
-    return np.union1d(at[~space], begins)
+    starts = np.zeros(n, bool)
+    starts[at[~space]] = starts[begins] = True
+    return np.flatnonzero(starts)
 
 
 def _encoded(first: str, second: str):
