@@ -17,6 +17,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import (
+    FeatureHasher,
     OneHotEncoder,
     SQLTransformer,
     StringIndexerModel,
@@ -56,6 +57,8 @@ REPEATS = 5
 #: The deepest trees that Spark ML grows.
 TREE_DEPTH = 30
 RARE = "__rare__"
+#: Levels of a column that the driver holds, and features that stand for the levels of a column with more.
+MOST_LEVELS, HASHED = 100_000, 1 << 18
 
 
 # -- choosing -------------------------------------------------------------------------------------
@@ -214,10 +217,11 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
     """Pipeline stages with medians, means, deviations, modes and levels fitted on ``train``.
 
     Numeric: median for missing or not finite, then standardised.  Categorical: mode for missing, one-hot over
-    the levels seen at least twice, the others merged into one.  Levels become features and so coefficients of the model, which
-    the driver holds; their number is not limited.  A column whose levels are all unique teaches nothing and is left out.
+    the levels seen at least twice, the others merged into one.  The driver holds at most ``MOST_LEVELS`` levels of a column; the levels of a column
+    with more are features by a hash, ``HASHED`` of them, and never leave the executors.  A column whose levels are all unique teaches nothing
+    and is left out.
     """
-    select, stages, parts = [], [], []
+    select, stages, parts, blocks = [], [], [], []
     if fields.numeric:
         values = {c: measure(train, c).cast("double") for c in fields.numeric}
         medians = exact_quantiles(train, values, [0.5])
@@ -247,14 +251,20 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
                 F.count_if(F.col("n") > 1).alias("levels"), F.count_if(F.col("n") == 1).alias("rare")
             ).collect()
         }
+        hashed = [c for c in fields.categorical if sizes.get(c, (0, 0))[0] > MOST_LEVELS]
         levels: dict[str, list[str]] = {c: [] for c in fields.categorical}
-        for r in counts.where(F.col("n") > 1).collect():
+        for r in counts.where((F.col("n") > 1) & ~F.col("column_name").isin(*hashed)).collect():
             levels[r["column_name"]].append(r["value"])
         for j, c in enumerate(fields.categorical):
             text = f"coalesce(cast({_name(c)} as string), {_quote(modes.get(c, RARE))})"
-            if not levels[c]:
+            if not levels[c] and c not in hashed:
                 continue  # every value is unique: nothing to learn from a level
             select.append(f"{text} AS _c{j}")
+            if c in hashed:
+                stages.append(FeatureHasher(inputCols=[f"_c{j}"], outputCol=f"_o{j}", numFeatures=HASHED))
+                blocks.append(f"_o{j}")
+                continue
+            blocks.append(f"_o{j}")
             stages.append(StringIndexerModel.from_labels(
                 sorted(levels[c]), inputCol=f"_c{j}", outputCol=f"_i{j}", handleInvalid="keep"))
             encoded.append((j, sizes[c][1] > 0))
@@ -264,7 +274,7 @@ def fit_preprocessing(train: DataFrame, fields: Fields) -> list:
         # The last index collects everything outside the dictionary: a column of its own when the
         # training data had such levels, all zeros otherwise.
         result.append(OneHotEncoder(inputCols=[f"_i{j}"], outputCols=[f"_o{j}"], dropLast=not keep_rest))
-        parts.append(f"_o{j}")
+    parts += blocks
     if not parts:
         raise ValueError("No usable feature columns")
     result.append(VectorAssembler(inputCols=parts, outputCol="features"))

@@ -257,3 +257,20 @@ def test_roc_corners_by_hand(spark):
     rows = [(1, 0.9), (1, 0.8), (1, 0.7), (0, 0.6), (1, 0.5), (0, 0.5), (1, 0.4), (0, 0.4), (0, 0.3), (0, 0.2)]
     corners = S.roc_corners(spark.createDataFrame(rows, "positive int, score double")).orderBy(F.desc("threshold")).collect()
     assert [(r["threshold"], round(r["fpr"] * 5), round(r["tpr"] * 5)) for r in corners] == [(0.7, 0, 3), (0.6, 1, 3), (0.4, 3, 5), (0.2, 5, 5)]
+
+
+def test_levels_beyond_the_bound_are_hashed_and_still_teach(spark, monkeypatch):
+    """No level of such a column reaches the driver; the model, its importance and unseen levels work as before."""
+    monkeypatch.setattr(M, "MOST_LEVELS", 20)
+    rows = [(k % 2, f"k{k % 50}", "ab"[k % 3 == 0], None if k % 11 == 0 else f"v{k % 3}") for k in range(400)]
+    df = local_table(spark, rows, "y int, many string, few string, other string")
+    fields = M.Fields([], ["many", "few", "other"], [])
+    held = [s for s in M.fit_preprocessing(df, fields) if hasattr(s, "labels")]
+    assert sorted(len(s.labels) for s in held) == [2, 3]
+    prepared, classes = M.prepare(df, "y", True)
+    fitted = M.fit(prepared, fields, "logistic_regression", True, classes)
+    assert fitted.score(prepared).where("label != prediction").count() == 0
+    odd = local_table(spark, [(0, "never", "a", "v1"), (1, None, None, None)], "y int, many string, few string, other string")
+    assert fitted.score(M.prepare(odd, "y", True)[0]).count() == 2
+    found = {r["feature"]: r["importance"] for r in M.permutation_importance(fitted, prepared, fields, repeats=2).collect()}
+    assert max(found, key=found.get) == "many" and set(found) == {"many", "few", "other"}
