@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
-from ..session import local_table
-from .lookup import BROADCAST_ROWS, lookup_join, spread_join
+from ..session import checkpointed, local_table
+from .inversions import discordant
+from .lookup import BROADCAST_ROWS, spread_join
 from .ranks import running_totals
 
 SUMS_PER_AGGREGATE = 120
@@ -238,42 +239,23 @@ def schema_of(name: str) -> T.StructType:
 
 
 def kendall(values: DataFrame, a: str, b: str) -> float | None:
-    """Kendall's tau-b, exact, without ever pairing rows.
-
-    Give the distinct values of ``b`` dense ranks.  Two different ranks agree down to exactly one
-    binary digit and differ there, so every pair of rows with different ``b`` is seen once: in the
-    group of rows sharing the digits above.  Inside such a group, ordered by ``a``, a pair is discordant
-    when a 1 comes before a 0 and concordant when a 0 comes before a 1, which running totals
-    count.  Work is rows x digits, all of it aggregated and range-partitioned.
-    """
+    """Kendall's tau-b, exact, without ever pairing rows: discordant pairs are counted (see ``discordant``), ties are sums over groups."""
     complete = values.select(
         (col(a).cast("double") + 0.0).alias("x"), (col(b).cast("double") + 0.0).alias("y")
     ).where("x IS NOT NULL AND y IS NOT NULL")
-    pairs = complete.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    sizes = pairs.agg(F.sum("n").alias("n"), F.count_distinct("y").alias("levels")).first()
-    if not sizes["n"] or sizes["levels"] < 2:
+    pairs = checkpointed(complete.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    n = pairs.agg(F.sum("n").alias("n")).first()["n"]
+    if not n:
         return None
-    distinct_y = pairs.groupBy("y").agg(F.count(F.lit(1)).alias("_n"), F.lit(1).cast("long").alias("one"))
-    dense = running_totals(distinct_y, [], "y", ["one", "_n"]).select("y", col("before_one").alias("code"), "_n")
-    coded = lookup_join(pairs, dense, "y", "_n")
-
-    digits = (sizes["levels"] - 1).bit_length()
-    split = coded.select("x", "n", "code", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("digit"))
-    bit = F.expr("shiftright(code, digit) & 1")
-    grouped = split.groupBy("digit", F.expr("shiftright(code, digit + 1)").alias("prefix"), "x").agg(
-        F.sum(F.when(bit == 1, col("n")).otherwise(0)).alias("ones"),
-        F.sum(F.when(bit == 0, col("n")).otherwise(0)).alias("zeros"),
-    )
-    ranked = running_totals(grouped, ["digit", "prefix"], "x", ["ones", "zeros"])
-    order = ranked.agg(
-        F.sum(col("ones").cast("double") * col("before_zeros")).alias("agree"),
-        F.sum(col("zeros").cast("double") * col("before_ones")).alias("differ"),
-    ).first()
-
-    def tied(column: str) -> float:
-        counts = pairs.groupBy(column).agg(F.sum("n").cast("double").alias("n"))
+
+    def tied(*columns: str) -> float:
+        counts = pairs.groupBy(*columns).agg(F.sum("n").cast("double").alias("n"))
         return counts.agg(F.sum(col("n") * (col("n") - 1) / 2).alias("t")).first()["t"]
 
-    everything = sizes["n"] * (sizes["n"] - 1) / 2
-    scale = (everything - tied("x")) * (everything - tied("y"))
-    return None if scale <= 0 else (order["agree"] - order["differ"]) / scale**0.5
+    everything, x, y = n * (n - 1) / 2, tied("x"), tied("y")
+    scale = (everything - x) * (everything - y)
+    if scale <= 0:
+        return None
+    differ = discordant(pairs)
+    agree = everything - x - y + tied("x", "y") - differ
+    return (agree - differ) / scale**0.5
