@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import checkpointed
+from .words import bytes_list, words_of
 
 #: A remainder is left whole once this many of its kind fit in a sequence.
 FINE = 64
@@ -22,9 +23,8 @@ FINE = 64
 BUCKET_ROWS = 20_000
 #: Words, and runs of letters, whose ids one worker remembers; beyond that it starts anew.
 CACHE_WORDS = 1_000_000
-
-#: Runs encoded as one text, and texts whose new words are learned together.
-RUNS_AT_ONCE, TEXTS_AT_ONCE = 256, 64
+#: Runs encoded as one text, and words split at once.
+RUNS_AT_ONCE, WORDS_AT_ONCE = 256, 1024
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, ids binary"
 _TOKENIZERS: dict = {}
@@ -33,8 +33,11 @@ _ENCODERS: dict = {}
 #: Fixed value: the pattern by which the public word tokenizer splits lower-cased text.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _RUNS = regex.compile(SPLIT)
-#: Printable ASCII and Latin letters and signs, which lower-casing and Unicode versions treat alike everywhere.
-_COMMON = regex.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
+#: Printable ASCII and Latin letters and signs, none of which combines with its neighbours or with a space.
+_COMMON = regex.compile("[\x20-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")
+#: Byte table: all white space of ASCII as space.
+_SPACES = np.arange(256, dtype=np.uint8)
+_SPACES[9:14] = 32
 
 
 def class_sizes(capacity: int) -> list[int]:
@@ -73,75 +76,124 @@ def tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
+class _Held:
+    """Ids by key: rows of one flat array."""
+
+    def __init__(self):
+        self.rows: dict = {}
+        self.ends, self.ids, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 16, np.uint8), 0
+
+    def add(self, keys: list, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Keep 32-bit ids of some keys, ``sizes`` of them for each."""
+        n, m, at = self.n, len(keys), int(self.ends[self.n])
+        body = ids.astype("<u4").view(np.uint8)
+        if n + m + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(self.ends), m + 1), np.int64)])
+        if at + len(body) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(body)), np.uint8)])
+        self.ends[n + 1 : n + m + 1] = at + 4 * np.cumsum(sizes)
+        self.ids[at : at + len(body)] = body
+        self.rows.update(zip(keys, range(n, n + m)))
+        self.n += m
+
+    def places(self, keys: list) -> np.ndarray:
+        """Rows of keys, -1 for unknown ones."""
+        return np.fromiter((self.rows.get(key, -1) for key in keys), np.int64, len(keys))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, memoryview]:
+        """The ids in some rows one after the other, and the bytes at which each row's begin and end."""
+        if not len(at):
+            return np.zeros(1, np.int64), memoryview(b"")
+        held = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), self.n, [None, pa.py_buffer(np.ascontiguousarray(self.ends[: self.n + 1])), pa.py_buffer(self.ids)]
+        ).take(pa.array(at))
+        edges = np.frombuffer(held.buffers()[1], np.int64)[: len(at) + 1]
+        return edges, memoryview(held.buffers()[2]) if edges[-1] else memoryview(b"")
+
+
 class WordEncoder:
     """Ids of whole texts, word by word.
 
-    For tokenizers whose pre-tokens never span white space, the ids of a text are those of its space-separated
-    words one after the other; ids of recent words are remembered.  A new word of common Latin letters and signs is first split into the
-    runs that ``_RUNS`` finds, which such tokenizers also split it into, so that case and punctuation cost no new encoding;
-    ``splits`` says whether the tokenizer does so.
+    For tokenizers whose pre-tokens never span white space, the ids of a text are those of its space-separated words one after the other;
+    ids of recent words are remembered.  New words of common Latin letters and signs are first split, many at once, into the runs that
+    ``SPLIT`` finds, which such tokenizers also split them into, so that case and punctuation cost no new encoding; ``splits`` says whether
+    the tokenizer does so.  Others are encoded each by itself.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.words, self.runs = tokenizer(path), {}, {}
+        self.tokenizer, self.words, self.runs = tokenizer(path), _Held(), _Held()
         self.splits = self._same_splits()
 
     def _same_splits(self) -> bool:
-        """Does the tokenizer lower-case, and split words as ``_RUNS`` does?"""
+        """Does the tokenizer lower-case, and split words as ``SPLIT`` does?"""
         state = json.loads(self.tokenizer.to_str())
         lower = [x["type"] for x in (state["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         split = ((state["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
         return lower and split == SPLIT
 
-    def _ids(self, names: list[str]) -> list[bytes]:
-        return [np.array(got.ids, "<u4").tobytes() for got in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+    def _each(self, held: _Held, keys: list, names: list[str]) -> None:
+        found = [got.ids for got in self.tokenizer.encode_batch_fast(names, add_special_tokens=False)]
+        held.add(keys, np.array([len(x) for x in found]), np.array([k for x in found for k in x], np.uint32))
 
-    def _run_ids(self, runs: list[str]) -> list[bytes]:
+    def _learn_runs(self, runs: list[str]) -> None:
         """Ids of runs, many of them to a text, told apart by the tokenizer's own count of runs."""
         groups = [runs[k : k + RUNS_AT_ONCE] for k in range(0, len(runs), RUNS_AT_ONCE)]
-        out: list[bytes] = []
         for group, got in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
-            ids, word = np.array(got.ids, "<u4"), np.array(got.word_ids, dtype=float)
+            word = np.array(got.word_ids, dtype=float)
             cuts = np.flatnonzero(word[1:] != word[:-1]) + 1
             if len(cuts) + 1 == len(group) and not np.isnan(word).any():
-                raw, edges = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
-                out += [raw[a:b] for a, b in zip(edges[:-1], edges[1:])]
-            else:
-                out += self._ids(group)
-        return out
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.runs) > CACHE_WORDS:
-            self.runs.clear()
-        whole, split = [], []
-        for word in words:
-            name = word.decode()
-            if self.splits and _COMMON.fullmatch(name) and "<|" not in name:
-                split.append((word, _RUNS.findall(name.lower())))
+                self.runs.add(group, np.diff(cuts, prepend=0, append=len(word)), np.array(got.ids, np.uint32))
             else:
-                whole.append((word, name))
-        fresh = list({run for _, runs in split for run in runs if run not in self.runs})
-        self.runs.update(zip(fresh, self._run_ids(fresh)))
-        runs = self.runs
-        for word, parts in split:
-            self.words[word] = b"".join([runs[p] for p in parts])
-        self.words.update(zip([w for w, _ in whole], self._ids([n for _, n in whole])))
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        known = self.words
-        for lo in range(0, len(texts), TEXTS_AT_ONCE):
-            split = [text.split() for text in texts[lo : lo + TEXTS_AT_ONCE]]
-            missing = {w for words in split for w in words if w not in known}
-            if missing:
-                self.learn(missing)
-            for words in split:
-                try:
-                    yield b"".join([known[w] for w in words])
-                except KeyError:  # forgotten meanwhile
-                    self.learn(set(words))
-                    yield b"".join([known[w] for w in words])
+                self._each(self.runs, group, group)
+
+    def _learn_split(self, groups: list[tuple[list[bytes], str]]) -> None:
+        split = [_RUNS.findall(text.lower()) for _, text in groups]
+        fresh = {run for runs in split for run in runs if run not in self.runs.rows}
+        if fresh:
+            self._learn_runs(list(fresh))
+        for (group, text), runs in zip(groups, split):
+            # Runs hold all that is not a space, in order: lengths say where each word's runs end.
+            ends = np.cumsum(np.fromiter(map(len, text.split(" ")), np.int64, len(group)))
+            last = np.searchsorted(np.cumsum(np.fromiter(map(len, runs), np.int64, len(runs))), ends) + 1
+            edges, ids = self.runs.take(self.runs.places(runs))
+            self.words.add(group, np.diff(edges[last] // 4, prepend=0), np.frombuffer(ids, "<u4", int(edges[-1]) // 4))
+
+    def learn(self, words: list[bytes]) -> None:
+        groups = [words[k : k + WORDS_AT_ONCE] for k in range(0, len(words), WORDS_AT_ONCE)]
+        common, each = [], []
+        for group in groups:
+            text = b" ".join(group).decode()
+            # The whole group at once, word by word only if it holds an uncommon one.
+            if not (self.splits and _COMMON.fullmatch(text) and "<|" not in text):
+                plain = [self.splits and bool(_COMMON.fullmatch(name := w.decode())) and "<|" not in name for w in group]
+                each += [w for w, ok in zip(group, plain) if not ok]
+                group = [w for w, ok in zip(group, plain) if ok]
+                text = b" ".join(group).decode()
+            if group:
+                common.append((group, text))
+        self._learn_split(common)
+        if each:
+            self._each(self.words, each, [w.decode() for w in each])
+
+    def encode(self, texts: pa.Array | list[bytes]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        for words in words_of(pa.array(texts, pa.large_binary()) if isinstance(texts, list) else texts, _SPACES):
+            self.words = self.words if self.words.n <= CACHE_WORDS else _Held()
+            self.runs = self.runs if self.runs.n <= CACHE_WORDS else _Held()
+            ends = np.concatenate([[0], np.cumsum(words.ends - words.starts)]).astype(np.int64)
+            body = np.ascontiguousarray(words.data[words.data != 32])
+            found = pa.LargeBinaryArray.from_buffers(
+                pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(body)]
+            ).dictionary_encode()
+            names = bytes_list(found.dictionary)
+            at = self.words.places(names)
+            new = [names[k] for k in np.flatnonzero(at < 0)]
+            self.learn(new)
+            at[at < 0] = self.words.places(new)
+            edges, ids = self.words.take(at[found.indices.to_numpy(zero_copy_only=False)])
+            cut = edges[words.first].tolist()
+            for a, b in zip(cut[:-1], cut[1:]):
+                yield bytes(ids[a:b])
 
 
 def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
@@ -153,9 +205,8 @@ def _pieces(path: str, end_id: int, capacity: int, with_ids: bool):
         encoder = _ENCODERS.setdefault(path, None) or WordEncoder(path)
         _ENCODERS[path] = encoder
         for batch in batches:
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column("text").cast(pa.large_binary())]
             rows, size = [], 0
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"))):
                 ids += end
                 at, tokens = 0, len(ids) // 4
                 for length in cuts(tokens, capacity):

@@ -146,6 +146,16 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def bytes_list(column: pa.LargeBinaryArray) -> list[bytes]:
+    """``to_pylist`` of a column without nulls, without a scalar object for each value."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data is not None else b""
+    return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most ``limit`` bytes, or of a single row."""
     lo, n = 0, len(offsets) - 1
