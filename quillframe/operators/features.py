@@ -17,6 +17,9 @@ PREVIEW_ROWS = 5
 
 # Edges of the recommended age groups.
 AGE_EDGES = (0, 18, 30, 45, 60, 120)
+#: Levels that a one-hot column may have unless the operation names another bound.
+ONE_HOT_LEVELS = 2000
+
 
 
 def _family_size(df, op):
@@ -129,12 +132,12 @@ def _frequency(df, op):
 
 
 def _fit_one_hot(df, op):
-    levels = {}
+    """The sorted levels of each column.  Each becomes a column of the table, so more than ``max_levels`` are an error, not a cut."""
+    levels, most = {}, op.get("max_levels") or ONE_HOT_LEVELS
     for name in op["columns"]:
         found = df.where(col(name).isNotNull()).select(col(name).alias("v")).distinct()
-        most = op.get("max_levels")
-        values = [r["v"] for r in (found if most is None else found.limit(most + 1)).collect()]
-        if most is not None and len(values) > most:
+        values = [r["v"] for r in found.limit(most + 1).collect()]
+        if len(values) > most:
             raise ValueError(f"{name} has more levels than max_levels={most}")
         levels[name] = sorted(values)
     return {**op, "levels": levels}

@@ -348,3 +348,15 @@ def test_drivers_skip_ids_and_two_valued_fields(spark):
     assert [tuple(r)[1:] for r in B.biz_drivers(df).collect()] == [("x", 1.0, 40)]
     contrast = [r["median_target"] for r in B.biz_quartile_contrast(df).collect()]
     assert contrast == [9.0, 69.0]
+
+
+def test_one_hot_refuses_columns_with_too_many_levels(spark, monkeypatch):
+    df = spark.range(30).select((F.col("id") % 7).cast("string").alias("g"))
+    operation = {"operation": "one_hot", "columns": ["g"]}
+    assert len(X.engineer(df, [operation])[0].columns) == 7
+    with pytest.raises(ValueError):
+        X.engineer(df, [{**operation, "max_levels": 6}])
+    monkeypatch.setattr(X, "ONE_HOT_LEVELS", 5)
+    with pytest.raises(ValueError):
+        X.engineer(df, [operation])
+    assert len(X.engineer(df, [{**operation, "max_levels": 7}])[0].columns) == 7
