@@ -66,9 +66,39 @@ TEMPLATES = (
     ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("GPL", "Licensed under the GPL."),
+    ("GPL", "Released under the GPL."),
+    ("GPL-2.0", "Licensed under the GPL v2."),
+    ("GPL-2.0", "Licensed under GPLv2."),
+    ("GPL-3.0", "Licensed under the GPL v3."),
+    ("GPL-3.0", "Licensed under GPLv3."),
+    ("BSD", "Licensed under the BSD License."),
+    ("BSD", "Released under the BSD License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2."),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Licensed under the Apache 2.0 License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("LGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+             "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+             "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+             "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
 )
 #: Words that do not tell one license from another; one of them may be missing or changed in a template of at least ``EDITABLE`` words.
 GENERAL, EDITABLE = frozenset("released licensed distributed under the this work is a an of to terms license version v".split()), 5
+#: A template of at most ``NOTICE`` words needs all its telling words; of a longer one, only those that name a license must match.
+NOTICE = 18
+NAMING = frozenset(
+    "gnu lesser affero general public gpl mit apache mozilla eclipse boost bsd creative commons attribution noncommercial sharealike noderivatives cc0 "
+    "unencumbered".split()
+)
 #: Lines with a free part: SPDX lines are named by their expression, copyright lines need a sign or a year.
 _YEARS = r"(?:19|20)\d\d(?:\s*[-\u2013,]\s*(?:(?:19|20)\d\d|present))*"
 _SPDX = re.compile(r"SPDX-License-Identifier:[^\S\n]*(\(?[A-Za-z0-9.+-]+(?:[^\S\n]+(?:AND|OR|WITH)[^\S\n]+\(?[A-Za-z0-9.+-]+\)?)*\)?)", re.I)
@@ -99,7 +129,7 @@ class TemplateIndex:
     """Word hashes of the templates, and their fingerprints in order of value."""
 
     def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.names, self.words, self.telling, parts = [], [], [], []
+        self.names, self.words, self.needed, parts = [], [], [], []
         for words in words_of(pa.array([text for _, text in templates], pa.large_string()), PLAIN):
             at, value = winnow(words)
             # Templates of few words keep all their grams.
@@ -115,10 +145,11 @@ class TemplateIndex:
             pick = (size >= EDITABLE) & (size < SHORT) & (tells[pair] | tells[pair + 1])
             at, value = np.concatenate([at, pair[pick]]), np.concatenate([value, value_2[pick]])
             row = words.row_of(at)
+            naming = np.array([w in NAMING for w in spelled], bool)
             for k, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
                 self.names.append(templates[words.rows[0] + k][0])
                 self.words.append(words.hashes[a:b])
-                self.telling.append(tells[a:b])
+                self.needed.append((tells if b - a <= NOTICE else naming)[a:b])
             parts.append((value, row + words.rows[0], at - words.first[row]))
         value, template, offset = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
         order = np.argsort(value, kind="stable")
@@ -165,14 +196,14 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[list[i
     return matched, lo + int(j), lo + int(end)
 
 
-def free_lines(text: str) -> list[tuple[str, float, int, int, int, int]]:
-    """SPDX and copyright lines: name, coverage, words, words, and the span."""
+def free_lines(text: str) -> list[tuple[str, None, int, int, int, int]]:
+    """SPDX and copyright lines: name, no coverage as they have no template, words, words, and the span."""
     found = []
     for pattern in (_SPDX, _COPYRIGHT):
         for m in pattern.finditer(text):
             hit = m[0].rstrip()
             n = len(_PLAIN_WORD.findall(hit))
-            found.append((m[1] if pattern is _SPDX else "Copyright", 1.0, n, n, m.start(), m.start() + len(hit)))
+            found.append((m[1] if pattern is _SPDX else "Copyright", None, n, n, m.start(), m.start() + len(hit)))
     return found
 
 
@@ -190,15 +221,16 @@ def _scan(templates: tuple[tuple[str, str], ...]):
                     a, b = words.first[row], words.first[row + 1]
                     size = len(index.words[template])
                     same, start, end = align(index.words[template], words.hashes[a:b], diagonal)
-                    matched, telling = len(same), index.telling[template]
-                    edited = EDITABLE <= size < SHORT and matched == size - 1 and telling.any() and telling[same].sum() == telling.sum()
-                    if edited or matched >= size * (SHORT_SHARE if size < SHORT else LONG_SHARE):
-                        hits.setdefault(row, []).append((-matched, start, end, index.names[template], size))
+                    matched, needed = len(same), index.needed[template]
+                    telling = int(needed[same].sum())
+                    edited = EDITABLE <= size < SHORT and matched == size - 1 and needed.any()
+                    if telling == needed.sum() and (edited or matched >= size * (SHORT_SHARE if size < SHORT else LONG_SHARE)):
+                        hits.setdefault(row, []).append((-matched, start, end, index.names[template], size, -telling))
                         done[(row, template)] = end
                 for row, found in hits.items():
                     taken: list[tuple[int, int]] = []
                     a = words.first[row]
-                    for matched, start, end, name, size in sorted(set(found), key=lambda h: (h[0], h[4], h[1], h[3])):
+                    for matched, start, end, name, size, _ in sorted(set(found), key=lambda h: (h[0], h[5], h[4], h[1], h[3])):
                         if any(start < e and s < end for s, e in taken):
                             continue
                         taken.append((start, end))
@@ -229,9 +261,10 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     inverted index; every fingerprint that
     a text shares names a template and a diagonal.  A local alignment within ``BAND`` words of the diagonal counts
     the template's ``matched`` words; ``coverage`` is their share, and ``start`` and ``end`` span the match in code points.  Half of a template
-    must match, or 85 % of one of fewer than ``SHORT`` words, or all but one of its words if that one
-    is ``GENERAL``.  SPDX lines, named by their expression, and copyright lines are found by their form, besides the templates.  Of overlapping matches the one with most matched words
-    counts, then the shorter template, the first start, and the name.
+    must match, or 85 % of one of fewer than ``SHORT`` words, or all but one of its words; and always every word by which it tells its license: of a
+    template of up to ``NOTICE`` words all but ``GENERAL`` ones, of a longer one those in ``NAMING``.  Of overlapping matches the one with most
+    matched words counts, then that with more telling ones, the shorter template, the first start, and the name.  SPDX lines, named by their expression,
+    and copyright lines are found by their form, besides the templates, and have no coverage.
 
     Null, empty and wordless texts have no match; repeated rows are each answered; null doc_ids stay null; empty tables give no rows; other columns
     are ignored.  Rows are independent of each other and nothing is shuffled; templates are a parameter, not corpus data.
