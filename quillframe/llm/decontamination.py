@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,14 @@ from .words import PLAIN, Words, mix, seeds, words_of
 
 #: Bytes of items searched for in one pass over the documents; more items take more passes.
 ITEM_BYTES = 16 << 20
-#: Repetitions of the embedding, each with its own random walk, and coordinates sampled in each.
-REPEATS, SAMPLES = 24, 2
-#: Items of more words than ``WHOLE`` are searched for by parts of at most ``PART`` words: the share of coordinates that edits change grows with length.
-WHOLE, PART = 60, 48
+#: Coordinates sampled in each repetition of the embedding, repetitions at most, and trials that tell how many are needed.
+SAMPLES, MOST_REPEATS, TRIALS = 2, 128, 500
+#: Items of more words are searched for by parts of at most so many: the share of coordinates that edits change grows with length.
+PART = 40
+#: Share of the copies at the edit limit that the search must find, for each length.
+RECALL = 0.98
 #: Windows embedded at once, and words of a run that a window must share with its item.
-AT_ONCE, RUN = 20_000, 3
+AT_ONCE, RUN = 10_000, 3
 
 HITS = "doc_id long, item_id long, start_word long, end_word long, distance int"
 
@@ -32,6 +35,61 @@ def run_length(n_words: int, edits: int) -> int:
     return max(1, min(RUN, -(-(n_words - edits) // (edits + 1))))
 
 
+def _walks(repeats: int, longest: int) -> np.ndarray:
+    """Random numbers of the walks by (repetition, step); a repetition's do not depend on how many there are."""
+    return np.stack([seeds(2 * longest + 1, 72 + 1000 * r) for r in range(repeats)])
+
+
+def _places(repeats: int, sizes: np.ndarray) -> np.ndarray:
+    """The sampled coordinates of windows of some sizes, by (repetition, sample, window)."""
+    u = (seeds(MOST_REPEATS * SAMPLES, 71) >> np.uint64(11)).astype(float).reshape(MOST_REPEATS, SAMPLES, 1) / 2.0**53
+    return (u[:repeats] * (2 * sizes)).astype(np.int64)
+
+
+def _embedded(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The ``wanted`` coordinates of the CGK embeddings of ``words[starts:ends]``.
+
+    The walk writes the word it stands on and moves on if a random bit for (repeat, step, word) says so; past the end it writes 0.
+    """
+    out = np.zeros(wanted.shape, np.uint64)
+    at = np.repeat(starts[None, :], len(wanted), axis=0)
+    last = len(words) - 1
+    for step in range(int(wanted.max(initial=-1)) + 1):
+        value = np.where(at < ends, words[np.minimum(at, last)], np.uint64(0))
+        for k in range(SAMPLES):
+            here = wanted[:, k] == step
+            out[:, k][here] = value[here]
+        at += (mix(value ^ steps[:, step : step + 1]) >> np.uint64(63)).astype(np.int64)
+    return out
+
+
+@cache
+def repeats_needed(n_words: int, edits: int, recall: float) -> int:
+    """Repetitions after which windows of ``n_words`` distinct words meet ``recall`` of their copies with ``edits`` edits.
+
+    Counted on ``TRIALS`` random copies whose edits are all deletions, which move the walk most, and on as many with deletions,
+    insertions and changes; with the walks and coordinates that the search itself uses.
+    """
+    rng = np.random.default_rng(n_words)
+    originals = rng.integers(1, 1 << 63, (2 * TRIALS, n_words), dtype=np.uint64)
+    copies = rng.integers(1, 1 << 63, (2 * TRIALS, n_words), dtype=np.uint64)  # what follows a copy is other text
+    for k, words in enumerate(originals):
+        kept = words.tolist()
+        for _ in range(edits):
+            kind = 0 if k < TRIALS else rng.integers(3)
+            at = int(rng.integers(len(kept))) if kept else 0
+            kept[at : at + (kind != 1)] = [] if kind == 0 else [int(rng.integers(1, 1 << 62))]
+        copies[k, : len(kept)] = kept[:n_words]
+    sizes = np.full(2 * TRIALS, n_words)
+    starts = np.arange(2 * TRIALS) * n_words
+    wanted, steps = _places(MOST_REPEATS, sizes), _walks(MOST_REPEATS, n_words)
+    one, two = (_embedded(x.ravel(), starts, starts + n_words, wanted, steps) for x in (originals, copies))
+    met = np.logical_or.accumulate((one == two).all(axis=1), axis=0)
+    share = np.minimum(met[:, :TRIALS].mean(axis=1), met[:, TRIALS:].mean(axis=1))
+    enough = np.flatnonzero(share >= recall)
+    return int(enough[0]) + 1 if len(enough) else MOST_REPEATS
+
+
 class Items:
     """Benchmark items as word hashes, the short word runs in their parts, and the sampled coordinates of the parts' embeddings.
 
@@ -39,7 +97,7 @@ class Items:
     an item is within its share of edits, one of its parts is within the same share.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], percent: int):
+    def __init__(self, rows: list[tuple[int, str]], percent: int, recall: float = RECALL):
         self.ids, self.words, self.edits = [], [], []
         pieces: list[np.ndarray] = []
         self.item, self.offset = [], []
@@ -53,7 +111,7 @@ class Items:
                 self.ids.append(rows[part.rows[0] + row][0])
                 self.words.append(part.hashes[a:b])
                 self.edits.append(edit_limit(n, percent))
-                cuts = np.linspace(a, b, (-(-n // PART) if n > WHOLE else 1) + 1).astype(np.int64)
+                cuts = np.linspace(a, b, -(-n // PART) + 1).astype(np.int64)
                 for lo, hi in zip(cuts[:-1], cuts[1:]):
                     k = run_length(int(hi - lo), edit_limit(int(hi - lo), percent))
                     at, value = windows[k]
@@ -68,30 +126,17 @@ class Items:
             value, item, offset = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(value, kind="stable")
             self.runs[k] = value[order], item[order], offset[order]
-        u = (seeds(REPEATS * SAMPLES, 71) >> np.uint64(11)).astype(float).reshape(REPEATS, SAMPLES, 1) / 2.0**53
-        self.coordinates = (u * (2 * self.sizes)).astype(np.int64)
-        self.steps = seeds(REPEATS * (2 * int(self.sizes.max(initial=0)) + 1), 72).reshape(REPEATS, -1)
+        lengths = [(int(n), edit_limit(int(n), percent)) for n in np.unique(self.sizes)]
+        self.repeats = max([repeats_needed(n, edits, recall) for n, edits in lengths], default=1)
+        self.coordinates = _places(self.repeats, self.sizes)
+        self.steps = _walks(self.repeats, int(self.sizes.max(initial=0)))
         flat = np.concatenate([*pieces, np.zeros(1, np.uint64)])
         first = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
         self.samples = self.embed(flat, first, first + self.sizes, np.arange(len(self.sizes)))
 
     def embed(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray, items: np.ndarray) -> np.ndarray:
-        """Sampled coordinates (repeat, sample, window) of the CGK embedding of ``words[starts:ends]``.
-
-        The walk writes the word it stands on and moves on if a random bit for (repeat, step, word) says so; past
-        the end it writes 0.  Windows are those of parts ``items``, whose coordinates are sampled.
-        """
-        wanted = self.coordinates[:, :, items]
-        out = np.zeros(wanted.shape, np.uint64)
-        at = np.repeat(starts[None, :], REPEATS, axis=0)
-        last = len(words) - 1
-        for step in range(int(wanted.max(initial=-1)) + 1):
-            value = np.where(at < ends, words[np.minimum(at, last)], np.uint64(0))
-            for k in range(SAMPLES):
-                here = wanted[:, k] == step
-                out[:, k][here] = value[here]
-            at += (mix(value ^ self.steps[:, step : step + 1]) >> np.uint64(63)).astype(np.int64)
-        return out
+        """Sampled coordinates (repeat, sample, window) of the embeddings of ``words[starts:ends]``, windows of parts ``items``."""
+        return _embedded(words, starts, ends, self.coordinates[:, :, items], self.steps)
 
     def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, part, start) of the part-sized windows that share a word run with the part in its place, start counted in the row."""
@@ -166,7 +211,7 @@ def _search(shared):
     return run
 
 
-def find_passages(docs: DataFrame, items: DataFrame, percent: int = 80, item_bytes: int = ITEM_BYTES) -> DataFrame:
+def find_passages(docs: DataFrame, items: DataFrame, percent: int = 80, item_bytes: int = ITEM_BYTES, recall: float = RECALL) -> DataFrame:
     """(doc_id, item_id, start_word, end_word, distance): passages of ``items(item_id, text)`` in ``docs(doc_id, text)``.
 
     Words are runs of ASCII letters and digits and of all other characters, A-Z lower-cased.  A passage is a part of a text that
@@ -175,11 +220,11 @@ def find_passages(docs: DataFrame, items: DataFrame, percent: int = 80, item_byt
     null; an empty table gives no hits; other columns are ignored.
 
     Windows start where a text shares a short word run with the item in its place; by the pigeonhole principle every
-    passage has one, up to shifts that the embedding absorbs.  Windows and items are embedded by CGK random walks ``REPEATS``
-    times, ``SAMPLES`` coordinates are drawn from each embedding, and a window meets its item if all of them agree in any repetition: at a
-    Hamming share of h that misses it with probability ``(1 - (1 - h) ** SAMPLES) ** REPEATS``, 0.001 at one half.  The share grows with
-    length, so items of more than ``WHOLE`` words are searched for by parts of at most ``PART`` words, one of which is within the edit
-    limit if the item is; the whole item is then verified around it.
+    passage has one, up to shifts that the embedding absorbs.  Windows and items are embedded by CGK random walks,
+    ``SAMPLES`` coordinates are drawn from each embedding, and a window meets its item if all of them agree in any repetition.  As many repetitions are
+    made as ``recall`` of the copies at the edit limit need, for the length that needs most (see ``repeats_needed``).  The share of coordinates that
+    edits change grows with length, so items of more than ``PART`` words are searched for by parts, one of which is within the edit limit if the item is;
+    the whole item is then verified around it.
     Meetings are verified by exact edit distance.  Documents are not shuffled; items are broadcast in groups of at most ``item_bytes``,
     each searched in a pass of its own.
     """
@@ -192,7 +237,7 @@ def find_passages(docs: DataFrame, items: DataFrame, percent: int = 80, item_byt
     passes, out = max(1, -(-total // item_bytes)), None
     for k in range(passes):
         part = wanted.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part], percent))
+        shared = spark.sparkContext.broadcast(Items([(r["item_id"], r["text"]) for r in part], percent, recall))
         found = texts.mapInArrow(_search(shared), HITS)
         out = found if out is None else out.unionByName(found)
     return out
