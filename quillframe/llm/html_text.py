@@ -33,6 +33,8 @@ MARKS = frozenset(
 AFTER = frozenset("comment comments commentlist disqus recommended related replies respond".split())
 #: Parts of names that tell a layout, or a part of the text, from the marked thing itself.
 LAYOUT = frozenset("no has with without layout wrapper wrap container content entry post page article results main body story".split())
+#: What a name may hold besides marks to mark a part inside an article; ``related-work`` and ``ad-hoc`` are the article's own.
+DETAIL = frozenset("area bar block bottom box button buttons form icons inline inner item items left link links list posts right section signup slot thread top unit".split())
 #: Marks that inside an article name its own heading.
 HEADS = frozenset(["header", "masthead", "banner"])
 ARTICLE = frozenset(["article", "main"])
@@ -64,8 +66,8 @@ class Element:
     near: str
     foreign: bool = False
     paragraph: bool = False
-    #: Marked elements around this one and itself, by place in the page; negative ones are of ``AFTER``.
-    marked: tuple[int, ...] = ()
+    #: The innermost marked element that this one is or is in.
+    mark: int = -1
 
 
 @dataclass
@@ -79,14 +81,21 @@ class Token:
     inside: bool
     breaks: bool
     opens: str = ""
-    marked: tuple[int, ...] = ()
+    mark: int = -1
     paragraph: bool = False
 
 
-def is_mark(name: str, marks: frozenset[str]) -> bool:
-    """A whole name, or one whose parts are a mark and what numbers or details it, such as ``sidebar-left`` or ``main-nav``."""
+def is_mark(name: str, marks: frozenset[str], inside: bool = False) -> bool:
+    """A whole name, or one whose parts are a mark and what numbers or details it, such as ``sidebar-left`` or ``main-nav``.
+
+    Inside an article every part must be a mark, a number or one of ``DETAIL``.
+    """
     parts = [part for part in re.split(r"[-_]+", name) if part]
-    return name in marks or (any(part in marks for part in parts) and not any(part in LAYOUT for part in parts))
+    if name in marks:
+        return True
+    if inside and not all(part in MARKS or part in DETAIL or part.isdigit() for part in parts):
+        return False
+    return any(part in marks for part in parts) and not any(part in LAYOUT for part in parts)
 
 
 def tokens(page: str) -> list[Token]:
@@ -95,45 +104,76 @@ def tokens(page: str) -> list[Token]:
     A marked element is dropped unless it is a layout around the text: if it holds an article or main element or, on a page without
     one, most of the words in paragraphs.
     """
-    items = list(_tokens(page))
-    if any(t.marked for t in items):
-        around = {place for t in items if t.opens in ARTICLE for place in t.marked if place > 0}
-        if not any(t.opens in ARTICLE for t in items):
-            words, total = Counter(), 0
-            for t in items:
-                if t.paragraph and not t.dropped and t.text is not None:
-                    n = len(_WORD.findall(t.text))
-                    total += n
-                    words.update({place: n for place in t.marked if place > 0})
-            around = {place for place, n in words.items() if 2 * n > total}
+    # Marked elements in page order: the one around each (-1: none), and whether it is one of ``AFTER``.
+    around_of: list[int] = []
+    after: list[bool] = []
+    items = list(_tokens(page, around_of, after))
+    if not around_of:
+        return items
+    layout = [False] * len(around_of)
+    if any(t.opens in ARTICLE for t in items):
+        for t in items:
+            mark = t.mark if t.opens in ARTICLE else -1
+            while mark >= 0 and not layout[mark]:
+                layout[mark] = True
+                mark = around_of[mark]
+    else:
+        words, total = [0] * len(around_of), 0
         for t in items:
-            t.dropped = t.dropped or any(place not in around for place in t.marked)
+            if t.paragraph and not t.dropped and t.text is not None:
+                n = len(_WORD.findall(t.text))
+                total += n
+                if t.mark >= 0:
+                    words[t.mark] += n
+        # Elements come after those around them.
+        for mark in range(len(words) - 1, -1, -1):
+            layout[mark] = 2 * words[mark] > total
+            if around_of[mark] >= 0:
+                words[around_of[mark]] += words[mark]
+    gone: list[bool] = []
+    for mark, outer in enumerate(around_of):
+        gone.append(after[mark] or not layout[mark] or (outer >= 0 and gone[outer]))
+    for t in items:
+        t.dropped = t.dropped or (t.mark >= 0 and gone[t.mark])
     return items
 
 
-def _tokens(page: str) -> Iterator[Token]:
-    """Tokens, with the marked elements around them, for which none is dropped yet."""
-    stack = [Element("", "", False, False, "")]
-    for place, m in enumerate(_TOKEN.finditer(page), 1):
-        top = stack[-1]
+def _closed(m: re.Match) -> bool:
+    """Did a comment or raw element end where it should, and not with the page?"""
+    if m["raw"]:
+        return re.search(rf"</{m['raw']}(?=[\s/>])[^>]*>\Z", m[0], re.I) is not None
+    return not m[0].startswith("<!--") or m[0].endswith("-->")
+
+
+def _tokens(page: str, around_of: list[int], after: list[bool]) -> Iterator[Token]:
+    """Tokens, with the marked elements around them, for which none is dropped yet; the two lists get what is known of marked elements.
+
+    Nothing after the last closing bracket can be a tag, so that is not searched for one.
+    """
+    stack, opened = [Element("", "", False, False, "")], Counter()
+    last, end = None, page.rfind(">") + 1
+    for last in _TOKEN.finditer(page, 0, end):
+        m, top = last, stack[-1]
         if m["text"] is not None:
-            yield Token(html.unescape(m["text"]), top.tag, top.near, top.dropped, top.article, False, "", top.marked, top.paragraph)
+            yield Token(html.unescape(m["text"]), top.tag, top.near, top.dropped, top.article, False, "", top.mark, top.paragraph)
             continue
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         breaks, opens = tag not in INLINE, ""
         if m["end"] or m["end2"]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag), 0)
-            if depth:
+            if opened[tag]:
+                depth = next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag)
+                for element in stack[depth:]:
+                    opened[element.tag] -= 1
                 del stack[depth:]
             top = stack[-1]
         elif tag not in VOID and not ((top.foreign or tag in FOREIGN) and m[0].endswith("/>")):
             if breaks and top.tag == "p":
-                stack.pop()
+                opened[stack.pop().tag] -= 1
                 top = stack[-1]
             if tag in ("li", "tr", "td", "th", "dt", "dd", "option") and top.tag == tag:
-                stack.pop()
+                opened[stack.pop().tag] -= 1
                 top = stack[-1]
             names, hidden = [], False
             for key, value in _ATTR.findall(m["attrs"] or ""):
@@ -143,16 +183,23 @@ def _tokens(page: str) -> Iterator[Token]:
                 else:
                     names += value.split()
             marks = MARKS - HEADS if top.article else MARKS
-            found = [n for n in names if is_mark(n, marks)] if tag not in ("html", "body") and tag not in ARTICLE else []
-            after = any(part in AFTER for n in found for part in (n, *re.split(r"[-_]", n)))
+            found = [n for n in names if is_mark(n, marks, top.article)] if tag not in ("html", "body") and tag not in ARTICLE else []
+            mark = top.mark
+            if found:
+                around_of.append(top.mark)
+                after.append(any(part in AFTER for n in found for part in (n, *re.split(r"[-_]", n))))
+                mark = len(around_of) - 1
             dropped = top.dropped or tag in NEVER or hidden or (tag == "header" and not top.article)
             near = top.near if tag in INLINE or tag in ("p", "br") else ".".join([tag, *names[:1]])
             stack.append(Element(
-                tag, near, dropped, top.article or tag in ARTICLE, near, top.foreign or tag in FOREIGN, top.paragraph or tag in _PARAGRAPH,
-                (*top.marked, -place if after else place) if found else top.marked,
+                tag, near, dropped, top.article or tag in ARTICLE, near, top.foreign or tag in FOREIGN, top.paragraph or tag in _PARAGRAPH, mark,
             ))
+            opened[tag] += 1
             top, opens = stack[-1], tag
-        yield Token(None, tag, top.near, top.dropped, top.article, breaks, opens, top.marked)
+        yield Token(None, tag, top.near, top.dropped, top.article, breaks, opens, top.mark)
+    if end < len(page) and (last is None or _closed(last)):
+        top = stack[-1]
+        yield Token(html.unescape(page[end:]), top.tag, top.near, top.dropped, top.article, False, "", top.mark, top.paragraph)
 
 
 def context(token: Token) -> tuple[str, str]:
@@ -160,6 +207,18 @@ def context(token: Token) -> tuple[str, str]:
     return f"{kind} {token.tag} in {token.near}", f"{kind} {token.tag}"
 
 
+def best_run(values: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous run of greatest sum, empty if no sum is positive; ties: the first that reaches it."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for k, value in enumerate(values):
+        if total <= 0:
+            total, start = 0.0, k
+        total += value
+        if total > best:
+            best, span = total, (start, k + 1)
+    return span
+
+
 @dataclass(frozen=True)
 class PageModel:
     """Log odds of lying in the main text, by surroundings and, where those are unknown, by element."""
@@ -178,18 +237,9 @@ class PageModel:
     def extract(self, page: str) -> str:
         """Blocks of the best run of tokens, in page order, joined by newlines."""
         items = tokens(page)
-        best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-        for k, token in enumerate(items):
-            value = self.weight(token)
-            if token.text is not None:
-                value *= len(_WORD.findall(token.text))
-            if total <= 0:
-                total, start = 0.0, k
-            total += value
-            if total > best:
-                best, best_span = total, (start, k + 1)
+        first, end = best_run([self.weight(t) * (1 if t.text is None else len(_WORD.findall(t.text))) for t in items])
         blocks, now = [], []
-        for token in items[best_span[0] : best_span[1]]:
+        for token in items[first:end]:
             if token.text is None:
                 if token.breaks:
                     blocks.append("".join(now))
