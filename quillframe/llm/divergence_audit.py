@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..session import checkpointed, temporary_conf
-from .words import Words, mix, seeds, slices, text_bytes
+from .words import Words, bytes_list, mix, seeds, slices, text_bytes
 
 #: Bytes of text handled at once, and sent to a worker at once.
 SLICE_BYTES, BATCH_BYTES, BATCH_ROWS = 2 << 20, 4 << 20, 1000
@@ -226,7 +226,7 @@ def _recounted(shared: _Shared, tail: bool):
             lang_names, source_names = langs.dictionary.to_pylist(), sources.dictionary.to_pylist()
             group_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(source_names) + sources.indices.to_numpy(zero_copy_only=False)
             for _, _, terms, term, row in _occurrences(batch):
-                n, hashes = len(terms), hashes_of(terms.to_pylist())
+                n, hashes = len(terms), hashes_of(bytes_list(terms))
                 keys, counts = np.unique(group_of[row] * n + term, return_counts=True)
                 cut = np.flatnonzero(np.diff(keys // n, prepend=-1))
                 slots: dict[str, np.ndarray] = {}

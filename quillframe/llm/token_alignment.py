@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import checkpointed
-from .words import slices, text_bytes
+from .words import bytes_list, slices, text_bytes
 
 #: Bytes of text handled at once, and bytes of new units encoded as one text.
 SLICE_BYTES, BATCH_BYTES = 2 << 20, 1 << 15
@@ -339,7 +339,7 @@ def _slice(aligner: Aligner, doc_ids: pa.Array, data: np.ndarray, bounds: np.nda
     units = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]
     ).dictionary_encode()
-    at = aligner.rows_of(units.dictionary.to_pylist())[units.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
+    at = aligner.rows_of(bytes_list(units.dictionary))[units.indices.to_numpy(zero_copy_only=False)] if len(starts) else np.zeros(0, np.int64)
     first = np.searchsorted(starts, bounds)  # of each document's units
     if len(at) and not aligner.facts[4, at].all():
         at, first = _settled(aligner, data, bounds, at, first)
