@@ -5,19 +5,22 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import accumulate, combinations
 
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import col, measure, numeric_columns, require_columns
-from ..session import checkpointed, local_table
+from ..session import checkpointed, local_table, shuffle_partitions
 from .inversions import discordant
-from .lookup import BROADCAST_ROWS, spread_join
-from .ranks import running_totals
+from .lookup import BROADCAST_ROWS
+from .ranks import sketches_of
 
 SUMS_PER_AGGREGATE = 120
+#: Most ranges that the values of a column are dealt by, bound by bound from a sketch, and rows that are not worth dividing.
+RANGES, ROWS_PER_RANGE = 512, 100_000
 
 
 @dataclass(frozen=True)
@@ -174,64 +177,74 @@ def _rank_pairs(values, pairs, rows: int, stats: dict[str, ColumnStats]) -> dict
 def with_ranks(values: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Replace every value by its average rank within its column; nulls stay null.
 
-    All columns are ranked together: one scan and one range partitioning by (column, value).  Ranks of columns with few values,
-    ``BROADCAST_ROWS`` of them in all, come back by broadcasts.  All other columns, however many, share one join of
-    (row, column, value) triples and one gathering by row; values held by many rows are spread in that join.
+    Columns with few values, ``BROADCAST_ROWS`` of them in all, get their ranks by broadcasts.  For each of the others the rows are dealt by
+    ranges of the value and numbered within them: one shuffle of the rows for a column, and no join.  ``values`` is read several times.
     """
-    counted = (
-        values.unpivot([], [col(c) for c in columns], "column", "value")
-        .where("value IS NOT NULL")
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = running_totals(counted, ["column"], "value", ["n"]).select(
-        "column", "value", (col("before_n") + (col("n") + 1) / F.lit(2.0)).alias("_rank"), "n"
-    )
-    sizes = {r["column"]: r["levels"] for r in ranked.groupBy("column").agg(F.count("value").alias("levels")).collect()}
+    values = values.select(*[(col(c) + 0.0).alias(c) for c in values.columns])  # -0.0 and 0.0 are one value
+    sizes = _aggregate(values, {c: F.approx_count_distinct(col(c)) for c in columns})
     small, held = [], 0
-    for c in sorted(columns, key=lambda c: (sizes.get(c, 0), c)):
-        held += sizes.get(c, 0)
+    for c in sorted(columns, key=lambda c: (sizes[c], c)):
+        held += sizes[c]
         if held <= BROADCAST_ROWS:
             small.append(c)
-    ranks = values
+    large = [c for c in columns if c not in small]
+    ranks = _ranks_by_ranges(values, large) if large else values
     if small:
-        copies = ranked.where(F.col("column").isin(small)).select("column", "value", "_rank").toArrow()
+        counted = values.unpivot([], [col(c) for c in small], "column", "value").where("value IS NOT NULL").groupBy(
+            "column", "value").agg(F.count(F.lit(1)).alias("n"))
+        earlier = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("n").over(earlier), F.lit(0))
+        copies = counted.select("column", "value", (before + (col("n") + 1) / F.lit(2.0)).alias("_rank")).toArrow()
         for c in small:
             mine = copies.filter(pc.equal(copies["column"], c)).select(["value", "_rank"]).rename_columns([c, "_rank"])
             joined = ranks.join(F.broadcast(values.sparkSession.createDataFrame(mine, schema_of(c))), c, "left")
             ranks = joined.select(*[col("_rank").alias(c) if x == c else col(x) for x in values.columns])
-    large = [c for c in columns if c not in small]
-    return _ranks_by_row(ranks, large, ranked) if large else ranks
-
-
-def _ranks_by_row(values: DataFrame, large: list[str], ranked: DataFrame) -> DataFrame:
-    """Replace the values of ``large`` columns by the ranks in ``ranked(column, value, _rank, n)``; other columns travel with the first triple."""
-    others = [c for c in values.columns if c not in large]
-    numbers = {c: i for i, c in enumerate(large)}
-    carried = F.struct(F.lit(0).alias("_"), *[col(c) for c in others])
-    triples = F.array(*[
-        F.struct(
-            F.lit(i).alias("i"), (col(c) + 0.0).alias("value"), (carried if i == 0 else F.lit(None).cast(_type_of(values, others))).alias("carried")
-        )
-        for c, i in numbers.items()
-    ])
-    # Rows are numbered before they are split: beside an explode, the number would count triples.
-    long = values.withColumn("_row", F.monotonically_increasing_id()).select("_row", F.explode(triples).alias("t")).select(
-        "_row", "t.i", "t.carried", F.when(F.col("t.value").isNotNull(), F.struct("t.i", "t.value")).alias("_key")
-    )
-    number = F.create_map(*[F.lit(x) for c, i in numbers.items() for x in (c, i)])[F.col("column")]
-    table = ranked.where(F.col("column").isin(large)).select(F.struct(number.alias("i"), "value").alias("_key"), "_rank", F.col("n").alias("_n"))
-    joined = spread_join(long, table, "_key", "_n")
-    rows = joined.groupBy("_row").agg(
-        *[F.max(F.when(F.col("i") == i, F.col("_rank"))).alias(f"_rank{i}") for i in numbers.values()], F.max("carried").alias("_carried")
-    )
-    return rows.select(*[
-        F.col(f"_rank{numbers[c]}").alias(c) if c in numbers else F.col("_carried")[c].alias(c) for c in values.columns
-    ])
+    return ranks
+
 
+def _ranks_by_ranges(values: DataFrame, large: list[str]) -> DataFrame:
+    """Replace the values of ``large`` columns by their average ranks.
 
-def _type_of(values: DataFrame, columns: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField("_", T.IntegerType()), *[values.schema[c] for c in columns]])
+    Quantiles of a sketch bound the ranges, and one exact count says how many rows lie before each range and on each bound.  So the rank of a
+    value that is a bound, such as any value of a large share of the rows, is known at once, and only what lies between two bounds is
+    ordered.  Rows that need no ordering pass through the same shuffle, spread by a hash.
+    """
+    names = [f"v{i}" for i in range(len(values.columns))]
+    ranks = values.toDF(*names)
+    wanted = {values.columns.index(c): f"v{values.columns.index(c)}" for c in large}
+    sketches = sketches_of(ranks, [F.col(v) for v in wanted.values()])
+    ranges = max(1, min(RANGES, max(sketches.counts) // ROWS_PER_RANGE))
+    cuts = sketches.many({i: [k / ranges for k in range(1, ranges)] for i in range(len(wanted))}) if ranges > 1 else {}
+    bounds = {v: sorted({x for x in cuts.get(i, []) if x is not None}) for i, v in enumerate(wanted.values())}
+    placed = ranks
+    for v in bounds:
+        placed = _with_place(placed, v, bounds[v], f"_{v}")
+    pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"_{v}").alias("place")) for v in bounds]))
+    counted = placed.select(pairs.alias("c")).groupBy("c.v", "c.place").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {(r["v"], r["place"]): r["n"] for r in counted.collect()}
+    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *names), F.lit(4 * shuffle_partitions(values.sparkSession))).cast("int")
+    for v in bounds:
+        here = [sizes.get((v, k), 0) for k in range(2 * len(bounds[v]) + 1)]
+        before = [float(x) for x in accumulate(here[:-1], initial=0)]
+        middle = [x + (n + 1) / 2 for x, n in zip(before, here)]
+        ordered = F.col("_place") % 2 == 0
+        dealt = _with_place(ranks, v, bounds[v], "_place").withColumn("_range", F.when(ordered, F.col("_place")).otherwise(-1 - spread))
+        dealt = dealt.withColumn("_rank", F.rank().over(Window.partitionBy("_range").orderBy(v)))
+        dealt = dealt.withColumn("_ties", F.count(F.lit(1)).over(Window.partitionBy("_range", v)))
+        inside = F.get(F.lit(before), "_place") + F.col("_rank") + (F.col("_ties") - 1) / F.lit(2.0)
+        rank = F.when(ordered, inside).otherwise(F.get(F.lit(middle), "_place"))
+        ranks = dealt.select(*[rank.alias(x) if x == v else x for x in names])
+    return ranks.toDF(*values.columns)
+
+
+def _with_place(df: DataFrame, value: str, bounds: list[float], place: str) -> DataFrame:
+    """Add ``place``: 0 below the first bound, 1 on it, 2 between it and the second one, and so on; null for null."""
+    if not bounds:
+        return df.withColumn(place, F.when(F.col(value).isNotNull(), F.lit(0)))
+    splits = [float("-inf"), *bounds, float("inf")]
+    found = Bucketizer(splits=splits, inputCol=value, outputCol=place, handleInvalid="keep").transform(df)
+    number = F.col(place).cast("int")
+    return found.withColumn(place, 2 * number - (F.col(value) == F.get(F.lit(splits), number)).cast("int"))
 
 
 def schema_of(name: str) -> T.StructType:
