@@ -59,6 +59,8 @@ TREE_DEPTH = 30
 RARE = "__rare__"
 #: Levels of a column that the driver holds, and features that stand for the levels of a column with more.
 MOST_LEVELS, HASHED = 100_000, 1 << 18
+#: Rows of a partition beyond which a prepared table is dealt anew: every pass of training takes as long as its largest task.
+ROWS_PER_TASK = 50_000
 
 
 # -- choosing -------------------------------------------------------------------------------------
@@ -437,9 +439,15 @@ def prepare_splits(
         test, strategy = _fold_of(numbered, FOLDS, label, SEED) == 0, "stratified_random" if classification else "random"
     # The folds of the cross-validation use another seed than those of the hold-out split.
     fold = _fold_of(numbered, folds, label, SEED + 1) if folds else F.lit(None).cast("int")
-    parted = numbered.select("*", test.alias("_test"), fold.alias("_fold")).drop("_row")
-    sizes = parted.agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).first()
-    split = {"train": sizes["train"], "test": sizes["test"], "strategy": strategy}
+    parted = numbered.select("*", test.alias("_test"), fold.alias("_fold"))
+    sizes = parted.groupBy(F.spark_partition_id()).agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).agg(
+        F.sum("train").alias("train"), F.sum("test").alias("test"), F.max(F.col("train") + F.col("test")).alias("largest")
+    ).first()
+    if (sizes["largest"] or 0) > ROWS_PER_TASK:
+        # A file of few bytes has few partitions, however many rows it holds.
+        parted = checkpointed(parted.repartition(-(-(sizes["train"] + sizes["test"]) // ROWS_PER_TASK), "_row"))
+    parted = parted.drop("_row")
+    split = {"train": sizes["train"] or 0, "test": sizes["test"] or 0, "strategy": strategy}
     return Prepared(parted, task_type, target, classes, fields, split, folds)
 
 

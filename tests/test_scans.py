@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillframe.operators import business as B
 from quillframe.operators import correlation
+from quillframe.operators import models as M
 
 
 def counting(spark, df, column):
@@ -56,3 +57,14 @@ def test_drivers_store_their_input_once(spark):
     assert seen.value == 30_000
     assert "FileScan parquet" in facts.values._jdf.queryExecution().executedPlan().toString()  # scans read one column
     assert [(r["feature"], r["quarter"], r["n"]) for r in first] == [("quantity", "lower quarter", 7500), ("quantity", "upper quarter", 7500)]
+
+
+def test_prepared_tables_are_dealt_evenly(spark, monkeypatch):
+    """A file of one partition does not make one task of every pass of training."""
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 100, raising=False)
+    rows = spark.range(0, 1000, 1, 1).selectExpr("cast(id as double) AS x", "if(id % 3 = 0, 'yes', 'no') AS y")
+    prepared = M.prepare_splits(rows, "y", "binary_classification", folds=0)
+    tasks = [r["n"] for r in prepared.rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(tasks) >= 8 and max(tasks) < 250 and sum(tasks) == 1000
+    assert (prepared.split["train"], prepared.split["test"]) == (prepared.train().count(), prepared.held_out().count())
+    assert sorted(r["x"] for r in prepared.rows.collect()) == [float(i) for i in range(1000)]
