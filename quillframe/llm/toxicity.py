@@ -183,7 +183,8 @@ class BlockMaxIndex:
         self.dense = np.zeros((len(examples), len(common)), np.float32)
         size[common] = 0
         self.first = np.append(0, np.cumsum(size))
-        self.example, self.weight = np.zeros(self.first[-1], np.int32), np.zeros(self.first[-1], np.float32)
+        narrow = np.uint16 if len(examples) <= 1 << 16 else np.int32
+        self.example, self.weight = np.zeros(self.first[-1], narrow), np.zeros(self.first[-1], np.float32)
         free = self.first[:-1].copy()
         for k, (_, _, terms, weights) in enumerate(examples):
             terms, weights = np.asarray(terms, np.int64), np.asarray(weights)
@@ -211,11 +212,7 @@ class BlockMaxIndex:
             some = queries[lo : lo + AT_ONCE]
             query = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
             term, weight = np.concatenate([t for t, _ in some]), np.concatenate([w for _, w in some])
-            sizes = self.first[term + 1] - self.first[term]
-            place = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-            rare = np.bincount(
-                np.repeat(query * n, sizes) + self.example[place], np.repeat(weight, sizes) * self.weight[place], len(some) * n
-            ).reshape(len(some), n)
+            rare = np.stack([self._postings(*q) for q in some])
             often = self.column[term] >= 0
             dense = np.zeros((len(some), self.dense.shape[1]))
             dense[query[often], self.column[term[often]]] = weight[often]
@@ -232,6 +229,12 @@ class BlockMaxIndex:
                 out.append((may[best], np.minimum(cosine[best], 1.0)))
         return out
 
+    def _postings(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Sums of the postings of one query for all examples; the lists of one query at a time, as those of many are long."""
+        sizes = self.first[term + 1] - self.first[term]
+        place = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.example[place], np.repeat(weight, sizes) * self.weight[place], len(self.ids))
+
 
 @dataclass(frozen=True)
 class ToxicityModel:
