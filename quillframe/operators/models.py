@@ -59,8 +59,8 @@ TREE_DEPTH = 30
 RARE = "__rare__"
 #: Levels of a column that the driver holds, and features that stand for the levels of a column with more.
 MOST_LEVELS, HASHED = 100_000, 1 << 18
-#: Rows of a partition beyond which a prepared table is dealt anew: every pass of training takes as long as its largest task.
-ROWS_PER_TASK = 50_000
+#: Rows of a task of training: at least the first where that occupies the cluster, at most the second.
+ROWS_PER_TASK = (2_000, 50_000)
 
 
 # -- choosing -------------------------------------------------------------------------------------
@@ -294,9 +294,11 @@ def _estimator(algorithm: str, classification: bool, classes: int, rows: int, la
     if algorithm == "logistic_regression" and classification:
         return LogisticRegression(maxIter=1000, regParam=1.0 / rows, standardization=False, **weight)
     if algorithm == "random_forest":
+        # Rows remember their nodes, so that a pass neither carries all trees nor walks down them; the trees are the same.
+        settings = {"numTrees": 120, "maxDepth": TREE_DEPTH, "seed": SEED, "cacheNodeIds": True, "checkpointInterval": 50}
         if classification:
-            return RandomForestClassifier(numTrees=120, maxDepth=TREE_DEPTH, seed=SEED, **weight)
-        return RandomForestRegressor(numTrees=120, maxDepth=TREE_DEPTH, seed=SEED)
+            return RandomForestClassifier(**settings, **weight)
+        return RandomForestRegressor(**settings)
     if algorithm == "gradient_boosting":
         settings = {"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, "seed": SEED}
         if not classification:
@@ -443,9 +445,12 @@ def prepare_splits(
     sizes = parted.groupBy(F.spark_partition_id()).agg(F.count_if(~F.col("_test")).alias("train"), F.count_if("_test").alias("test")).agg(
         F.sum("train").alias("train"), F.sum("test").alias("test"), F.max(F.col("train") + F.col("test")).alias("largest")
     ).first()
-    if (sizes["largest"] or 0) > ROWS_PER_TASK:
-        # A file of few bytes has few partitions, however many rows it holds.
-        parted = checkpointed(parted.repartition(-(-(sizes["train"] + sizes["test"]) // ROWS_PER_TASK), "_row"))
+    known = (sizes["train"] or 0) + (sizes["test"] or 0)
+    least, most = ROWS_PER_TASK
+    tasks = max(min(numbered.sparkSession.sparkContext.defaultParallelism, known // least), -(-known // most), 1)
+    if (sizes["largest"] or 0) > 2 * -(-known // tasks):
+        # Every pass of training takes as long as its largest task, and a file of few bytes is one task, however many rows it holds.
+        parted = checkpointed(parted.repartition(tasks, "_row"))
     parted = parted.drop("_row")
     split = {"train": sizes["train"] or 0, "test": sizes["test"] or 0, "strategy": strategy}
     return Prepared(parted, task_type, target, classes, fields, split, folds)

@@ -61,10 +61,19 @@ def test_drivers_store_their_input_once(spark):
 
 def test_prepared_tables_are_dealt_evenly(spark, monkeypatch):
     """A file of one partition does not make one task of every pass of training."""
-    monkeypatch.setattr(M, "ROWS_PER_TASK", 100, raising=False)
+    monkeypatch.setattr(M, "ROWS_PER_TASK", (10, 100), raising=False)
     rows = spark.range(0, 1000, 1, 1).selectExpr("cast(id as double) AS x", "if(id % 3 = 0, 'yes', 'no') AS y")
+    few = M.prepare_splits(rows.limit(15), "y", "binary_classification", folds=0)
+    assert few.rows.select(F.spark_partition_id()).distinct().count() == 1
     prepared = M.prepare_splits(rows, "y", "binary_classification", folds=0)
     tasks = [r["n"] for r in prepared.rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(tasks) >= 8 and max(tasks) < 250 and sum(tasks) == 1000
     assert (prepared.split["train"], prepared.split["test"]) == (prepared.train().count(), prepared.held_out().count())
     assert sorted(r["x"] for r in prepared.rows.collect()) == [float(i) for i in range(1000)]
+
+
+def test_forests_remember_the_nodes_of_rows(spark):
+    """The trees are those of a forest that walks down from the root in every pass, which the settings below leave alone."""
+    for classification in (True, False):
+        forest = M._estimator("random_forest", classification, 2, 10, 1.0)
+        assert forest.getCacheNodeIds() and (forest.getNumTrees(), forest.getMaxDepth(), forest.getSeed()) == (120, M.TREE_DEPTH, M.SEED)
