@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -18,25 +18,34 @@ from .words import words_of
 
 #: Byte lengths of word beginnings that count as terms besides whole words.
 STEMS = (4, 5, 6, 7, 8)
-#: Bytes of the index's dense block, for the terms that most examples have, and queries scored at once.
-DENSE_BYTES, AT_ONCE = 96 << 20, 16
+#: Bytes of the index's dense blocks, for the terms that many examples of a group have; queries scored at once, and dealt to such lots.
+DENSE_BYTES, AT_ONCE, WAITING = 96 << 20, 128, 512
+#: Groups of similar examples, the most frequent terms they are told by, examples that fix the groups, and rounds for that.
+GROUPS, GROUP_TERMS, GROUP_ROWS, ROUNDS = 8, 512, 2048, 8
 #: Nearness of an exact match, and weight of the base rate among the votes.
 NEAR, PRIOR = 0.05, 1.0
 
 class Vocabulary:
-    """Sorted term hashes, with a table of flags by their low bits that turns most other terms away at once."""
+    """Sorted term hashes, with a table of where each value of their high bits begins, so that a term is found in one or two steps."""
 
     def __init__(self, terms: np.ndarray):
-        self.terms = terms
-        self.flags = np.zeros(1 << max(20, len(terms).bit_length() + 2), bool)
-        self.flags[(terms & np.uint64(self.flags.size - 1)).astype(np.int64)] = True
+        bits = max(4, len(terms).bit_length())
+        self.terms, self.shift = terms, np.uint64(64 - bits)
+        self.first = np.searchsorted(terms >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
 
     def places(self, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the terms are known, by index, and their places in the vocabulary."""
-        maybe = np.flatnonzero(self.flags[(term & np.uint64(self.flags.size - 1)).astype(np.int64)])
-        at = np.searchsorted(self.terms, term[maybe])
-        known = self.terms[np.minimum(at, max(len(self.terms) - 1, 0))] == term[maybe] if len(self.terms) else np.zeros(len(maybe), bool)
-        return maybe[known], at[known]
+        high = (term >> self.shift).astype(np.int64)
+        at, end, found = self.first[high], self.first[high + 1], np.full(len(term), -1, np.int64)
+        left = np.flatnonzero(at < end)
+        while len(left):
+            hit = self.terms[at[left]] == term[left]
+            found[left[hit]] = at[left[hit]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+        known = np.flatnonzero(found >= 0)
+        return known, found[known]
 
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -51,37 +60,41 @@ def _plain(column: pa.Array) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(lower), [None, offsets, pa.py_buffer(raw.tobytes())], offset=lower.offset)
 
 
-def row_terms(column: pa.Array, wanted: Vocabulary | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, row of each term, hash of each term) by slices: whole words, and their beginnings.
+def row_terms(column: pa.Array, wanted: Vocabulary | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, term hashes, row of each occurrence, index of its term) by slices: whole words, and their beginnings.
 
-    With a vocabulary only its terms, as their places in it.
+    With a vocabulary only its terms count, and indexes are their places in it.  Each distinct word of a slice is looked up once.
     """
     for words in words_of(_plain(column)):
-        starts, size = words.starts, words.ends - words.starts
-        rows, terms = [], []
+        found = pa.array(words.hashes).dictionary_encode()
+        word = found.indices.to_numpy(zero_copy_only=False)
+        some = np.zeros(len(found.dictionary), np.int64)
+        some[word] = np.arange(len(word))
+        starts, size = words.starts[some], words.ends[some] - words.starts[some]
+        terms, spans = [], []
         for k in (0, *STEMS):
             at = np.flatnonzero(size >= k)
-            term = words.span_hashes(starts[at], starts[at] + k) ^ np.uint64(k) if k else words.hashes
-            if wanted is not None:
-                known, term = wanted.places(term)
-                at = at[known]
-            rows.append(words.row_of(at))
-            terms.append(term)
-        yield *words.rows, np.concatenate(rows), np.concatenate(terms)
-
-
-def _counted(row: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (row, term), and how often each occurs."""
-    order = np.lexsort((term, row))
-    row, term = row[order], term[order]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (term[1:] != term[:-1])
-    first = np.flatnonzero(new)
-    return row[first], term[first], np.diff(np.append(first, len(row)))
+            spans.append(at)
+            terms.append(words.span_hashes(starts[at], starts[at] + k) ^ np.uint64(k) if k else words.hashes[some])
+        if wanted is None:
+            kinds, place = np.unique(np.concatenate(terms), return_inverse=True)
+            places = np.split(place, np.cumsum([len(at) for at in spans])[:-1])
+        else:
+            kinds, places = wanted.terms, []
+            for k, term in enumerate(terms):
+                known, place = wanted.places(term)
+                spans[k] = spans[k][known]
+                places.append(place)
+        table = np.full((len(some), len(spans)), -1, np.int32)
+        for k, (at, place) in enumerate(zip(spans, places)):
+            table[at, k] = place
+        held = table[word]
+        kept = held >= 0
+        yield *words.rows, kinds, np.repeat(np.repeat(np.arange(len(words.counts)), words.counts), kept.sum(1)), held[kept]
 
 
 def _counted_places(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same for places in a vocabulary, which sort faster."""
+    """Distinct (row, place), and how often each occurs."""
     key = np.sort((row.astype(np.uint64) << np.uint64(32)) | place.astype(np.uint64))
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     times, key = np.diff(np.append(first, len(key))), key[first]
@@ -91,9 +104,8 @@ def _counted_places(row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.
 def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
-        for lo, _, row, term in row_terms(batch.column("text")):
-            row, term, _ = _counted(row, term)
-            kinds, place = np.unique(term, return_inverse=True)
+        for lo, _, kinds, row, term in row_terms(batch.column("text")):
+            row, place, _ = _counted_places(row, term)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(kinds.view(np.int64)), pa.array(np.bincount(place, minlength=len(kinds)).astype(np.int64)),
                  pa.array(np.bincount(place, weights=toxic[lo + row], minlength=len(kinds)).astype(np.int64))],
@@ -106,7 +118,7 @@ def _document_counts(shared, length: int):
         vocabulary, held = shared.value, np.zeros(length, np.int64)
         for batch in batches:
             held[-1] += batch.num_rows
-            for _, _, row, at in row_terms(batch.column("text"), vocabulary):
+            for _, _, _, row, at in row_terms(batch.column("text"), vocabulary):
                 held += np.bincount(_counted_places(row, at)[1], minlength=length)
         yield parts_of({"": held})
 
@@ -115,7 +127,7 @@ def _document_counts(shared, length: int):
 
 def _vectors(vocabulary: Vocabulary, weights: np.ndarray, column: pa.Array):
     """(row, terms, unit weights) of the rows that have a term of the vocabulary."""
-    for lo, _, row, at in row_terms(column, vocabulary):
+    for lo, _, _, row, at in row_terms(column, vocabulary):
         row, at, times = _counted_places(row, at)
         value = (1 + np.log(times)) * weights[at]
         bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
@@ -139,7 +151,7 @@ def _example_terms(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [b""] * batch.num_rows
-            for lo, _, row, at in row_terms(batch.column("text"), shared.value):
+            for lo, _, _, row, at in row_terms(batch.column("text"), shared.value):
                 row, at, times = _counted_places(row, at)
                 bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
                 for a, b in zip(bounds, np.append(bounds[1:], len(row))):
@@ -167,32 +179,117 @@ class PackedExamples:
             value = (1 + np.log(times)) * self.weights[terms]
             yield doc_id, toxic, terms, value / np.sqrt((value**2).sum())
 
+    def terms(self) -> Iterator[np.ndarray]:
+        return (_unpack(held)[0] for _, _, held in self.rows)
+
+
+@dataclass(frozen=True)
+class _Block:
+    """A group of similar examples: its range, the columns of its frequent terms by rank, their weights, and the greatest norm of a row."""
+
+    start: int
+    stop: int
+    column: np.ndarray
+    dense: np.ndarray
+    norm: float
+
+    def query(self, ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """A query's weights by column; ``ranks`` ascend."""
+        column, out = self.column[ranks[: np.searchsorted(ranks, len(self.column))]], np.zeros(self.dense.shape[1])
+        at = np.flatnonzero(column >= 0)
+        out[column[at]] = weights[at]
+        return out
+
+
+class _Groups:
+    """k-means on the most frequent terms, from examples spread evenly.  Only the cost of a search depends on it, no result."""
+
+    def __init__(self, size: np.ndarray, rank: np.ndarray, n: int, some: list[np.ndarray]):
+        self.rank, wanted = rank, max(1, min(GROUPS, n // 512))
+        self.idf = np.log(1 + n / np.maximum(np.sort(size)[::-1][:GROUP_TERMS], 1)).astype(np.float32)
+        unit = np.stack([self.unit(terms) for terms in some])
+        self.centres = unit[np.linspace(0, len(unit) - 1, wanted).astype(np.int64)]
+        for _ in range(ROUNDS if wanted > 1 else 0):
+            group = (unit @ self.centres.T).argmax(1)
+            self.centres = np.stack([unit[group == g].sum(0) if (group == g).any() else self.centres[g] for g in range(wanted)])
+            self.centres /= np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-9)
+
+    def unit(self, terms: np.ndarray) -> np.ndarray:
+        ranks, out = self.rank[terms], np.zeros(len(self.idf), np.float32)
+        ranks = ranks[ranks < len(out)]
+        out[ranks] = self.idf[ranks]
+        return out / max(float(np.sqrt((out**2).sum())), 1e-9)
+
+    def of(self, terms: np.ndarray) -> int:
+        return int((self.centres @ self.unit(terms)).argmax())
+
 
 class BlockMaxIndex:
-    """All terms of all examples: a dense block for those that most examples have, postings for the others."""
+    """All terms of all examples: examples in blocks of similar ones, with a dense matrix for the terms that many of a block have; postings for all others.
+
+    A block is passed over if its greatest sum of postings and the greatest norm of its rows can't bring an example among the nearest.
+    """
 
     def __init__(self, examples: PackedExamples | list[tuple[int, int, list[int], list[float]]], n_terms: int):
-        self.ids, self.toxic = np.zeros(len(examples), np.int64), np.zeros(len(examples))
-        size = np.zeros(n_terms, np.int64)
-        for k, (self.ids[k], self.toxic[k], terms, _) in enumerate(examples):
+        n = len(examples)
+        self.ids, self.toxic, self.blocks = np.zeros(n, np.int64), np.zeros(n), []
+        if not n:
+            return
+        each = examples.terms if isinstance(examples, PackedExamples) else lambda: (np.asarray(e[2], np.int64) for e in examples)
+        size, some = np.zeros(n_terms, np.int64), []
+        for k, terms in enumerate(each()):
             size[terms] += 1
-        common = np.sort(np.argsort(-size, kind="stable")[: DENSE_BYTES // (4 * max(len(examples), 1))])
-        common = common[size[common] > len(examples) // 64]
-        self.column = np.full(n_terms, -1, np.int32)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((len(examples), len(common)), np.float32)
-        size[common] = 0
+            if k % -(-n // GROUP_ROWS) == 0:
+                some.append(terms)
+        # Terms are numbered by how many examples have them, so that what most queries read lies together.
+        most = np.argsort(-size, kind="stable")
+        self.rank = np.empty(n_terms, np.int32)
+        self.rank[most] = np.arange(n_terms)
+        size = size[most]
+        groups = _Groups(size, self.rank, n, some)
+        group, members = np.zeros(n, np.int64), np.zeros(len(groups.centres), np.int64)
+        # Only terms that enough examples have can be columns of a dense block.
+        held = np.zeros((len(members), int((size > n // 64 // len(members)).sum())), np.int32)
+        for k, terms in enumerate(each()):
+            group[k] = g = groups.of(terms)
+            ranks = self.rank[terms]
+            members[g] += 1
+            held[g, ranks[ranks < held.shape[1]]] += 1
+        #: Positions of the examples block by block, and the place of each position there.
+        self.order = np.argsort(group, kind="stable")
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        # The densest (block, term) pairs, while they fit.
+        of, rank = np.nonzero(held > np.maximum(members // 64, 1)[:, None])
+        best = np.argsort(-held[of, rank] / members[of], kind="stable")
+        best = best[: np.searchsorted(np.cumsum(4 * members[of[best]]), DENSE_BYTES, side="right")]
+        of, rank = of[best], rank[best]
+        np.subtract.at(size, rank, held[of, rank])
+        stops = np.cumsum(members)
+        for g, (start, stop) in enumerate(zip((stops - members).tolist(), stops.tolist())):
+            mine = np.sort(rank[of == g])
+            column = np.full(held.shape[1], -1, np.int32)
+            column[mine] = np.arange(len(mine))
+            self.blocks.append(_Block(start, stop, column, np.zeros((stop - start, len(mine)), np.float32), 0.0))
         self.first = np.append(0, np.cumsum(size))
-        narrow = np.uint16 if len(examples) <= 1 << 16 else np.int32
+        narrow = np.uint16 if n <= 1 << 16 else np.int32
         self.example, self.weight = np.zeros(self.first[-1], narrow), np.zeros(self.first[-1], np.float32)
         free = self.first[:-1].copy()
-        for k, (_, _, terms, weights) in enumerate(examples):
-            terms, weights = np.asarray(terms, np.int64), np.asarray(weights)
-            column = self.column[terms]
-            self.dense[k, column[column >= 0]] = weights[column >= 0]
-            terms, weights = terms[column < 0], weights[column < 0]
-            self.example[free[terms]], self.weight[free[terms]] = k, weights
-            free[terms] += 1
+        for k, (self.ids[k], self.toxic[k], terms, weights) in enumerate(examples):
+            block, ranks, weights = self.blocks[group[k]], self.rank[np.asarray(terms, np.int64)], np.asarray(weights)
+            often = ranks < len(block.column)
+            often[often] = block.column[ranks[often]] >= 0
+            block.dense[place[k] - block.start, block.column[ranks[often]]] = weights[often]
+            ranks, weights = ranks[~often], weights[~often]
+            at = free[ranks]
+            self.example[at], self.weight[at] = place[k], weights
+            free[ranks] += 1
+        self.blocks = [replace(b, norm=float(max((np.linalg.norm(row) for row in b.dense), default=0.0))) for b in self.blocks]
+        # The lists of a query's terms are copied one after the other as if they were texts.
+        self.lists = [
+            pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_terms, [None, pa.py_buffer(self.first * x.itemsize), pa.py_buffer(x)])
+            for x in (self.example, self.weight)
+        ]
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of greatest cosine, ties by position, and their cosines.  Only positive cosines count."""
@@ -201,39 +298,72 @@ class BlockMaxIndex:
     def nearest_of_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The same for several queries.
 
-        Postings are summed in double precision for all examples.  A product in single precision adds the dense block; examples that may
-        be among the nearest by it are summed again in double precision, so results don't depend on what is scored together.
+        Postings are summed in double precision for all examples.  Products in single precision add the dense blocks, first the one that weighs
+        most for a query; the others only if they may hold one of the nearest.  Examples that may be among the nearest by these sums
+        are summed again in double precision, so results don't depend on what is scored together.
         """
-        n = len(self.ids)
-        if not n:
+        if not len(self.ids):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        out = []
+        ranked, out = [], [None] * len(queries)
+        for terms, weights in queries:
+            ranks = self.rank[terms]
+            order = np.argsort(ranks)
+            ranked.append((ranks[order], np.asarray(weights)[order]))
+        # Queries of one home are scored together, as a product of more rows costs less for each.
+        home = [int(np.argmax([(b.query(*q) ** 2).sum() for b in self.blocks])) for q in ranked]
+        dealt = np.argsort(home, kind="stable")
         for lo in range(0, len(queries), AT_ONCE):
-            some = queries[lo : lo + AT_ONCE]
-            query = np.repeat(np.arange(len(some)), [len(t) for t, _ in some])
-            term, weight = np.concatenate([t for t, _ in some]), np.concatenate([w for _, w in some])
-            rare = np.stack([self._postings(*q) for q in some])
-            often = self.column[term] >= 0
-            dense = np.zeros((len(some), self.dense.shape[1]))
-            dense[query[often], self.column[term[often]]] = weight[often]
-            near = rare + dense.astype(np.float32) @ self.dense.T
-            for j in range(len(some)):
-                least = np.partition(near[j], n - k)[n - k] if n > k else 0.0
-                may = np.flatnonzero((near[j] >= least - 1e-4) & (near[j] > 0))
-                cosine = np.concatenate(
-                    [np.zeros(0), *[rare[j, x] + (self.dense[x] * dense[j]).sum(1) for x in (may[a : a + 512] for a in range(0, len(may), 512))]]
-                )
-                cosine = np.round(cosine, 6)
-                best = np.lexsort((may, -cosine))[:k]
-                best = best[cosine[best] > 0]
-                out.append((may[best], np.minimum(cosine[best], 1.0)))
+            some = dealt[lo : lo + AT_ONCE]
+            for j, found in zip(some, self._nearest([ranked[j] for j in some], np.array(home)[some], k)):
+                out[j] = found
         return out
 
-    def _postings(self, term: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def _nearest(self, some: list[tuple[np.ndarray, np.ndarray]], home: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n = len(self.ids)
+        rare = np.stack([self._postings(*q) for q in some])
+        near = rare.astype(np.float32)
+        dense = [np.stack([b.query(*q) for q in some]).astype(np.float32) for b in self.blocks]
+        weighs = np.stack([np.sqrt((d.astype(np.float64) ** 2).sum(1)) for d in dense], axis=1)
+        for g, b in enumerate(self.blocks):
+            self._add(near, dense[g], b, np.flatnonzero((home == g) & (weighs[:, g] > 0)))
+        # What is known so far is at most the whole sum, so the least of the best k of it bounds what must be found.
+        least = np.array([np.partition(x, n - k)[n - k] for x in near]) if n > k else np.zeros(len(some))
+        for g, b in enumerate(self.blocks):
+            bound = rare[:, b.start : b.stop].max(1, initial=0.0) + weighs[:, g] * b.norm
+            which = np.flatnonzero((home != g) & (weighs[:, g] > 0) & (bound >= least - 1e-4))
+            self._add(near, dense[g], b, which)
+            least[which] = -1.0
+        del dense
+        for j, query in enumerate(some):
+            if least[j] < 0:
+                least[j] = np.partition(near[j], n - k)[n - k] if n > k else 0.0
+            may = np.flatnonzero(near[j] >= max(least[j] - 1e-4, 1e-30))
+            cosine = rare[j, may]
+            for b in self.blocks:
+                at = np.arange(*np.searchsorted(may, [b.start, b.stop]))
+                whole = b.query(*query) if len(at) else None
+                for x in (at[a : a + 512] for a in range(0, len(at), 512)):
+                    cosine[x] += (b.dense[may[x] - b.start] * whole).sum(1)
+            cosine, may = np.round(cosine, 6), self.order[may]
+            best = np.lexsort((may, -cosine))[:k]
+            best = best[cosine[best] > 0]
+            yield may[best], np.minimum(cosine[best], 1.0)
+
+    @staticmethod
+    def _add(near: np.ndarray, dense: np.ndarray, block: _Block, which: np.ndarray) -> None:
+        if len(which):
+            near[which, block.start : block.stop] += dense[which] @ block.dense.T
+
+    def _postings(self, ranks: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Sums of the postings of one query for all examples; the lists of one query at a time, as those of many are long."""
-        sizes = self.first[term + 1] - self.first[term]
-        place = np.repeat(self.first[term] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.example[place], np.repeat(weight, sizes) * self.weight[place], len(self.ids))
+        sizes = self.first[ranks + 1] - self.first[ranks]
+        total, at = int(sizes.sum()), pa.array(ranks)
+        if not total:
+            return np.zeros(len(self.ids))
+        example, value = (np.frombuffer(x.take(at).buffers()[2], y.dtype, total) for x, y in zip(self.lists, (self.example, self.weight)))
+        value = value.astype(np.float64)
+        value *= np.repeat(weight, sizes)
+        return np.bincount(example, value, len(self.ids))
 
 
 @dataclass(frozen=True)
@@ -323,7 +453,7 @@ def _score(shared, k: int):
                 rows.append((row, key))
                 if key not in known:
                     waiting[key] = terms, weights
-                    if len(waiting) == AT_ONCE:
+                    if len(waiting) == WAITING:
                         answer()
             answer()
             yield pa.RecordBatch.from_arrays(
