@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from .words import Words, bytes_list, mix, seeds, slices, text_bytes
 SLICE_BYTES, BATCH_BYTES, BATCH_ROWS = 2 << 20, 4 << 20, 1000
 #: Terms of one shard, sources compared with each other at once, and tasks whose counts are summed first.
 SHARD_TERMS, TILE, FIRST_LEVEL = 1 << 13, 128, 256
-#: Bytes of terms whose perfect hashes are broadcast, what a term counts besides its own bytes, and slots that a task holds.
+#: Bytes of terms whose perfect hashes are broadcast, what a term counts besides its own bytes, and counts that a task holds.
 HEAD_BYTES, TERM_OVERHEAD, HELD_SLOTS = 24 << 20, 16, 1 << 22
 SCALE = 1_000_000_000
 
@@ -124,7 +125,7 @@ class Lexicon:
 
 def hashes_of(terms: list[bytes]) -> np.ndarray:
     """The hash that Spark's xxhash64 gives the same text."""
-    return np.fromiter((xxhash.xxh64_intdigest(t, 42) for t in terms), np.uint64, len(terms))
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms, repeat(42)), np.uint64, len(terms))
 
 
 def _occurrences(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -149,7 +150,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lang_of = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         for _, _, terms, term, row in _occurrences(batch):
             n = len(terms)
-            each = np.unique(row * n + term)
+            each = np.sort(row * n + term)
+            each = each[np.append(True, each[1:] != each[:-1])]
             keys, counts = np.unique(lang_of[each // n] * n + each % n, return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [langs.dictionary.take(pa.array(keys // n)).cast(pa.string()), terms.take(pa.array(keys % n)).cast(pa.large_string()).cast(pa.string()),
@@ -203,18 +205,48 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _COUNTS)], schema=_COUNTS)
 
 
+class _Counts:
+    """Counts by slot for every (language, source) of a task, as pieces that are added up when they are many."""
+
+    def __init__(self, lexicons: dict[str, Lexicon]):
+        self.lexicons, self.size = lexicons, 0
+        self.pieces: dict[tuple[str, str], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, group: tuple[str, str], slots: np.ndarray, times: np.ndarray) -> None:
+        self.pieces.setdefault(group, []).append((slots.astype(np.int32), times.astype(np.int32)))
+        self.size += len(slots)
+
+    def dense(self, group: tuple[str, str]) -> np.ndarray:
+        total = np.zeros(self.lexicons[group[0]].edges[-1], np.int64)
+        for slots, times in self.pieces[group]:
+            # A piece has each slot once.
+            total[slots] += times
+        return total
+
+    def shrink(self) -> None:
+        """One piece for each group; sums beyond 32 bits stay as they were."""
+        for group, pieces in self.pieces.items():
+            if len(pieces) > 1:
+                total = self.dense(group)
+                if total.max(initial=0) < 1 << 31:
+                    slots = np.flatnonzero(total)
+                    self.pieces[group] = [(slots.astype(np.int32), total[slots].astype(np.int32))]
+        self.size = sum(len(slots) for pieces in self.pieces.values() for slots, _ in pieces)
+
+
 def _recounted(shared: _Shared, tail: bool):
     """Dense slots of every (language, source) of a task; terms that are not stored are sent by themselves if ``tail``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId() // FIRST_LEVEL
-        lexicons, held, size = _lexicons(shared), {}, 0
+        lexicons = _lexicons(shared)
+        held = _Counts(lexicons)
 
         def sent() -> pa.RecordBatch:
             rows = []
-            for (lang, source), counts in held.items():
-                edges = lexicons[lang].edges
+            for lang, source in held.pieces:
+                counts, edges = held.dense((lang, source)), lexicons[lang].edges
                 for shard, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
                     n = int(counts[a:b].sum())
                     if n:
@@ -233,20 +265,27 @@ def _recounted(shared: _Shared, tail: bool):
                 for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(keys)]):
                     lang, source = (names[int(k)] for names, k in zip((lang_names, source_names), divmod(int(keys[a]) // n, len(source_names))))
                     if lang not in slots:
-                        slots[lang] = lexicons[lang].slots(terms, hashes) if lang in lexicons else np.full(n, -1, np.int64)
+                        slots[lang] = np.full(n, -1, np.int64)
+                        if lang in lexicons:
+                            # Groups are in order of languages, so the terms of this one lie together.
+                            stop = np.searchsorted(keys, (int(keys[a]) // n // len(source_names) + 1) * len(source_names) * n)
+                            mine = np.zeros(n, bool)
+                            mine[keys[a:stop] % n] = True
+                            mine = np.flatnonzero(mine)
+                            slots[lang][mine] = lexicons[lang].slots(terms.take(pa.array(mine)), hashes[mine])
                     at, times = slots[lang][keys[a:b] % n], counts[a:b]
-                    if (at >= 0).any():
-                        if (lang, source) not in held:
-                            held[lang, source] = np.zeros(lexicons[lang].edges[-1], np.int64)
-                            size += len(held[lang, source])
-                        held[lang, source][at[at >= 0]] += times[at >= 0]
+                    stored = at >= 0
+                    if stored.any():
+                        held.add((lang, source), at[stored], times[stored])
                     if tail:
                         rest = np.flatnonzero(at < 0)
                         names = terms.take(pa.array(keys[a:b][rest] % n)).cast(pa.large_string()).to_pylist()
                         yield _rows([(lang, source, None, None, None, int(t), name) for t, name in zip(times[rest], names)])
-                if size > HELD_SLOTS:
-                    yield sent()
-                    held, size = {}, 0
+                if held.size > HELD_SLOTS:
+                    held.shrink()
+                    if held.size > HELD_SLOTS // 2:
+                        yield sent()
+                        held = _Counts(lexicons)
         yield sent()
 
     return run
