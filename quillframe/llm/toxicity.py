@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import cached_property
 
 import numpy as np
@@ -18,8 +18,8 @@ from .words import words_of
 
 #: Byte lengths of word beginnings that count as terms besides whole words.
 STEMS = (4, 5, 6, 7, 8)
-#: Bytes of the index's dense blocks, for the terms that many examples of a group have; queries scored at once, and dealt to such lots.
-DENSE_BYTES, AT_ONCE, WAITING = 96 << 20, 128, 512
+#: Most bytes of the dense matrices of a lot; queries scored at once, and dealt to lots; cells of a matrix that cost as much as one posting.
+DENSE_BYTES, AT_ONCE, WAITING, CELLS = 64 << 20, 160, 2048, 224
 #: Groups of similar examples, the most frequent terms they are told by, examples that fix the groups, and rounds for that.
 GROUPS, GROUP_TERMS, GROUP_ROWS, ROUNDS = 8, 512, 2048, 8
 #: Nearness of an exact match, and weight of the base rate among the votes.
@@ -129,7 +129,7 @@ def _vectors(vocabulary: Vocabulary, weights: np.ndarray, column: pa.Array):
     """(row, terms, unit weights) of the rows that have a term of the vocabulary."""
     for lo, _, _, row, at in row_terms(column, vocabulary):
         row, at, times = _counted_places(row, at)
-        value = (1 + np.log(times)) * weights[at]
+        value, at = (1 + np.log(times)) * weights[at], at.astype(np.int32)
         bounds = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, int)
         for a, b in zip(bounds, np.append(bounds[1:], len(row))):
             yield lo + int(row[a]), at[a:b], value[a:b] / np.sqrt((value[a:b] ** 2).sum())
@@ -141,8 +141,11 @@ def _pack(terms: np.ndarray, times: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=3).compress(both.T.tobytes())
 
 
+_OPENER = zstandard.ZstdDecompressor()
+
+
 def _unpack(held: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(held), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_OPENER.decompress(held), np.uint8).reshape(4, -1)
     both = np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
@@ -179,26 +182,20 @@ class PackedExamples:
             value = (1 + np.log(times)) * self.weights[terms]
             yield doc_id, toxic, terms, value / np.sqrt((value**2).sum())
 
+    def sizes(self) -> list[int]:
+        return [zstandard.frame_content_size(held) // 8 for _, _, held in self.rows]
+
     def terms(self) -> Iterator[np.ndarray]:
         return (_unpack(held)[0] for _, _, held in self.rows)
 
 
 @dataclass(frozen=True)
-class _Block:
-    """A group of similar examples: its range, the columns of its frequent terms by rank, their weights, and the greatest norm of a row."""
+class _Panel:
+    """The terms of a block of examples that many queries share, as a matrix."""
 
     start: int
     stop: int
-    column: np.ndarray
     dense: np.ndarray
-    norm: float
-
-    def query(self, ranks: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """A query's weights by column; ``ranks`` ascend."""
-        column, out = self.column[ranks[: np.searchsorted(ranks, len(self.column))]], np.zeros(self.dense.shape[1])
-        at = np.flatnonzero(column >= 0)
-        out[column[at]] = weights[at]
-        return out
 
 
 class _Groups:
@@ -213,6 +210,7 @@ class _Groups:
             group = (unit @ self.centres.T).argmax(1)
             self.centres = np.stack([unit[group == g].sum(0) if (group == g).any() else self.centres[g] for g in range(wanted)])
             self.centres /= np.maximum(np.linalg.norm(self.centres, axis=1, keepdims=True), 1e-9)
+        self.columns = np.ascontiguousarray(self.centres.T)
 
     def unit(self, terms: np.ndarray) -> np.ndarray:
         ranks, out = self.rank[terms], np.zeros(len(self.idf), np.float32)
@@ -220,14 +218,84 @@ class _Groups:
         out[ranks] = self.idf[ranks]
         return out / max(float(np.sqrt((out**2).sum())), 1e-9)
 
-    def of(self, terms: np.ndarray) -> int:
-        return int((self.centres @ self.unit(terms)).argmax())
+    def of(self, ranks: np.ndarray) -> int:
+        """The group of a row, by the ranks of its terms."""
+        ranks = ranks[ranks < len(self.idf)]
+        return int((self.idf[ranks] @ self.columns[ranks]).argmax())
+
+
+class _Lists:
+    """Lists of postings, one after the other."""
+
+    def __init__(self, first: np.ndarray, postings: np.ndarray):
+        self.kind, self.at = postings.dtype, first * postings.itemsize
+        # They are copied as if they were texts.
+        self.texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(self.at), pa.py_buffer(postings.view(np.uint8))])
+
+    def read(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of some lists, and their postings."""
+        sizes = (self.at[at + 1] - self.at[at]) // self.kind.itemsize
+        total = int(sizes.sum())
+        return sizes, np.frombuffer(self.texts.take(pa.array(at)).buffers()[2], self.kind, total) if total else np.zeros(0, self.kind)
+
+    def sums(self, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+        sizes, found = self.read(at)
+        weights = np.repeat(weights, sizes)
+        weights *= found["weight"]
+        return np.bincount(found["example"], weights, n).astype(np.float64, copy=False)
+
+
+class _Lot:
+    """What queries of one block share: the (term, block) lists that many of them need, dense, and what is left of the lists of those terms."""
+
+    def __init__(self, index: BlockMaxIndex, queries: list[np.ndarray]):
+        self.index, self.panels, blocks = index, {}, len(index.blocks)
+        some = np.concatenate(queries)
+        count = np.bincount(some[some < index.often], minlength=index.often)
+        dense = self._dense(count, len(queries))
+        terms = np.flatnonzero(dense.any(1))
+        #: Terms with a dense list, and their places in ``rest``.
+        self.cut, self.place = np.zeros(len(index.rank), bool), np.zeros(index.often, np.int64)
+        self.cut[terms] = True
+        self.place[terms] = np.arange(len(terms))
+        term, block = np.nonzero(~dense[terms])
+        sizes, found = index.parts.read(terms[term] * blocks + block)
+        self.rest = _Lists(np.append(0, np.cumsum(np.bincount(term, sizes, len(terms)))).astype(np.int64), found)
+        self.columns = np.full((blocks, index.often), -1, np.int32)
+        for g in range(blocks):
+            mine = np.flatnonzero(dense[:, g])
+            self.columns[g, mine] = np.arange(len(mine))
+
+    def _dense(self, queries: np.ndarray, n: int) -> np.ndarray:
+        """The lists that cost less as columns of a matrix, from how many of ``n`` queries have each term; the best of them, if they don't all fit."""
+        held, members = self.index.held, self.index.members
+        out = np.zeros(held.shape, bool)
+        at = np.flatnonzero(queries > 1)
+        saved = (queries[at, None] - 1) * held[at].astype(np.int64) * CELLS - n * members
+        term, block = np.nonzero(saved > 0)
+        best = np.argsort(-saved[term, block] / members[block], kind="stable")
+        best = best[: np.searchsorted(np.cumsum(4 * members[block[best]]), DENSE_BYTES, side="right")]
+        out[at[term[best]], block[best]] = True
+        return out
+
+    def panel(self, g: int) -> _Panel:
+        """The matrix of a block, made when first asked for."""
+        if g not in self.panels:
+            terms, block = np.flatnonzero(self.columns[g] >= 0), self.index.blocks[g]
+            matrix = np.zeros((len(block), len(terms)), np.float32)
+            for lo in range(0, len(terms), 32):  # few lists at a time, as positions are wide
+                sizes, found = self.index.parts.read(terms[lo : lo + 32] * len(self.index.blocks) + g)
+                matrix[found["example"].astype(np.int64) - block.start, np.repeat(np.arange(lo, lo + len(sizes)), sizes)] = found["weight"]
+            self.panels[g] = _Panel(block.start, block.stop, matrix)
+        return self.panels[g]
 
 
 class BlockMaxIndex:
-    """All terms of all examples: examples in blocks of similar ones, with a dense matrix for the terms that many of a block have; postings for all others.
+    """All terms of all examples as postings: examples in blocks of similar ones, the lists of frequent terms cut by block.
 
-    A block is passed over if its greatest sum of postings and the greatest norm of its rows can't bring an example among the nearest.
+    Queries of one block make a lot.  (Term, block) lists that many of them need become a dense matrix for the lot; all others are summed for
+    each query.  A block's matrix is passed over for a query if the greatest sum of postings there and the greatest norm of a row can't bring an
+    example among the nearest.
     """
 
     def __init__(self, examples: PackedExamples | list[tuple[int, int, list[int], list[float]]], n_terms: int):
@@ -235,61 +303,56 @@ class BlockMaxIndex:
         self.ids, self.toxic, self.blocks = np.zeros(n, np.int64), np.zeros(n), []
         if not n:
             return
-        each = examples.terms if isinstance(examples, PackedExamples) else lambda: (np.asarray(e[2], np.int64) for e in examples)
-        size, some = np.zeros(n_terms, np.int64), []
-        for k, terms in enumerate(each()):
-            size[terms] += 1
-            if k % -(-n // GROUP_ROWS) == 0:
-                some.append(terms)
+        packed = isinstance(examples, PackedExamples)
+        ends = np.append(0, np.cumsum(examples.sizes() if packed else [len(e[2]) for e in examples], dtype=np.int64))
+        # One array, as the memory of many small ones is not given back.
+        held, lots = np.empty(ends[-1], np.int32), [range(lo, min(lo + 1000, n)) for lo in range(0, n, 1000)]
+        each = [held[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        for mine, terms in zip(each, examples.terms() if packed else (e[2] for e in examples)):
+            mine[:] = terms
+        size = np.zeros(n_terms, np.int64)
+        for lot in lots:
+            size += np.bincount(held[ends[lot.start] : ends[lot.stop]], minlength=n_terms)
         # Terms are numbered by how many examples have them, so that what most queries read lies together.
         most = np.argsort(-size, kind="stable")
         self.rank = np.empty(n_terms, np.int32)
         self.rank[most] = np.arange(n_terms)
         size = size[most]
-        groups = _Groups(size, self.rank, n, some)
-        group, members = np.zeros(n, np.int64), np.zeros(len(groups.centres), np.int64)
-        # Only terms that enough examples have can be columns of a dense block.
-        held = np.zeros((len(members), int((size > n // 64 // len(members)).sum())), np.int32)
-        for k, terms in enumerate(each()):
-            group[k] = g = groups.of(terms)
-            ranks = self.rank[terms]
-            members[g] += 1
-            held[g, ranks[ranks < held.shape[1]]] += 1
+        self.groups = _Groups(size, self.rank, n, each[:: -(-n // GROUP_ROWS)])
+        blocks = len(self.groups.centres)
+        # The lists of terms that enough examples have are cut by block.
+        self.often = often = int((size > n // 64 // blocks).sum())
+        group, self.held = np.zeros(n, np.int64), np.zeros((often, blocks), np.int32)
+        for lot in lots:
+            ranks = held[ends[lot.start] : ends[lot.stop]]
+            ranks[:] = self.rank[ranks]
+            group[lot.start : lot.stop] = [self.groups.of(each[k]) for k in lot]
+            lists = ranks.astype(np.int64) * blocks + np.repeat(group[lot.start : lot.stop], np.diff(ends[lot.start : lot.stop + 1]))
+            self.held += np.bincount(lists[ranks < often], minlength=often * blocks).reshape(often, blocks)
         #: Positions of the examples block by block, and the place of each position there.
         self.order = np.argsort(group, kind="stable")
         place = np.empty(n, np.int64)
         place[self.order] = np.arange(n)
-        # The densest (block, term) pairs, while they fit.
-        of, rank = np.nonzero(held > np.maximum(members // 64, 1)[:, None])
-        best = np.argsort(-held[of, rank] / members[of], kind="stable")
-        best = best[: np.searchsorted(np.cumsum(4 * members[of[best]]), DENSE_BYTES, side="right")]
-        of, rank = of[best], rank[best]
-        np.subtract.at(size, rank, held[of, rank])
-        stops = np.cumsum(members)
-        for g, (start, stop) in enumerate(zip((stops - members).tolist(), stops.tolist())):
-            mine = np.sort(rank[of == g])
-            column = np.full(held.shape[1], -1, np.int32)
-            column[mine] = np.arange(len(mine))
-            self.blocks.append(_Block(start, stop, column, np.zeros((stop - start, len(mine)), np.float32), 0.0))
-        self.first = np.append(0, np.cumsum(size))
+        self.members = np.bincount(group, minlength=blocks)
+        stops = np.cumsum(self.members)
+        self.blocks = [range(a, b) for a, b in zip((stops - self.members).tolist(), stops.tolist())]
+        first = np.append(0, np.cumsum(np.append(self.held.ravel(), size[often:])))
         narrow = np.uint16 if n <= 1 << 16 else np.int32
-        self.example, self.weight = np.zeros(self.first[-1], narrow), np.zeros(self.first[-1], np.float32)
-        free = self.first[:-1].copy()
+        # A posting lies in one piece, so that a list is found by one read.
+        self.postings = np.zeros(first[-1], [("example", narrow), ("weight", np.float32)])
+        self.example, self.weight = self.postings["example"], self.postings["weight"]
+        free, self.norms = first[:-1].copy(), np.zeros(blocks)
         for k, (self.ids[k], self.toxic[k], terms, weights) in enumerate(examples):
-            block, ranks, weights = self.blocks[group[k]], self.rank[np.asarray(terms, np.int64)], np.asarray(weights)
-            often = ranks < len(block.column)
-            often[often] = block.column[ranks[often]] >= 0
-            block.dense[place[k] - block.start, block.column[ranks[often]]] = weights[often]
-            ranks, weights = ranks[~often], weights[~often]
-            at = free[ranks]
+            ranks = each[k].astype(np.int64)
+            lists = np.where(ranks < often, ranks * blocks + group[k], ranks + often * (blocks - 1))
+            at = free[lists]
             self.example[at], self.weight[at] = place[k], weights
-            free[ranks] += 1
-        self.blocks = [replace(b, norm=float(max((np.linalg.norm(row) for row in b.dense), default=0.0))) for b in self.blocks]
-        # The lists of a query's terms are copied one after the other as if they were texts.
-        self.lists = [
-            pa.LargeBinaryArray.from_buffers(pa.large_binary(), n_terms, [None, pa.py_buffer(self.first * x.itemsize), pa.py_buffer(x)])
-            for x in (self.example, self.weight)
-        ]
+            free[lists] = at + 1
+            self.norms[group[k]] = max(self.norms[group[k]], np.linalg.norm(weights))
+        del held, each, free
+        #: The lists of whole terms, and those cut by block.
+        self.whole = _Lists(np.append(first[: often * blocks : blocks], first[often * blocks :]), self.postings)
+        self.parts = _Lists(first[: often * blocks + 1], self.postings)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of greatest cosine, ties by position, and their cosines.  Only positive cosines count."""
@@ -298,72 +361,84 @@ class BlockMaxIndex:
     def nearest_of_each(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """The same for several queries.
 
-        Postings are summed in double precision for all examples.  Products in single precision add the dense blocks, first the one that weighs
-        most for a query; the others only if they may hold one of the nearest.  Examples that may be among the nearest by these sums
+        Postings are summed in double precision for all examples.  Products in single precision add the dense matrices, first that of a query's own
+        block; the others only if they may hold one of the nearest.  Examples that may be among the nearest by these sums
         are summed again in double precision, so results don't depend on what is scored together.
         """
         if not len(self.ids):
             return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        ranked, out = [], [None] * len(queries)
-        for terms, weights in queries:
-            ranks = self.rank[terms]
-            order = np.argsort(ranks)
-            ranked.append((ranks[order], np.asarray(weights)[order]))
-        # Queries of one home are scored together, as a product of more rows costs less for each.
-        home = [int(np.argmax([(b.query(*q) ** 2).sum() for b in self.blocks])) for q in ranked]
-        dealt = np.argsort(home, kind="stable")
-        for lo in range(0, len(queries), AT_ONCE):
-            some = dealt[lo : lo + AT_ONCE]
-            for j, found in zip(some, self._nearest([ranked[j] for j in some], np.array(home)[some], k)):
-                out[j] = found
+        ranked, out = [(self.rank[terms], np.asarray(weights)) for terms, weights in queries], [None] * len(queries)
+        home = np.array([self.groups.of(ranks) for ranks, _ in ranked], np.int64)
+        for g in np.unique(home):
+            mine = np.flatnonzero(home == g)
+            lot = _Lot(self, [ranked[j][0] for j in mine])
+            for lo in range(0, len(mine), AT_ONCE):
+                some = mine[lo : lo + AT_ONCE]
+                for j, found in zip(some, self._nearest(lot, [ranked[j] for j in some], int(g), k)):
+                    out[j] = found
         return out
 
-    def _nearest(self, some: list[tuple[np.ndarray, np.ndarray]], home: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _nearest(self, lot: _Lot, some: list[tuple[np.ndarray, np.ndarray]], home: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = len(self.ids)
-        rare = np.stack([self._postings(*q) for q in some])
-        near = rare.astype(np.float32)
-        dense = [np.stack([b.query(*q) for q in some]).astype(np.float32) for b in self.blocks]
-        weighs = np.stack([np.sqrt((d.astype(np.float64) ** 2).sum(1)) for d in dense], axis=1)
-        for g, b in enumerate(self.blocks):
-            self._add(near, dense[g], b, np.flatnonzero((home == g) & (weighs[:, g] > 0)))
-        # What is known so far is at most the whole sum, so the least of the best k of it bounds what must be found.
-        least = np.array([np.partition(x, n - k)[n - k] for x in near]) if n > k else np.zeros(len(some))
-        for g, b in enumerate(self.blocks):
-            bound = rare[:, b.start : b.stop].max(1, initial=0.0) + weighs[:, g] * b.norm
-            which = np.flatnonzero((home != g) & (weighs[:, g] > 0) & (bound >= least - 1e-4))
-            self._add(near, dense[g], b, which)
-            least[which] = -1.0
-        del dense
-        for j, query in enumerate(some):
-            if least[j] < 0:
-                least[j] = np.partition(near[j], n - k)[n - k] if n > k else 0.0
+        row = np.repeat(np.arange(len(some)), [len(ranks) for ranks, _ in some])
+        rank, weight = np.concatenate([ranks for ranks, _ in some]), np.concatenate([weights for _, weights in some])
+        at = np.flatnonzero(lot.cut[rank])
+        row, rank, weight = row[at], rank[at], weight[at]
+        rare = np.empty((len(some), n))
+        for j, (ranks, weights) in enumerate(some):
+            cut = lot.cut[ranks]
+            rare[j] = self.whole.sums(ranks[~cut], weights[~cut], n)
+            if cut.any():
+                rare[j] += lot.rest.sums(lot.place[ranks[cut]], weights[cut], n)
+        near, panels = rare.astype(np.float32), []
+        least = None
+        for g in [home, *(g for g in range(len(self.blocks)) if g != home)]:
+            b, column = self.blocks[g], lot.columns[g]
+            at = np.flatnonzero(column[rank] >= 0)
+            if not len(at):
+                continue
+            which = np.arange(len(some))
+            if g != home:
+                if least is None:
+                    # What is known so far is at most the whole sum, so the least of the best k of it bounds what must be found.
+                    least = _least(near, k)
+                weighs = np.sqrt(np.bincount(row[at], weight[at] ** 2, len(some)))
+                bound = rare[:, b.start : b.stop].max(1, initial=0.0) + weighs * self.norms[g]
+                which = np.flatnonzero((weighs > 0) & (bound >= least - 1e-4))
+                if not len(which):
+                    continue
+            weights = np.zeros((len(some), int(column.max()) + 1))
+            weights[row[at], column[rank[at]]] = weight[at]
+            panels.append((lot.panel(g), weights))
+            self._add(near, weights.astype(np.float32), panels[-1][0], which)
+        least, edges = _least(near, k), [(p.start, p.stop) for p, _ in panels]
+        for j in range(len(some)):
             may = np.flatnonzero(near[j] >= max(least[j] - 1e-4, 1e-30))
             cosine = rare[j, may]
-            for b in self.blocks:
-                at = np.arange(*np.searchsorted(may, [b.start, b.stop]))
-                whole = b.query(*query) if len(at) else None
-                for x in (at[a : a + 512] for a in range(0, len(at), 512)):
-                    cosine[x] += (b.dense[may[x] - b.start] * whole).sum(1)
+            for (p, weights), (lo, hi) in zip(panels, np.searchsorted(may, edges)):
+                for a in range(lo, hi, 512):
+                    x = slice(a, min(a + 512, hi))
+                    cosine[x] += (p.dense[may[x] - p.start] * weights[j]).sum(1)
             cosine, may = np.round(cosine, 6), self.order[may]
             best = np.lexsort((may, -cosine))[:k]
             best = best[cosine[best] > 0]
             yield may[best], np.minimum(cosine[best], 1.0)
 
     @staticmethod
-    def _add(near: np.ndarray, dense: np.ndarray, block: _Block, which: np.ndarray) -> None:
+    def _add(near: np.ndarray, dense: np.ndarray, block: _Panel, which: np.ndarray) -> None:
         if len(which):
             near[which, block.start : block.stop] += dense[which] @ block.dense.T
 
-    def _postings(self, ranks: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Sums of the postings of one query for all examples; the lists of one query at a time, as those of many are long."""
-        sizes = self.first[ranks + 1] - self.first[ranks]
-        total, at = int(sizes.sum()), pa.array(ranks)
-        if not total:
-            return np.zeros(len(self.ids))
-        example, value = (np.frombuffer(x.take(at).buffers()[2], y.dtype, total) for x, y in zip(self.lists, (self.example, self.weight)))
-        value = value.astype(np.float64)
-        value *= np.repeat(weight, sizes)
-        return np.bincount(example, value, len(self.ids))
+
+def _least(near: np.ndarray, k: int) -> np.ndarray:
+    """At most the ``k``-th greatest of each row: that of the greatest of every 16, as those are different ones; the very one if a row is short."""
+    n = near.shape[1]
+    if n <= k:
+        return np.zeros(len(near))
+    wide = n // 16
+    if wide < 8 * k:
+        return np.array([np.partition(x, n - k)[n - k] for x in near])
+    return np.array([np.partition(x[: 16 * wide].reshape(16, wide).max(0), wide - k)[wide - k] for x in near])
 
 
 @dataclass(frozen=True)
